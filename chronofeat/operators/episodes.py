@@ -17,7 +17,7 @@ window over rows:
 
 1. rows are grouped into *blocks* = (entity, sub-range of time). Normal
    entities are one block; an entity with more than ``max_block_rows`` rows is
-   cut into time sub-ranges at approximate quantiles, so a hot entity (even a
+   cut into time sub-ranges at sampled quantiles, so a hot entity (even a
    third of the table) spreads over many tasks. Equal times never straddle.
 2. inside a block, ordinary windows (partitioned by block) give local
    positions, local breaks, peer-group ends and the last local break.
@@ -31,15 +31,16 @@ Both forms return identical columns; tests check them row for row.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
 from .scan import ordered_scan
 
 OUTPUTS = ("brk", "prev_entity", "prev_label", "running_breaks", "case_id", "time")
 DEFAULT_MAX_BLOCK_ROWS = 5_000_000
+SAMPLES_PER_PIECE = 64
+SAMPLE_SEED = 17
 
 
 def assign_episodes(df: DataFrame, entity: str, ts: str, label: str, tiebreak: str,
@@ -104,19 +105,30 @@ def _hot_bounds(df, ekey, enull, ts, max_block_rows):
     Returns a small DataFrame (_ek, _en, _bounds) or None. Its size is
     bounded: every hot entity holds > max_block_rows rows, so there are fewer
     than n / max_block_rows of them, each with < n / max_block_rows bounds.
+    Cut points are picked from a seeded sample (about SAMPLES_PER_PIECE rows
+    per piece), so they work for any orderable time type; blocks are only
+    roughly equal, which is all the split needs.
     """
     counts = df.groupBy(ekey.alias("_ek"), enull.alias("_en")).count()
     hot = counts.where(F.col("count") > max_block_rows)
-    stats = hot.agg(F.count(F.lit(1)).alias("h"), F.max("count").alias("m")).first()
-    if not stats or not stats["h"]:
+    if hot.limit(1).count() == 0:
         return None
-    pieces = math.ceil(stats["m"] / max_block_rows)
-    fractions = [i / pieces for i in range(1, pieces)]
-    accuracy = max(10_000, 20 * pieces)
-    hot_rows = (df.select(ekey.alias("_ek"), enull.alias("_en"), F.col(ts).alias("_t"))
-                .join(F.broadcast(hot.select("_ek", "_en")), ["_ek", "_en"], "left_semi"))
-    return (hot_rows.groupBy("_ek", "_en")
-            .agg(F.array_distinct(F.percentile_approx("_t", fractions, accuracy)).alias("_bounds")))
+    # pieces per hot entity and a sampling rate giving ~SAMPLES_PER_PIECE rows per piece
+    hot = hot.select("_ek", "_en",
+                     F.ceil(F.col("count") / F.lit(max_block_rows)).alias("_pieces"),
+                     F.least(F.lit(1.0), F.ceil(F.col("count") / F.lit(max_block_rows))
+                             * F.lit(SAMPLES_PER_PIECE) / F.col("count")).alias("_rate"))
+    sampled = (df.select(ekey.alias("_ek"), enull.alias("_en"), F.col(ts).alias("_t"))
+               .join(F.broadcast(hot), ["_ek", "_en"], "inner")
+               .where(F.col("_t").isNotNull() & (F.rand(SAMPLE_SEED) < F.col("_rate"))))
+    picks = sampled.groupBy("_ek", "_en", "_pieces").agg(
+        F.sort_array(F.collect_list("_t")).alias("_s"))
+    bounds = picks.select("_ek", "_en", F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.col("_pieces").cast("int") - 1, F.lit(1))),
+        lambda j: F.element_at("_s", (j * F.size("_s") / F.col("_pieces")).cast("int") + 1)
+    )).alias("_bounds"))
+    # pinned: both uses of the block key must see the same cut points
+    return reliable_checkpoint(bounds)
 
 
 def _distributed(df, entity, ts, label, tiebreak, outputs, max_block_rows, scan_buckets):
