@@ -13,15 +13,17 @@ def label_distribution(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_weights(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+def class_weights(df: DataFrame, label: str, by: str | None = None,
+                  count_col: str | None = None) -> DataFrame:
     """(label, n, weight) with ``weight = total / (classes * n)`` ("balanced").
 
-    The grouped table has one row per class (per ``by`` group), so the window
-    for the grand total runs over a handful of rows. NULL labels are ignored.
+    ``df`` holds rows, or already-aggregated counts in ``count_col``. The
+    grouped table has one row per class (per ``by`` group), so the window for
+    the grand total runs over a handful of rows. NULL labels are ignored.
     """
     keys = [by, label] if by else [label]
-    counts = (df.where(F.col(label).isNotNull()).groupBy(*keys)
-              .agg(F.count(F.lit(1)).alias("n")))
+    n = F.sum(count_col) if count_col else F.count(F.lit(1))
+    counts = df.where(F.col(label).isNotNull()).groupBy(*keys).agg(n.cast("long").alias("n"))
     w = Window.partitionBy(*([by] if by else []))
     total = F.sum("n").over(w)
     classes = F.count(F.lit(1)).over(w)

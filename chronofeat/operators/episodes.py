@@ -34,8 +34,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import reliable_checkpoint
-from .scan import ordered_scan
+from ..session import reliable_checkpoint, reuse
+from .scan import DEFAULT_ROWS_PER_BUCKET, DEFAULT_SINGLE_TASK_ROWS, ordered_scan
 
 OUTPUTS = ("brk", "prev_entity", "prev_label", "running_breaks", "case_id", "time")
 DEFAULT_MAX_BLOCK_ROWS = 5_000_000
@@ -99,25 +99,36 @@ def _rename(out, base_cols, outputs):
 # distributed form
 
 
-def _hot_bounds(df, ekey, enull, ts, max_block_rows):
-    """Time cut points for entities with more than ``max_block_rows`` rows.
+def _hot_bounds(df, ekey, enull, ts, max_block_rows, single_task_rows, rows_per_bucket):
+    """Entity statistics pass: time cut points for hot entities, and scan width.
 
-    Returns a small DataFrame (_ek, _en, _bounds) or None. Its size is
-    bounded: every hot entity holds > max_block_rows rows, so there are fewer
-    than n / max_block_rows of them, each with < n / max_block_rows bounds.
-    Cut points are picked from a seeded sample (about SAMPLES_PER_PIECE rows
-    per piece), so they work for any orderable time type; blocks are only
-    roughly equal, which is all the split needs.
+    One aggregation over ``df`` (entity counts, combined map-side) gives both
+    the hot entities - more than ``max_block_rows`` rows - and the number of
+    blocks, which decides whether the block table may be scanned in one task.
+
+    The cut table is small and bounded: each hot entity holds more than
+    max_block_rows rows, so there are fewer than n / max_block_rows of them,
+    with fewer than n / max_block_rows bounds in total. Cut points are picked
+    from a seeded sample (about SAMPLES_PER_PIECE rows per piece), so they work
+    for any orderable time type; blocks are only roughly equal, which is all
+    the split needs. The table is checkpointed so every use sees the same cuts.
     """
-    counts = df.groupBy(ekey.alias("_ek"), enull.alias("_en")).count()
-    hot = counts.where(F.col("count") > max_block_rows)
-    if hot.limit(1).count() == 0:
-        return None
+    counts = df.groupBy(ekey.alias("_ek"), enull.alias("_en")).count().cache()
+    pieces = F.ceil(F.col("count") / F.lit(max_block_rows))
+    stats = counts.agg(
+        F.count(F.lit(1)).alias("k"),
+        F.coalesce(F.sum(F.when(F.col("count") > max_block_rows, pieces - 1)), F.lit(0))
+         .alias("extra")).first()
+    blocks = (stats["k"] or 0) + (stats["extra"] or 0)
+    buckets = 1 if blocks <= single_task_rows else -(-blocks // rows_per_bucket)
+    if not stats["extra"]:
+        counts.unpersist()
+        return None, buckets
     # pieces per hot entity and a sampling rate giving ~SAMPLES_PER_PIECE rows per piece
-    hot = hot.select("_ek", "_en",
-                     F.ceil(F.col("count") / F.lit(max_block_rows)).alias("_pieces"),
-                     F.least(F.lit(1.0), F.ceil(F.col("count") / F.lit(max_block_rows))
-                             * F.lit(SAMPLES_PER_PIECE) / F.col("count")).alias("_rate"))
+    hot = (counts.where(F.col("count") > max_block_rows)
+           .select("_ek", "_en", pieces.alias("_pieces"),
+                   F.least(F.lit(1.0), pieces * F.lit(SAMPLES_PER_PIECE) / F.col("count"))
+                   .alias("_rate")))
     sampled = (df.select(ekey.alias("_ek"), enull.alias("_en"), F.col(ts).alias("_t"))
                .join(F.broadcast(hot), ["_ek", "_en"], "inner")
                .where(F.col("_t").isNotNull() & (F.rand(SAMPLE_SEED) < F.col("_rate"))))
@@ -127,18 +138,24 @@ def _hot_bounds(df, ekey, enull, ts, max_block_rows):
         F.sequence(F.lit(1), F.greatest(F.col("_pieces").cast("int") - 1, F.lit(1))),
         lambda j: F.element_at("_s", (j * F.size("_s") / F.col("_pieces")).cast("int") + 1)
     )).alias("_bounds"))
-    # pinned: both uses of the block key must see the same cut points
-    return reliable_checkpoint(bounds)
+    bounds = reliable_checkpoint(bounds)
+    counts.unpersist()
+    return bounds, buckets
 
 
-def _distributed(df, entity, ts, label, tiebreak, outputs, max_block_rows, scan_buckets):
+def _distributed(df, entity, ts, label, tiebreak, outputs, max_block_rows, scan_buckets,
+                 single_task_rows=DEFAULT_SINGLE_TASK_ROWS,
+                 rows_per_bucket=DEFAULT_ROWS_PER_BUCKET):
     e, t, y = F.col(entity), F.col(ts), F.col(label)
     # Non-NULL join/partition keys for the entity: equality on (_ek, _en)
     # is entity equality with NULL as a value of its own.
     ekey = F.coalesce(e.cast("string"), F.lit(""))
     enull = e.isNull()
     base = df.withColumn("_ek", ekey).withColumn("_en", enull)
-    bounds = _hot_bounds(df, ekey, enull, ts, max_block_rows)
+    bounds, buckets = _hot_bounds(df, ekey, enull, ts, max_block_rows,
+                                  single_task_rows, rows_per_bucket)
+    if scan_buckets is None:
+        scan_buckets = buckets
     if bounds is None:
         base = base.withColumn("_sub", F.lit(0))
     else:
@@ -158,6 +175,8 @@ def _distributed(df, entity, ts, label, tiebreak, outputs, max_block_rows, scan_
             .withColumn("_pend", F.count(F.lit(1)).over(w_peer) - 1)
             .withColumn("_sc", F.sum("_st").over(w_peer))
             .withColumn("_le", F.max(F.when(F.col("_st") == 1, F.col("_pk"))).over(w_peer)))
+    # used twice (block table, join back): keep it instead of re-sorting all rows
+    rows = reuse(rows)
 
     blocks = rows.groupBy(*blk).agg(
         F.first(e).alias("_ent"),

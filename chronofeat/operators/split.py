@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scan import ordered_scan
+from ..session import reuse
+from .scan import DEFAULT_ROWS_PER_BUCKET, DEFAULT_SINGLE_TASK_ROWS, ordered_scan
 
 TRAIN, VAL, TEST = "train", "val", "test"
 
@@ -43,39 +44,69 @@ def time_percent_rank(df: DataFrame, ts: str, out: str = "pr",
     """``percent_rank() over (order by ts)`` as a column, without a global window.
 
     ``(rows before) / max(n - 1, 1)``; equals Spark's ``percent_rank`` (0.0 for
-    a single row). The per-``ts`` table is joined back on ``ts`` (NULL-safe).
+    a single row). Per-value counts are scanned in order and joined back on
+    ``ts`` (NULL-safe); Spark broadcasts that table only when its measured
+    size is under the broadcast threshold.
     """
-    counts = df.groupBy(F.col(ts).alias("_t")).agg(F.count(F.lit(1)).alias("_c"))
-    n = counts.agg(F.sum("_c")).first()[0] or 0
+    df = reuse(df)
+    counts = df.groupBy(F.col(ts).alias("_t")).agg(F.count(F.lit(1)).alias("_c")).cache()
+    stats = counts.agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    n, k = stats["n"] or 0, stats["k"]
+    if scan_buckets is None:
+        scan_buckets = 1 if k <= DEFAULT_SINGLE_TASK_ROWS else -(-k // DEFAULT_ROWS_PER_BUCKET)
     scanned = ordered_scan(counts, [F.col("_t")], sums={"_before": F.col("_c")},
                            buckets=scan_buckets)
     ranks = scanned.select(
         F.col("_t"), (F.col("_before").cast("double") / F.lit(float(max(n - 1, 1)))).alias(out))
-    return (df.join(ranks, F.col(ts).eqNullSafe(F.col("_t")), "left").drop("_t"))
+    return df.join(ranks, F.col(ts).eqNullSafe(F.col("_t")), "left").drop("_t")
+
+
+def _cuts_from_counts(counts: DataFrame, bounds, scan_buckets):
+    """(hi, lo, n) from a cached per-value count table (_t, _c)."""
+    train_upto, test_from = bounds
+    stats = counts.agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    n, k = stats["n"] or 0, stats["k"]
+    if scan_buckets is None:
+        scan_buckets = 1 if k <= DEFAULT_SINGLE_TASK_ROWS else -(-k // DEFAULT_ROWS_PER_BUCKET)
+    scanned = ordered_scan(counts, [F.col("_t")], sums={"_before": F.col("_c")},
+                           buckets=scan_buckets)
+    pr = F.col("_before").cast("double") / F.lit(float(max(n - 1, 1)))
+    row = scanned.agg(
+        F.max(F.when(pr <= F.lit(train_upto), F.col("_t"))).alias("hi"),
+        F.min(F.when(pr >= F.lit(test_from), F.col("_t"))).alias("lo"),
+    ).first()
+    return row["hi"], row["lo"], n
 
 
 def time_cuts(df: DataFrame, ts: str, bounds=(0.8, 0.9),
               scan_buckets: int | None = None) -> tuple[object, object, int]:
     """Return ``(hi, lo, n)``: the two cut values and the row count.
 
-    One aggregation job (per-``ts`` counts), one ordered scan of that table
-    and one tiny aggregate that brings two scalars to the driver.
+    One pass over ``df`` (per-value counts, combined map-side, so only
+    distinct values are shuffled), then an ordered scan of that table and a
+    tiny aggregate that brings two scalars to the driver.
     """
-    lo_bound, hi_bound = bounds
-    counts = df.groupBy(F.col(ts).alias("_t")).agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.cache()
+    counts = df.groupBy(F.col(ts).alias("_t")).agg(F.count(F.lit(1)).alias("_c")).cache()
     try:
-        n = counts.agg(F.sum("_c")).first()[0] or 0
-        scanned = ordered_scan(counts, [F.col("_t")], sums={"_before": F.col("_c")},
-                               buckets=scan_buckets)
-        pr = F.col("_before").cast("double") / F.lit(float(max(n - 1, 1)))
-        row = scanned.agg(
-            F.max(F.when(pr <= F.lit(lo_bound), F.col("_t"))).alias("hi"),
-            F.min(F.when(pr >= F.lit(hi_bound), F.col("_t"))).alias("lo"),
-        ).first()
+        return _cuts_from_counts(counts, bounds, scan_buckets)
     finally:
         counts.unpersist()
-    return row["hi"], row["lo"], n
+
+
+def split_label_counts(df: DataFrame, ts: str, label: str, bounds=(0.8, 0.9),
+                       scan_buckets: int | None = None) -> DataFrame:
+    """(split, label, n) in one pass over ``df``.
+
+    Split sizes, the label distribution and class weights only need how many
+    rows of each label share each time value, so the rows are read once into a
+    (time, label) histogram; cuts and counts come from that small table.
+    """
+    hist = (df.groupBy(F.col(ts).alias("_t"), F.col(label).alias(label))
+            .agg(F.count(F.lit(1)).alias("_c")).cache())
+    per_t = hist.groupBy("_t").agg(F.sum("_c").alias("_c"))
+    hi, lo, _ = _cuts_from_counts(per_t, bounds, scan_buckets)
+    labelled = split_column(hist.withColumnRenamed("_t", ts), ts, hi, lo)
+    return labelled.groupBy("split", label).agg(F.sum("_c").alias("n"))
 
 
 def split_column(df: DataFrame, ts: str, hi, lo, out: str = "split") -> DataFrame:
@@ -93,16 +124,41 @@ def split_column(df: DataFrame, ts: str, hi, lo, out: str = "split") -> DataFram
 
 def time_split(df: DataFrame, ts: str, bounds=(0.8, 0.9), out: str = "split",
                scan_buckets: int | None = None) -> DataFrame:
-    """``df`` plus a ``split`` column: train / val / test by time position."""
+    """``df`` plus a ``split`` column: train / val / test by time position.
+
+    Two passes over ``df`` (cuts, then labelling), so an expensive input is
+    persisted first (see :func:`chronofeat.session.reuse`).
+    """
+    df = reuse(df)
     hi, lo, _ = time_cuts(df, ts, bounds, scan_buckets)
     return split_column(df, ts, hi, lo, out)
 
 
+def split_predicates(df: DataFrame, ts: str, hi, lo) -> tuple[Column, Column, Column]:
+    """Plain range predicates (train, val, test) that Parquet can push down.
+
+    ``lo > hi`` whenever both exist (pr is monotone in ts and .9 > .8), so
+    test is ``ts >= lo`` and val is the open range between the cuts. A
+    missing cut is resolved here, on the driver, so no predicate compares
+    with NULL (which would silently drop validation rows).
+    """
+    dtype = df.schema[ts].dataType
+    t = F.col(ts)
+    h = typed_literal(hi, dtype) if hi is not None else None
+    lo_lit = typed_literal(lo, dtype) if lo is not None else None
+    train = t.isNull() | (t <= h) if h is not None else t.isNull()
+    test = t >= lo_lit if lo_lit is not None else F.lit(False)
+    val = t > h if h is not None else t.isNotNull()
+    if lo_lit is not None:
+        val = val & (t < lo_lit)
+    return train, val, test
+
+
 def split_frames(df: DataFrame, ts: str, bounds=(0.8, 0.9), scan_buckets: int | None = None):
-    """Three DataFrames (train, val, test) filtered by literal cut comparisons."""
+    """Three DataFrames (train, val, test), each a pushed-down range filter."""
+    df = reuse(df)
     hi, lo, _ = time_cuts(df, ts, bounds, scan_buckets)
-    labelled = split_column(df, ts, hi, lo, "_split")
-    return tuple(labelled.where(F.col("_split") == s).drop("_split") for s in (TRAIN, VAL, TEST))
+    return tuple(df.where(p) for p in split_predicates(df, ts, hi, lo))
 
 
 def time_split_literal(df: DataFrame, ts: str, bounds=(0.8, 0.9), out: str = "split") -> DataFrame:

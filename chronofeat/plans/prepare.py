@@ -12,9 +12,10 @@ This plan keeps its semantics with a fixed, small number of jobs:
 5. one split x label count
 6. one write of all splits (``partitionBy("split")``), or three writes
 
-Nothing is cached: every job reads only the columns it needs from Parquet
-(column pruning), which at scale is cheaper than materialising the joined
-table. Column names are arguments (:class:`PrepSpec`), nothing is specific
+A plain Parquet input is not cached: every job reads only the columns it
+needs (column pruning), which at scale is cheaper than storing a copy. An
+input that is itself a join or window (a view) is persisted once, so the
+shuffle behind it runs once. Column names are arguments (:class:`PrepSpec`), nothing is specific
 to one dataset.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, encode, episodes, scale, split
 from ..operators.balance import class_weights
+from ..session import reuse
 from ..sources.parquet import write_shards
 
 
@@ -86,8 +88,13 @@ def clean_frame(df: DataFrame, spec: PrepSpec) -> DataFrame:
 
 
 def prepare(df: DataFrame, spec: PrepSpec) -> Prepared:
-    """Clean, split by time, fit indexers and scaler; return the lazy result."""
-    df = clean_frame(df, spec)
+    """Clean, split by time, fit indexers and scaler; return the lazy result.
+
+    The cleaned input is read by four jobs (cuts, indexer fit, scaler fit,
+    write); it is persisted only if recomputing it would redo a shuffle
+    (a join or window upstream), see :func:`chronofeat.session.reuse`.
+    """
+    df = reuse(clean_frame(df, spec))
     hi, lo, _ = split.time_cuts(df, spec.time, spec.bounds)
     labelled = split.split_column(df, spec.time, hi, lo)
     fit_rows = labelled if spec.fit_index_on == "all" else labelled.where(F.col("split") == "train")

@@ -195,22 +195,28 @@ def q_time_split(spark, d):
     return _split_sales(spark, d).select("o_orderdate", "label", "split")
 
 
+def _split_label_counts(spark, d):
+    """(split, label, n) from one pass over the sales view."""
+    return split.split_label_counts(_sales(spark, d), "o_orderdate", "label")
+
+
 def q_split_counts(spark, d):
-    return split.split_counts(_split_sales(spark, d))
+    return _split_label_counts(spark, d).groupBy("split").agg(F.sum("n").cast("long").alias("n"))
 
 
 def q_label_distribution(spark, d):
-    train = _split_sales(spark, d).where(F.col("split") == "train")
-    return balance.label_distribution(train, "label")
+    train = _split_label_counts(spark, d).where(F.col("split") == "train")
+    return train.select("label", F.col("n").cast("long").alias("n"))
 
 
 def q_class_weights(spark, d):
-    train = _split_sales(spark, d).where(F.col("split") == "train")
-    return balance.class_weights(train, "label")
+    train = _split_label_counts(spark, d).where(F.col("split") == "train")
+    return balance.class_weights(train, "label", count_col="n")
 
 
 def q_class_weights_by_split(spark, d):
-    return balance.class_weights(_split_sales(spark, d), "label", by="split")
+    return balance.class_weights(_split_label_counts(spark, d), "label", by="split",
+                                 count_col="n")
 
 
 # ---------------------------------------------------------------------------

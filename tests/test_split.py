@@ -82,3 +82,12 @@ def test_ordered_scan_sums_max_lag(spark, buckets):
         run += r.v
         mx = r.v if mx is None else max(mx, r.v)
         prev = r.v
+
+
+@pytest.mark.parametrize("name", sorted(EDGE_CASES))
+def test_split_frames_equal_literal(spark, name):
+    df = _ts_frame(spark, EDGE_CASES[name])
+    lit = split.time_split_literal(df, "t")
+    frames = split.split_frames(df, "t")
+    for label, frame in zip(("train", "val", "test"), frames):
+        assert same_rows(frame, lit.where(F.col("split") == label).drop("split"))
