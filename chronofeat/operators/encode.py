@@ -4,16 +4,19 @@ Index order is frequency descending, ties by the label's string form
 ascending, starting at 0 as a double; integer categories are indexed by their
 string form. Two ways to fit/apply it:
 
-* ``method="ml"`` - one multi-column ``StringIndexer`` (one pass over the data
-  for all columns; the fitted labels live in the model on the driver, so use
-  it for categories of bounded cardinality, checked with ``max_labels``);
-* ``method="table"`` - the index is a DataFrame (column, value, index) built
-  with an ordered scan and applied with a join per column, for
-  high-cardinality columns whose labels should not pass through the driver.
+* :func:`fit_category_index` - one pass counts every (column, value) pair for
+  all columns; after the label count per column is checked against
+  ``max_labels``, the labels become ``StringIndexerModel`` s (the model holds
+  its labels on the driver, so this is for categories of bounded cardinality);
+* :func:`index_table` / :func:`apply_index_table` - the index stays a
+  DataFrame (column, value, index) built with an ordered scan and applied
+  with one equi-join per column, for high-cardinality columns whose labels
+  should never pass through the driver.
 """
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,14 +69,49 @@ def embedding_width(card: DataFrame, cap: int = 50, card_col: str = "cardinality
 
 
 def fit_category_index(df: DataFrame, cols, suffix: str = "_cat", handle_invalid: str = "error",
-                       max_labels: int | None = DEFAULT_MAX_LABELS) -> StringIndexerModel:
-    """Fit one multi-column ``StringIndexer`` (all columns in one pass)."""
-    if max_labels is not None:
-        too_big = (cardinality(df, cols, count_null=False, approx=True)
-                   .where(F.col("cardinality") > max_labels).collect())
-        if too_big:
-            raise ValueError(f"columns with more than {max_labels} labels: "
-                             f"{[r['column'] for r in too_big]}; use method='table'")
+                       max_labels: int | None = DEFAULT_MAX_LABELS) -> PipelineModel:
+    """Fit the index of every column in one pass; return a model of ``StringIndexerModel`` s.
+
+    One aggregation counts every (column, value) pair, combined map-side so
+    only distinct pairs are shuffled. The label count per column is checked
+    against ``max_labels`` *before* any label reaches the driver; only then
+    are the labels (a proven-bounded table) collected and ordered by count
+    descending, then label ascending - the ``frequencyDesc`` order - into
+    one regular ``StringIndexerModel`` per column (chained in a
+    ``PipelineModel`` that can be saved and loaded like any other).
+    """
+    cols = list(cols)
+    counts = value_counts(df, cols).where(F.col("value").isNotNull()).cache()
+    try:
+        if max_labels is not None:
+            too_big = (counts.groupBy("column").agg(F.count(F.lit(1)).alias("k"))
+                       .where(F.col("k") > max_labels).collect())
+            if too_big:
+                raise ValueError(f"columns with more than {max_labels} labels: "
+                                 f"{[r['column'] for r in too_big]}; use index_table()")
+        labels = {c: [] for c in cols}
+        for r in counts.collect():
+            labels[r["column"]].append((-r["n"], r["value"]))
+    finally:
+        counts.unpersist()
+    return PipelineModel([
+        StringIndexerModel.from_labels([v for _, v in sorted(labels[c])], inputCol=c,
+                                       outputCol=c + suffix, handleInvalid=handle_invalid)
+        for c in cols])
+
+
+def index_labels(model) -> list[list[str]]:
+    """Ordered labels per column of a fitted index (either fit function)."""
+    stages = model.stages if isinstance(model, PipelineModel) else [model]
+    out = []
+    for st in stages:
+        out.extend([list(a) for a in st.labelsArray])
+    return out
+
+
+def fit_string_indexer(df: DataFrame, cols, suffix: str = "_cat",
+                       handle_invalid: str = "error") -> StringIndexerModel:
+    """The stock ``StringIndexer`` fit (same result; its final merge runs in one task)."""
     indexer = StringIndexer(inputCols=list(cols), outputCols=[c + suffix for c in cols],
                             handleInvalid=handle_invalid, stringOrderType="frequencyDesc")
     return indexer.fit(df)

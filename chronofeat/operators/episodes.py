@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import reliable_checkpoint, reuse
+from ..session import reliable_checkpoint
 from .scan import DEFAULT_ROWS_PER_BUCKET, DEFAULT_SINGLE_TASK_ROWS, ordered_scan
 
 OUTPUTS = ("brk", "prev_entity", "prev_label", "running_breaks", "case_id", "time")
@@ -175,8 +175,8 @@ def _distributed(df, entity, ts, label, tiebreak, outputs, max_block_rows, scan_
             .withColumn("_pend", F.count(F.lit(1)).over(w_peer) - 1)
             .withColumn("_sc", F.sum("_st").over(w_peer))
             .withColumn("_le", F.max(F.when(F.col("_st") == 1, F.col("_pk"))).over(w_peer)))
-    # used twice (block table, join back): keep it instead of re-sorting all rows
-    rows = reuse(rows)
+    # ``rows`` feeds both the block table and the join back; within one query
+    # Spark reuses its shuffle exchange, so the rows are shuffled once.
 
     blocks = rows.groupBy(*blk).agg(
         F.first(e).alias("_ent"),

@@ -40,15 +40,16 @@ def typed_literal(value, dtype: T.DataType) -> Column:
 
 
 def time_percent_rank(df: DataFrame, ts: str, out: str = "pr",
-                      scan_buckets: int | None = None) -> DataFrame:
+                      scan_buckets: int | None = None, persist: bool = False) -> DataFrame:
     """``percent_rank() over (order by ts)`` as a column, without a global window.
 
     ``(rows before) / max(n - 1, 1)``; equals Spark's ``percent_rank`` (0.0 for
     a single row). Per-value counts are scanned in order and joined back on
     ``ts`` (NULL-safe); Spark broadcasts that table only when its measured
-    size is under the broadcast threshold.
+    size is under the broadcast threshold. ``persist=True`` keeps ``df``
+    between its two passes (worth it only when ``df`` is costly to recompute).
     """
-    df = reuse(df)
+    df = reuse(df) if persist else df
     counts = df.groupBy(F.col(ts).alias("_t")).agg(F.count(F.lit(1)).alias("_c")).cache()
     stats = counts.agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("k")).first()
     n, k = stats["n"] or 0, stats["k"]
@@ -123,13 +124,15 @@ def split_column(df: DataFrame, ts: str, hi, lo, out: str = "split") -> DataFram
 
 
 def time_split(df: DataFrame, ts: str, bounds=(0.8, 0.9), out: str = "split",
-               scan_buckets: int | None = None) -> DataFrame:
+               scan_buckets: int | None = None, persist: bool = False) -> DataFrame:
     """``df`` plus a ``split`` column: train / val / test by time position.
 
-    Two passes over ``df`` (cuts, then labelling), so an expensive input is
-    persisted first (see :func:`chronofeat.session.reuse`).
+    Two passes over ``df``: the cut pass reads only ``ts`` (column pruning),
+    the labelling is a projection fused into whatever consumes it.
+    ``persist=True`` keeps ``df`` between the passes, for inputs that are
+    costly to recompute (see :func:`chronofeat.session.reuse`).
     """
-    df = reuse(df)
+    df = reuse(df) if persist else df
     hi, lo, _ = time_cuts(df, ts, bounds, scan_buckets)
     return split_column(df, ts, hi, lo, out)
 
@@ -154,9 +157,10 @@ def split_predicates(df: DataFrame, ts: str, hi, lo) -> tuple[Column, Column, Co
     return train, val, test
 
 
-def split_frames(df: DataFrame, ts: str, bounds=(0.8, 0.9), scan_buckets: int | None = None):
+def split_frames(df: DataFrame, ts: str, bounds=(0.8, 0.9), scan_buckets: int | None = None,
+                 persist: bool = False):
     """Three DataFrames (train, val, test), each a pushed-down range filter."""
-    df = reuse(df)
+    df = reuse(df) if persist else df
     hi, lo, _ = time_cuts(df, ts, bounds, scan_buckets)
     return tuple(df.where(p) for p in split_predicates(df, ts, hi, lo))
 

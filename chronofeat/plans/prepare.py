@@ -12,10 +12,9 @@ This plan keeps its semantics with a fixed, small number of jobs:
 5. one split x label count
 6. one write of all splits (``partitionBy("split")``), or three writes
 
-A plain Parquet input is not cached: every job reads only the columns it
-needs (column pruning), which at scale is cheaper than storing a copy. An
-input that is itself a join or window (a view) is persisted once, so the
-shuffle behind it runs once. Column names are arguments (:class:`PrepSpec`), nothing is specific
+The input is not cached by default: every job reads only the columns it
+needs (column pruning), which is cheaper than storing a copy for a table;
+``persist_input=True`` keeps a costly view (a large join) between the jobs. Column names are arguments (:class:`PrepSpec`), nothing is specific
 to one dataset.
 """
 
@@ -87,14 +86,16 @@ def clean_frame(df: DataFrame, spec: PrepSpec) -> DataFrame:
     return df
 
 
-def prepare(df: DataFrame, spec: PrepSpec) -> Prepared:
+def prepare(df: DataFrame, spec: PrepSpec, persist_input: bool = False) -> Prepared:
     """Clean, split by time, fit indexers and scaler; return the lazy result.
 
     The cleaned input is read by four jobs (cuts, indexer fit, scaler fit,
-    write); it is persisted only if recomputing it would redo a shuffle
-    (a join or window upstream), see :func:`chronofeat.session.reuse`.
+    write), each pruned to its own columns. ``persist_input=True`` keeps it
+    between them when it is costly to recompute (a large join or window
+    upstream), see :func:`chronofeat.session.reuse`.
     """
-    df = reuse(clean_frame(df, spec))
+    df = clean_frame(df, spec)
+    df = reuse(df) if persist_input else df
     hi, lo, _ = split.time_cuts(df, spec.time, spec.bounds)
     labelled = split.split_column(df, spec.time, hi, lo)
     fit_rows = labelled if spec.fit_index_on == "all" else labelled.where(F.col("split") == "train")

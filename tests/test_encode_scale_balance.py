@@ -16,9 +16,8 @@ def _cats(spark):
 
 def test_index_order_frequency_then_label(spark):
     df = _cats(spark).where(F.col("c").isNotNull())
-    model = encode.fit_category_index(df, ["c", "n"])
-    assert list(model.labelsArray[0]) == ["c", "a", "b"]
-    assert list(model.labelsArray[1]) == ["1", "3"]  # ints indexed as strings
+    labels = encode.index_labels(encode.fit_category_index(df, ["c", "n"]))
+    assert labels == [["c", "a", "b"], ["1", "3"]]  # ints indexed as strings
 
 
 def test_index_null_raises_keep_and_skip(spark):
@@ -38,7 +37,7 @@ def test_index_table_equals_string_indexer(spark, buckets):
     table = encode.index_table(df, ["a", "b"], scan_buckets=buckets)
     for i, c in enumerate(["a", "b"]):
         got = {r["value"]: r["index"] for r in table.where(F.col("column") == c).collect()}
-        assert got == {lab: float(k) for k, lab in enumerate(model.labelsArray[i])}
+        assert got == {lab: float(k) for k, lab in enumerate(encode.index_labels(model)[i])}
     applied = encode.apply_index_table(df, table, ["a", "b"])
     direct = model.transform(df)
     assert applied.exceptAll(direct.select(*applied.columns)).count() == 0
@@ -109,3 +108,18 @@ def test_reference_weights_recomputed(spark):
     total = 20080658 + 4473741
     w = df.withColumn("w", F.lit(float(total)) / (2 * F.col("n"))).orderBy("y").collect()
     assert round(w[0].w, 8) == 0.61139428 and round(w[1].w, 8) == 2.74428035
+
+
+def test_one_pass_fit_equals_stock_string_indexer(spark):
+    from chronofeat.sources.views import SALES_CATEGORIES, sales_view
+    from conftest import SF01
+    sales = sales_view(spark, SF01)
+    ours = encode.fit_category_index(sales, SALES_CATEGORIES)
+    stock = encode.fit_string_indexer(sales, SALES_CATEGORIES)
+    assert encode.index_labels(ours) == encode.index_labels(stock)
+
+
+def test_label_guard_raises_before_collecting(spark):
+    df = spark.range(50).select(F.col("id").cast("string").alias("k"))
+    with pytest.raises(ValueError):
+        encode.fit_category_index(df, ["k"], max_labels=10)
