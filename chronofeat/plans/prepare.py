@@ -120,7 +120,7 @@ def summaries(prepared: Prepared, raw: DataFrame) -> dict[str, DataFrame]:
     return {"cardinality": card, "split_label_counts": counts, "class_weights": weights}
 
 
-def export(prepared: Prepared, path: str, num_files: int | None = 10,
+def export(prepared: Prepared, path: str, num_files: int | None = None,
            one_job: bool = True) -> str:
     """Write the splits as Parquet (``path/split=<name>/`` or three folders)."""
     if one_job:

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW_GROUP_BYTES = 1024 * 1024
 
 
-def write_shards(df: DataFrame, path: str, num_files: int | None = 10,
+def write_shards(df: DataFrame, path: str, num_files: int | None = None,
                  block_size: int = ROW_GROUP_BYTES, partition_by=None,
                  max_records_per_file: int | None = None, mode: str = "overwrite") -> str:
     """Write ``df`` as Parquet with small row groups so every reader gets some.
 
-    ``num_files`` reproduces the reference's round-robin ``repartition(n)``
-    (a full shuffle). ``num_files=None`` writes one file per task with no
-    shuffle - the right choice at scale, where there are already far more
-    tasks than readers; ``max_records_per_file`` then bounds file size.
+    ``num_files=None`` (default) writes one file per task with no shuffle -
+    the right choice at scale, where there are already far more tasks than
+    readers; ``max_records_per_file`` then bounds file size. ``num_files=n``
+    reproduces the reference's round-robin ``repartition(n)`` layout (a full
+    shuffle; use it for small outputs that must have an exact file count).
     ``partition_by`` writes several outputs (e.g. all three splits) in one job.
     """
     out = df.repartition(num_files) if num_files else df
@@ -49,16 +52,28 @@ def shard_column(df: DataFrame, key: str | None, num_shards: int, out: str = "sh
     return df.withColumn(out, expr.cast("int"))
 
 
+def shard_files(spark: SparkSession, path: str, shard: int, num_shards: int) -> list[str]:
+    """Data files of reader ``shard`` out of ``num_shards`` (stable hash of the file URI).
+
+    The listing is the one Spark makes for any read of ``path`` (one entry per
+    file, not per row), so it is cheap to hash on the driver.
+    """
+    files = sorted(spark.read.parquet(path).inputFiles())
+    return [f for f in files
+            if zlib.crc32(f.encode()) % num_shards == shard]
+
+
 def read_shard(spark: SparkSession, path: str, shard: int, num_shards: int) -> DataFrame:
     """Rows of reader ``shard`` out of ``num_shards``: whole files, disjoint, exhaustive.
 
-    Files are assigned by a hash of their path (a ``_metadata`` column), so a
-    reader touches only its own files and the union of all shards is the
-    whole dataset.
+    Only the shard's own files are opened. A shard with no file is an empty
+    frame with the dataset's schema.
     """
-    df = spark.read.parquet(path)
-    fid = F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(num_shards))
-    return df.where(fid == shard)
+    files = shard_files(spark, path, shard, num_shards)
+    if not files:
+        return spark.read.parquet(path).limit(0)
+    base = spark.read.parquet(path)
+    return spark.read.schema(base.schema).option("basePath", path).parquet(*files)
 
 
 def shard_counts(df: DataFrame, shard: str = "shard") -> DataFrame:
