@@ -19,12 +19,14 @@ Parquet can use for row-group pruning:
 from __future__ import annotations
 
 import datetime as _dt
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import reuse
+from . import select
 from .scan import DEFAULT_ROWS_PER_BUCKET, DEFAULT_SINGLE_TASK_ROWS, ordered_scan
 
 TRAIN, VAL, TEST = "train", "val", "test"
@@ -79,14 +81,89 @@ def _cuts_from_counts(counts: DataFrame, bounds, scan_buckets):
     return row["hi"], row["lo"], n
 
 
-def time_cuts(df: DataFrame, ts: str, bounds=(0.8, 0.9),
-              scan_buckets: int | None = None) -> tuple[object, object, int]:
+REFINE_MIN_BYTES = 1 << 30
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` (no job is run)."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size.toString()) if hasattr(size, "toString") else int(size)
+
+
+def _last_position_at_most(n: int, bound: float):
+    """Largest p in [0, n) with p / max(n-1, 1) <= bound (double division)."""
+    denom = float(max(n - 1, 1))
+    p = min(n - 1, int(math.floor(bound * denom)))
+    while p + 1 <= n - 1 and (p + 1) / denom <= bound:
+        p += 1
+    while p >= 0 and p / denom > bound:
+        p -= 1
+    return p if p >= 0 else None
+
+
+def _first_position_at_least(n: int, bound: float):
+    """Smallest q in [0, n) with q / max(n-1, 1) >= bound (double division)."""
+    denom = float(max(n - 1, 1))
+    q = max(0, int(math.ceil(bound * denom)))
+    while q - 1 >= 0 and (q - 1) / denom >= bound:
+        q -= 1
+    while q <= n - 1 and q / denom < bound:
+        q += 1
+    return q if q <= n - 1 else None
+
+
+def _cuts_by_refinement(df, ts, bounds, width, exact_rows):
+    """Cut values from exact order statistics (no shuffle of time values)."""
+    train_upto, test_from = bounds
+    dtype = df.schema[ts].dataType
+    key = select.order_key(F.col(ts), dtype)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count(ts).alias("nn"),
+                 F.min(key).alias("a"), F.max(key).alias("b")).first()
+    n, nn = row["n"], row["nn"]
+    if n == 0:
+        return None, None, 0
+    n_null = n - nn
+    stats = (nn, row["a"], row["b"])
+    p = _last_position_at_most(n, train_upto)       # position of the last train row
+    q = _first_position_at_least(n, test_from)      # first position allowed in test
+    wanted = {}
+    if p is not None and p >= n_null:
+        wanted["hi"] = p - n_null                   # non-NULL rank of the value at p
+    if q is not None and nn > 0 and q > n_null:
+        wanted["lo_prev"] = q - n_null - 1          # lo is the next value after this one
+    keys = select.kth_values(df, ts, list(wanted.values()), width, exact_rows, stats) if wanted else {}
+    hi = select.key_to_value(keys[wanted["hi"]], dtype) if "hi" in wanted else None
+    if q is None or nn == 0:
+        lo = None
+    elif q <= n_null:
+        lo = select.key_to_value(row["a"], dtype)   # every non-NULL value qualifies
+    else:
+        nxt = select.next_value(df, ts, keys[wanted["lo_prev"]])
+        lo = select.key_to_value(nxt, dtype) if nxt is not None else None
+    return hi, lo, n
+
+
+def time_cuts(df: DataFrame, ts: str, bounds=(0.8, 0.9), scan_buckets: int | None = None,
+              method: str = "auto", refine_width: int = select.DEFAULT_WIDTH,
+              refine_exact_rows: int = select.DEFAULT_EXACT_ROWS) -> tuple[object, object, int]:
     """Return ``(hi, lo, n)``: the two cut values and the row count.
 
-    One pass over ``df`` (per-value counts, combined map-side, so only
-    distinct values are shuffled), then an ordered scan of that table and a
-    tiny aggregate that brings two scalars to the driver.
+    ``histogram``: one pass of per-value counts (combined map-side, so only
+    distinct values shuffle), an ordered scan of that table and a tiny
+    aggregate that brings two scalars to the driver. ``refine``: exact order
+    statistics by bucket refinement (:mod:`chronofeat.operators.select`) -
+    several light passes over the time column with pushed-down range filters
+    and no shuffle of values, better when the input is large and times are
+    nearly unique. ``auto`` picks ``refine`` for integer-like / date / time
+    columns of inputs estimated above 1 GiB. Both are exact.
     """
+    if method == "auto":
+        big = estimated_bytes(df) >= REFINE_MIN_BYTES
+        method = "refine" if big and select.supports(df.schema[ts].dataType) else "histogram"
+    if method == "refine":
+        return _cuts_by_refinement(df, ts, bounds, refine_width, refine_exact_rows)
+    if method != "histogram":
+        raise ValueError(f"unknown method {method!r}")
     counts = df.groupBy(F.col(ts).alias("_t")).agg(F.count(F.lit(1)).alias("_c")).cache()
     try:
         return _cuts_from_counts(counts, bounds, scan_buckets)

@@ -91,3 +91,40 @@ def test_split_frames_equal_literal(spark, name):
     frames = split.split_frames(df, "t")
     for label, frame in zip(("train", "val", "test"), frames):
         assert same_rows(frame, lit.where(F.col("split") == label).drop("split"))
+
+
+@pytest.mark.parametrize("name", sorted(EDGE_CASES))
+def test_refined_cuts_equal_histogram_cuts(spark, name):
+    df = _ts_frame(spark, EDGE_CASES[name])
+    expect = split.time_cuts(df, "t", method="histogram")
+    got = split.time_cuts(df, "t", method="refine", refine_width=4, refine_exact_rows=3)
+    assert got == expect
+
+
+@pytest.mark.parametrize("sf,col,table", [
+    (SF01, "o_orderdate", "orders"), (SF01, "ts", "events"), (SF01, "l_shipdate", "lineitem"),
+])
+def test_refined_cuts_on_tables(spark, sf, col, table):
+    df = spark.read.parquet(f"{sf}/{table}.parquet")
+    expect = split.time_cuts(df, col, method="histogram")
+    got = split.time_cuts(df, col, method="refine", refine_width=16, refine_exact_rows=50)
+    assert got == expect
+
+
+def test_refined_cuts_with_nulls_and_dates(spark):
+    import datetime as dt
+    rows = [(i, None if i % 4 == 0 else dt.date(2020, 1, 1) + dt.timedelta(days=i // 3))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, d date")
+    assert (split.time_cuts(df, "d", method="refine", refine_width=3, refine_exact_rows=5)
+            == split.time_cuts(df, "d", method="histogram"))
+
+
+def test_refinement_range_filter_reaches_parquet(spark):
+    from chronofeat.operators import select
+    ev = spark.read.parquet(f"{SF01}/events.parquet")
+    dtype = ev.schema["ts"].dataType
+    q = ev.where(select._in_range(F.col("ts"), dtype, 1_704_067_200_000_000, 1_704_153_600_000_000))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThanOrEqual(ts" in plan
+    assert select.key_to_value(1_704_067_200_000_000, dtype).isoformat() == "2024-01-01T00:00:00"
