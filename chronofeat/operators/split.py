@@ -183,8 +183,18 @@ def split_label_counts(df: DataFrame, ts: str, label: str, bounds=(0.8, 0.9),
             .agg(F.count(F.lit(1)).alias("_c")).cache())
     per_t = hist.groupBy("_t").agg(F.sum("_c").alias("_c"))
     hi, lo, _ = _cuts_from_counts(per_t, bounds, scan_buckets)
-    labelled = split_column(hist.withColumnRenamed("_t", ts), ts, hi, lo)
-    return labelled.groupBy("split", label).agg(F.sum("_c").alias("n"))
+    return _label_counts(hist.withColumnRenamed("_t", ts), ts, label, hi, lo)
+
+
+def _label_counts(hist: DataFrame, ts: str, label: str, hi, lo) -> DataFrame:
+    labelled = split_column(hist, ts, hi, lo)
+    return labelled.groupBy("split", label).agg(F.sum("_c").cast("long").alias("n"))
+
+
+def label_counts_for_cuts(df: DataFrame, ts: str, label: str, hi, lo) -> DataFrame:
+    """(split, label, n) for known cut values, in one pass over ``df``."""
+    hist = df.groupBy(ts, label).agg(F.count(F.lit(1)).alias("_c"))
+    return _label_counts(hist, ts, label, hi, lo)
 
 
 def split_column(df: DataFrame, ts: str, hi, lo, out: str = "split") -> DataFrame:

@@ -110,13 +110,17 @@ def prepare(df: DataFrame, spec: PrepSpec, persist_input: bool = False) -> Prepa
     return Prepared(final.select(*keep), hi, lo, index_model, scaler_model, spec)
 
 
-def summaries(prepared: Prepared, raw: DataFrame) -> dict[str, DataFrame]:
-    """Cardinalities / embedding widths, split x label counts and class weights."""
+def summaries(prepared: Prepared, cleaned: DataFrame) -> dict[str, DataFrame]:
+    """Cardinalities / embedding widths, split x label counts and class weights.
+
+    ``cleaned`` is the input after :func:`clean_frame`. Each summary is one
+    pass: a map-side-combined value count, and a (time, label) histogram
+    labelled with the known cut values.
+    """
     spec = prepared.spec
-    card = encode.embedding_width(encode.cardinality(raw, spec.categories))
-    labelled = split.split_column(raw, spec.time, prepared.hi, prepared.lo)
-    counts = labelled.groupBy("split", spec.label).agg(F.count(F.lit(1)).alias("n"))
-    weights = class_weights(labelled.where(F.col("split") == "train"), spec.label)
+    card = encode.embedding_width(encode.cardinality(cleaned, spec.categories))
+    counts = split.label_counts_for_cuts(cleaned, spec.time, spec.label, prepared.hi, prepared.lo)
+    weights = class_weights(counts.where(F.col("split") == "train"), spec.label, count_col="n")
     return {"cardinality": card, "split_label_counts": counts, "class_weights": weights}
 
 

@@ -47,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="chronofeat-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

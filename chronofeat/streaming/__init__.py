@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference reads a static table and writes static Parquet; it has no
+streaming source, watermark, windowed state or late-data handling, so there
+is no streaming operator to rebuild. Batch operators here are DataFrame
+functions and can be applied per micro-batch with ``foreachBatch`` if needed.
+"""

@@ -108,3 +108,17 @@ def test_param_search_one_best(spark, prepared):
     assert len(rows) == 2 and sum(r.best for r in rows) >= 1
     for r in rows:
         assert 4.5e-5 <= r.reg_param <= 1.9e-2
+
+
+def test_summaries_match_direct_counts(spark, prepared):
+    raw = prep.clean_frame(sales_view(spark, SF001), _spec())
+    out = prep.summaries(prepared, raw)
+    counts = {(r.split, r.label): r.n for r in out["split_label_counts"].collect()}
+    direct = {(r.split, r.label): r["count"] for r in
+              prepared.frame.groupBy("split", "label").count().collect()}
+    assert counts == direct
+    widths = {r.column: r.width for r in out["cardinality"].collect()}
+    assert len(widths) == 12 and all(1 <= w <= 50 for w in widths.values())
+    w = {r.label: r.weight for r in out["class_weights"].collect()}
+    n0, n1 = counts[("train", 0)], counts[("train", 1)]
+    assert w[0] == pytest.approx((n0 + n1) / (2 * n0)) and w[1] == pytest.approx((n0 + n1) / (2 * n1))
