@@ -211,7 +211,8 @@ def split_column(df: DataFrame, ts: str, hi, lo, out: str = "split") -> DataFram
 
 
 def time_split(df: DataFrame, ts: str, bounds=(0.8, 0.9), out: str = "split",
-               scan_buckets: int | None = None, persist: bool = False) -> DataFrame:
+               scan_buckets: int | None = None, persist: bool = False,
+               **cut_options) -> DataFrame:
     """``df`` plus a ``split`` column: train / val / test by time position.
 
     Two passes over ``df``: the cut pass reads only ``ts`` (column pruning),
@@ -220,7 +221,7 @@ def time_split(df: DataFrame, ts: str, bounds=(0.8, 0.9), out: str = "split",
     costly to recompute (see :func:`chronofeat.session.reuse`).
     """
     df = reuse(df) if persist else df
-    hi, lo, _ = time_cuts(df, ts, bounds, scan_buckets)
+    hi, lo, _ = time_cuts(df, ts, bounds, scan_buckets, **cut_options)
     return split_column(df, ts, hi, lo, out)
 
 

@@ -120,6 +120,9 @@ def oracle_sql() -> dict[str, str]:
         f"ROUND(CASE WHEN d_{c} = 0 THEN 0.0 ELSE ({c} - m_{c}) / d_{c} END, 4) AS s_{c}"
         for c in CONT)
     feats = ", ".join(f"CAST({c} AS DOUBLE)" for c in CONT)
+    scaled32 = ", ".join(
+        f"ROUND(CAST(CAST(CASE WHEN d_{c} = 0 THEN 0.0 ELSE ({c} - m_{c}) / d_{c} END AS FLOAT) "
+        f"AS DOUBLE), 4) AS s_{c}" for c in CONT)
     sql = {
         "scan_view": _with(s) + "SELECT * FROM sales_view",
         "export_roundtrip": _with(s, SPLIT) +
@@ -226,4 +229,11 @@ SELECT 'score', ROUND(CAST(SUM(pos * (nb + 0.5 * neg)) AS DOUBLE)
         "weighted_f1": _with(e, SCORED, _class_counts()) +
             "SELECT ROUND((f_0 * sup_0 + f_1 * sup_1) / total, 10) AS weighted_f1 FROM f",
     }
+    # the scale-path variants must give exactly the base query's rows
+    sql["episodes_split_blocks"] = sql["episodes"]
+    sql["time_split_refined"] = sql["time_split"]
+    sql["category_index_joined"] = sql["category_index"]
+    sql["scaled_features_f32"] = _with(s, SPLIT, f"""st AS (
+  SELECT {train_stats} FROM sales_split WHERE split = 'train')""") + \
+        f"SELECT split, {scaled32} FROM sales_split, st"
     return sql

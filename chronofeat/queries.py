@@ -177,6 +177,18 @@ def q_episodes(spark, d):
         "event_id", "entity", "ts_hour", "label", "case_id", "time")
 
 
+def q_episodes_split_blocks(spark, d):
+    """Episodes through the scale paths: hot-entity time blocks and bucketed scans.
+
+    ``max_block_rows`` is set so that every entity of the events table is
+    "hot" and cut into several blocks, and the block table is scanned in
+    range buckets - the same code that runs on a 100 TB input.
+    """
+    out = episodes.assign_episodes(_events(spark, d), "entity", "ts_hour", "label", "event_id",
+                                   outputs=("case_id", "time"), max_block_rows=8, scan_buckets=4)
+    return out.select("event_id", "entity", "ts_hour", "label", "case_id", "time")
+
+
 def q_time_polynomial(spark, d):
     ep = episodes.time_polynomial(_episodes(spark, d, ("time",)))
     return ep.select("event_id", "time", "time2", "time3")
@@ -200,6 +212,13 @@ def _split_label_counts(spark, d):
     return split.split_label_counts(_sales(spark, d), "o_orderdate", "label")
 
 
+def q_time_split_refined(spark, d):
+    """Split through exact bucket refinement (the large-input method), several levels deep."""
+    out = split.time_split(_sales(spark, d), "o_orderdate", method="refine",
+                           refine_width=16, refine_exact_rows=500)
+    return out.select("o_orderdate", "label", "split")
+
+
 def q_split_counts(spark, d):
     return _split_label_counts(spark, d).groupBy("split").agg(F.sum("n").cast("long").alias("n"))
 
@@ -242,6 +261,14 @@ def q_category_index_table(spark, d):
     return encode.index_table(sales, CATS).select("column", "value", "n", "index")
 
 
+def q_category_index_joined(spark, d):
+    """Index applied from the distributed index table with joins (high-cardinality path)."""
+    sales = _sales(spark, d)
+    table = encode.index_table(sales, CATS, scan_buckets=3)
+    out = encode.apply_index_table(sales, table, CATS, handle_invalid="error")
+    return out.select(*[c + "_cat" for c in CATS])
+
+
 def q_pack_categories(spark, d):
     sales = _sales(spark, d)
     out = encode.fit_category_index(sales, CATS).transform(sales)
@@ -261,6 +288,15 @@ def q_scaled_features(spark, d):
                                  for i, c in enumerate(CONT)])
 
 
+def q_scaled_features_f32(spark, d):
+    """Export form: scaled vector as ``array<float>`` (compared after widening, rounded)."""
+    s = _split_sales(spark, d)
+    model = scale.fit_scaler(s.where(F.col("split") == "train"), CONT, "scaled")
+    out = scale.apply_scaler(model, s, CONT, "scaled", as_array="float32")
+    return out.select("split", *[F.round(F.col("scaled")[i].cast("double"), 4).alias(f"s_{c}")
+                                 for i, c in enumerate(CONT)])
+
+
 # ---------------------------------------------------------------------------
 # G: scalar functions
 
@@ -374,9 +410,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "running_breaks": q_running_breaks,
     "case_time": q_case_time,
     "episodes": q_episodes,
+    "episodes_split_blocks": q_episodes_split_blocks,
     "time_polynomial": q_time_polynomial,
     "time_percent_rank": q_time_percent_rank,
     "time_split": q_time_split,
+    "time_split_refined": q_time_split_refined,
     "split_counts": q_split_counts,
     "label_distribution": q_label_distribution,
     "class_weights": q_class_weights,
@@ -385,9 +423,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "embedding_width": q_embedding_width,
     "category_index": q_category_index,
     "category_index_table": q_category_index_table,
+    "category_index_joined": q_category_index_joined,
     "pack_categories": q_pack_categories,
     "assembled_array": q_assembled_array,
     "scaled_features": q_scaled_features,
+    "scaled_features_f32": q_scaled_features_f32,
     "argmax_class": q_argmax_class,
     "weighted_log_loss": q_weighted_log_loss,
     "accuracy": q_accuracy,
