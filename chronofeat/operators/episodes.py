@@ -178,8 +178,10 @@ def _distributed(df, entity, ts, label, tiebreak, outputs, max_block_rows, scan_
     # ``rows`` feeds both the block table and the join back; within one query
     # Spark reuses its shuffle exchange, so the rows are shuffled once.
 
-    blocks = rows.groupBy(*blk).agg(
-        F.first(e).alias("_ent"),
+    # the entity value is fixed by the block key; grouping by it (instead of
+    # first()) keeps every aggregate buffer fixed-width, so the aggregation is
+    # hash-based and reuses the rows' hash partitioning without a new exchange
+    blocks = rows.groupBy(*blk, e.alias("_ent")).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum("_st").alias("_sin"),
         F.max_by(y, F.col("_rn")).alias("_last"),
