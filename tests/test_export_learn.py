@@ -5,7 +5,6 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from chronofeat.operators.scan import ordered_scan  # noqa: F401  (import check)
 from chronofeat.plans import learn
 from chronofeat.plans import prepare as prep
 from chronofeat.session import shared_path
