@@ -16,6 +16,7 @@ string form. Two ways to fit/apply it:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame
@@ -139,9 +140,13 @@ def apply_index_table(df: DataFrame, table: DataFrame, cols, suffix: str = "_cat
 
     ``keep`` maps NULL / unseen labels to the column's label count, ``skip``
     drops such rows. Each column is a separate equi-join (broadcast by AQE
-    when the column's label table is small, shuffle join otherwise).
+    when the column's label table is small, shuffle join otherwise). The
+    index table is persisted (memory, spilling to disk) because every
+    column's join reads it.
     """
     out = df
+    # read once per column below: keep it rather than re-deriving it each time
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
     # one row per column: bounded, safe to bring to the driver
     sizes = {r["column"]: r["_k"] for r in
              table.groupBy("column").agg(F.count(F.lit(1)).alias("_k")).collect()}
