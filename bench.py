@@ -38,7 +38,7 @@ def _run(df):
 
 
 def main():
-    from chronofeat.operators import encode, episodes, split
+    from chronofeat.operators import episodes, split
     from chronofeat.plans import prepare as prep
     from chronofeat.queries import CATS, CONT, QUERIES, _sales_spec
     from chronofeat.session import local_session, shared_path
@@ -53,11 +53,10 @@ def main():
 
     def prepare_and_export():
         """The preparation plan: split, index, scale, export, plus its summaries."""
-        raw = sales_view(spark, SF_DIR)
-        p = prep.prepare(raw, _sales_spec())
+        p = prep.prepare(sales_view(spark, SF_DIR), _sales_spec())
         prep.export(p, shared_path(spark, "bench-export"), num_files=10)
-        encode.embedding_width(encode.cardinality(raw, CATS)).collect()
-        split.split_label_counts(raw, "o_orderdate", "label").collect()
+        for table in prep.summaries(p).values():
+            table.collect()
         return None
 
     def prepare_and_export_literal():

@@ -81,20 +81,38 @@ def fit_category_index(df: DataFrame, cols, suffix: str = "_cat", handle_invalid
     one regular ``StringIndexerModel`` per column (chained in a
     ``PipelineModel`` that can be saved and loaded like any other).
     """
-    cols = list(cols)
-    counts = value_counts(df, cols).where(F.col("value").isNotNull()).cache()
+    counts = value_counts(df, cols).cache()
     try:
-        if max_labels is not None:
-            too_big = (counts.groupBy("column").agg(F.count(F.lit(1)).alias("k"))
-                       .where(F.col("k") > max_labels).collect())
-            if too_big:
-                raise ValueError(f"columns with more than {max_labels} labels: "
-                                 f"{[r['column'] for r in too_big]}; use index_table()")
-        labels = {c: [] for c in cols}
-        for r in counts.collect():
-            labels[r["column"]].append((-r["n"], r["value"]))
+        return _model_from_counts(counts, list(cols), suffix, handle_invalid, max_labels)
     finally:
         counts.unpersist()
+
+
+def index_and_cardinality(df: DataFrame, cols, suffix: str = "_cat",
+                          handle_invalid: str = "error",
+                          max_labels: int | None = DEFAULT_MAX_LABELS):
+    """``(model, cardinality)`` from the same single pass of value counts.
+
+    ``cardinality`` (column, cardinality) counts NULL as a value, like
+    :func:`cardinality`; it is a lazy view of the cached count table.
+    """
+    counts = value_counts(df, cols).cache()
+    model = _model_from_counts(counts, list(cols), suffix, handle_invalid, max_labels)
+    card = counts.groupBy("column").agg(F.count(F.lit(1)).alias("cardinality"))
+    return model, card
+
+
+def _model_from_counts(counts, cols, suffix, handle_invalid, max_labels):
+    labelled = counts.where(F.col("value").isNotNull())
+    if max_labels is not None:
+        too_big = (labelled.groupBy("column").agg(F.count(F.lit(1)).alias("k"))
+                   .where(F.col("k") > max_labels).collect())
+        if too_big:
+            raise ValueError(f"columns with more than {max_labels} labels: "
+                             f"{[r['column'] for r in too_big]}; use index_table()")
+    labels = {c: [] for c in cols}
+    for r in labelled.collect():
+        labels[r["column"]].append((-r["n"], r["value"]))
     return PipelineModel([
         StringIndexerModel.from_labels([v for _, v in sorted(labels[c])], inputCol=c,
                                        outputCol=c + suffix, handleInvalid=handle_invalid)

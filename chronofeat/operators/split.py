@@ -171,6 +171,21 @@ def time_cuts(df: DataFrame, ts: str, bounds=(0.8, 0.9), scan_buckets: int | Non
         counts.unpersist()
 
 
+def cuts_and_label_counts(df: DataFrame, ts: str, label: str, bounds=(0.8, 0.9),
+                          scan_buckets: int | None = None):
+    """``(hi, lo, n, counts)`` from one pass: cut values and (split, label, n).
+
+    The rows are read once into a (time, label) histogram - the same size as a
+    per-time histogram - which yields both the cuts and the split x label
+    counts. The histogram stays cached: ``counts`` is a lazy view of it.
+    """
+    hist = (df.groupBy(F.col(ts).alias("_t"), F.col(label).alias(label))
+            .agg(F.count(F.lit(1)).alias("_c")).cache())
+    per_t = hist.groupBy("_t").agg(F.sum("_c").alias("_c"))
+    hi, lo, n = _cuts_from_counts(per_t, bounds, scan_buckets)
+    return hi, lo, n, _label_counts(hist.withColumnRenamed("_t", ts), ts, label, hi, lo)
+
+
 def split_label_counts(df: DataFrame, ts: str, label: str, bounds=(0.8, 0.9),
                        scan_buckets: int | None = None) -> DataFrame:
     """(split, label, n) in one pass over ``df``.
@@ -179,11 +194,7 @@ def split_label_counts(df: DataFrame, ts: str, label: str, bounds=(0.8, 0.9),
     rows of each label share each time value, so the rows are read once into a
     (time, label) histogram; cuts and counts come from that small table.
     """
-    hist = (df.groupBy(F.col(ts).alias("_t"), F.col(label).alias(label))
-            .agg(F.count(F.lit(1)).alias("_c")).cache())
-    per_t = hist.groupBy("_t").agg(F.sum("_c").alias("_c"))
-    hi, lo, _ = _cuts_from_counts(per_t, bounds, scan_buckets)
-    return _label_counts(hist.withColumnRenamed("_t", ts), ts, label, hi, lo)
+    return cuts_and_label_counts(df, ts, label, bounds, scan_buckets)[3]
 
 
 def _label_counts(hist: DataFrame, ts: str, label: str, hi, lo) -> DataFrame:

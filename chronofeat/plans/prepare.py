@@ -3,14 +3,14 @@
 The reference's preparation issues about 53 Spark actions, each recomputing
 from the source view (23 indexer fits, 22 distinct counts, 3 counts, ...), and
 sorts the whole table in one task twice (episode windows and percent_rank).
-This plan keeps its semantics with a fixed, small number of jobs:
+This plan keeps its semantics with four passes over the input:
 
-1. cut values of the time split (per-time counts + ordered scan)
-2. one multi-column indexer fit (all categorical columns in one pass)
-3. one scaler fit on the training rows
-4. one cardinality aggregate (all categorical columns in one pass)
-5. one split x label count
-6. one write of all splits (``partitionBy("split")``), or three writes
+1. a (time, label) histogram: cut values of the time split and the split x
+   label counts
+2. value counts of all categorical columns: every indexer and every
+   cardinality
+3. the scaler fit on the training rows
+4. one write of all splits (``partitionBy("split")``), or three writes
 
 The input is not cached by default: every job reads only the columns it
 needs (column pruning), which is cheaper than storing a copy for a table;
@@ -63,6 +63,8 @@ class Prepared:
     index_model: object
     scaler_model: object
     spec: PrepSpec
+    label_counts: DataFrame | None = None   # (split, label, n), from the cut pass
+    cardinality: DataFrame | None = None    # (column, cardinality), from the index pass
 
     def split(self, name: str) -> DataFrame:
         return self.frame.where(F.col("split") == name).drop("split")
@@ -89,37 +91,55 @@ def clean_frame(df: DataFrame, spec: PrepSpec) -> DataFrame:
 def prepare(df: DataFrame, spec: PrepSpec, persist_input: bool = False) -> Prepared:
     """Clean, split by time, fit indexers and scaler; return the lazy result.
 
-    The cleaned input is read by four jobs (cuts, indexer fit, scaler fit,
-    write), each pruned to its own columns. ``persist_input=True`` keeps it
-    between them when it is costly to recompute (a large join or window
-    upstream), see :func:`chronofeat.session.reuse`.
+    Three passes over the cleaned input before the write, each pruned to its
+    own columns: (time, label) histogram -> cut values and split x label
+    counts; value counts -> indexer labels and cardinalities; train moments ->
+    scaler. ``persist_input=True`` keeps the input between them when it is
+    costly to recompute (a large join or window upstream), see
+    :func:`chronofeat.session.reuse`. With very large inputs the cut values
+    come from bucket refinement and the label counts take one more pass.
     """
     df = clean_frame(df, spec)
     df = reuse(df) if persist_input else df
-    hi, lo, _ = split.time_cuts(df, spec.time, spec.bounds)
+    if split.estimated_bytes(df) >= split.REFINE_MIN_BYTES and \
+            split.select.supports(df.schema[spec.time].dataType):
+        hi, lo, _ = split.time_cuts(df, spec.time, spec.bounds, method="refine")
+        label_counts = split.label_counts_for_cuts(df, spec.time, spec.label, hi, lo)
+    else:
+        hi, lo, _, label_counts = split.cuts_and_label_counts(df, spec.time, spec.label,
+                                                              spec.bounds)
     labelled = split.split_column(df, spec.time, hi, lo)
-    fit_rows = labelled if spec.fit_index_on == "all" else labelled.where(F.col("split") == "train")
-    handle = spec.handle_invalid if spec.fit_index_on == "all" else "keep"
-    index_model = encode.fit_category_index(fit_rows, spec.categories, "_cat", handle)
+    if spec.fit_index_on == "all":
+        index_model, card = encode.index_and_cardinality(
+            labelled, spec.categories, "_cat", spec.handle_invalid)
+    else:
+        index_model = encode.fit_category_index(labelled.where(F.col("split") == "train"),
+                                                spec.categories, "_cat", "keep")
+        card = encode.cardinality(df, spec.categories)
     indexed = index_model.transform(labelled).drop(*spec.categories)
     train = indexed.where(F.col("split") == "train")
     scaler_model = scale.fit_scaler(train, spec.continuous, spec.features_col)
     extra = ["case_id", "time", "time2", "time3"] if spec.episodes else []
     final = scale.apply_scaler(scaler_model, indexed, spec.continuous, spec.features_col)
     keep = [spec.label] + [c + "_cat" for c in spec.categories] + extra + [spec.features_col, "split"]
-    return Prepared(final.select(*keep), hi, lo, index_model, scaler_model, spec)
+    return Prepared(final.select(*keep), hi, lo, index_model, scaler_model, spec,
+                    label_counts, encode.embedding_width(card))
 
 
-def summaries(prepared: Prepared, cleaned: DataFrame) -> dict[str, DataFrame]:
+def summaries(prepared: Prepared, cleaned: DataFrame | None = None) -> dict[str, DataFrame]:
     """Cardinalities / embedding widths, split x label counts and class weights.
 
-    ``cleaned`` is the input after :func:`clean_frame`. Each summary is one
-    pass: a map-side-combined value count, and a (time, label) histogram
-    labelled with the known cut values.
+    All three come from tables the preparation already built (no new pass
+    over the data); ``cleaned`` is only read if those are missing.
     """
     spec = prepared.spec
-    card = encode.embedding_width(encode.cardinality(cleaned, spec.categories))
-    counts = split.label_counts_for_cuts(cleaned, spec.time, spec.label, prepared.hi, prepared.lo)
+    card = prepared.cardinality
+    if card is None:
+        card = encode.embedding_width(encode.cardinality(cleaned, spec.categories))
+    counts = prepared.label_counts
+    if counts is None:
+        counts = split.label_counts_for_cuts(cleaned, spec.time, spec.label,
+                                             prepared.hi, prepared.lo)
     weights = class_weights(counts.where(F.col("split") == "train"), spec.label, count_col="n")
     return {"cardinality": card, "split_label_counts": counts, "class_weights": weights}
 

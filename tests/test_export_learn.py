@@ -116,8 +116,11 @@ def test_summaries_match_direct_counts(spark, prepared):
     direct = {(r.split, r.label): r["count"] for r in
               prepared.frame.groupBy("split", "label").count().collect()}
     assert counts == direct
-    widths = {r.column: r.width for r in out["cardinality"].collect()}
-    assert len(widths) == 12 and all(1 <= w <= 50 for w in widths.values())
+    from chronofeat.operators import encode
+    got = {r.column: (r.cardinality, r.width) for r in out["cardinality"].collect()}
+    direct = {r.column: r.cardinality for r in encode.cardinality(raw, prepared.spec.categories).collect()}
+    assert {c: v[0] for c, v in got.items()} == direct
+    assert all(w == min(50, (k + 2) // 2) for k, w in got.values())
     w = {r.label: r.weight for r in out["class_weights"].collect()}
     n0, n1 = counts[("train", 0)], counts[("train", 1)]
     assert w[0] == pytest.approx((n0 + n1) / (2 * n0)) and w[1] == pytest.approx((n0 + n1) / (2 * n1))
