@@ -65,6 +65,17 @@ class Prepared:
     spec: PrepSpec
     label_counts: DataFrame | None = None   # (split, label, n), from the cut pass
     cardinality: DataFrame | None = None    # (column, cardinality), from the index pass
+    labelled: DataFrame | None = None       # cleaned input with ``split``, before transforms
+
+    def transform(self, labelled: DataFrame) -> DataFrame:
+        """Apply the fitted index and scaler to rows that carry a ``split`` column."""
+        spec = self.spec
+        indexed = self.index_model.transform(labelled).drop(*spec.categories)
+        final = scale.apply_scaler(self.scaler_model, indexed, spec.continuous, spec.features_col)
+        extra = ["case_id", "time", "time2", "time3"] if spec.episodes else []
+        keep = ([spec.label] + [c + "_cat" for c in spec.categories] + extra
+                + [spec.features_col, "split"])
+        return final.select(*keep)
 
     def split(self, name: str) -> DataFrame:
         return self.frame.where(F.col("split") == name).drop("split")
@@ -119,11 +130,10 @@ def prepare(df: DataFrame, spec: PrepSpec, persist_input: bool = False) -> Prepa
     indexed = index_model.transform(labelled).drop(*spec.categories)
     train = indexed.where(F.col("split") == "train")
     scaler_model = scale.fit_scaler(train, spec.continuous, spec.features_col)
-    extra = ["case_id", "time", "time2", "time3"] if spec.episodes else []
-    final = scale.apply_scaler(scaler_model, indexed, spec.continuous, spec.features_col)
-    keep = [spec.label] + [c + "_cat" for c in spec.categories] + extra + [spec.features_col, "split"]
-    return Prepared(final.select(*keep), hi, lo, index_model, scaler_model, spec,
-                    label_counts, encode.embedding_width(card))
+    prepared = Prepared(None, hi, lo, index_model, scaler_model, spec,
+                        label_counts, encode.embedding_width(card), labelled)
+    prepared.frame = prepared.transform(labelled)
+    return prepared
 
 
 def summaries(prepared: Prepared, cleaned: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -146,9 +156,21 @@ def summaries(prepared: Prepared, cleaned: DataFrame | None = None) -> dict[str,
 
 def export(prepared: Prepared, path: str, num_files: int | None = None,
            one_job: bool = True) -> str:
-    """Write the splits as Parquet (``path/split=<name>/`` or three folders)."""
+    """Write the splits as Parquet (``path/split=<name>/`` or three folders).
+
+    With ``num_files`` the round-robin repartition is applied to the labelled
+    input rows *before* the row-wise index / scale transforms (they commute),
+    so the single shuffle also spreads the transform work over ``num_files``
+    tasks instead of running it wherever the input partitions happen to be.
+    """
+    if num_files and prepared.labelled is not None:
+        frame = prepared.transform(prepared.labelled.repartition(num_files))
+        spread = None
+    else:
+        frame, spread = prepared.frame, num_files
     if one_job:
-        return write_shards(prepared.frame, path, num_files=num_files, partition_by="split")
+        return write_shards(frame, path, num_files=spread, partition_by="split")
     for name in ("train", "val", "test"):
-        write_shards(prepared.split(name), f"{path}/{name}", num_files=num_files)
+        part = frame.where(F.col("split") == name).drop("split")
+        write_shards(part, f"{path}/{name}", num_files=spread)
     return path
