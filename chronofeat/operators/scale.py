@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
-
-from ..functions.scalar import vector_to_float32, vector_to_float64
+from pyspark.sql import functions as F
 
 
 def assembler(cols, out: str = "features", handle_invalid: str = "error") -> VectorAssembler:
@@ -34,12 +33,38 @@ def fit_scaler(train: DataFrame, cols, out: str = "scaledFeatures",
     ]).fit(train)
 
 
+def scaler_coefficients(model: PipelineModel) -> tuple[list[float], list[float]]:
+    """(shift, scale) per feature of a fitted scaler: x -> (x - shift) * scale.
+
+    As in ``StandardScalerModel``: shift = mean, scale = 1 / std, and 0 where
+    the standard deviation is 0. One value per feature: driver-sized.
+    """
+    fitted = model.stages[-1]
+    mean = [float(v) for v in fitted.mean.toArray()]
+    std = [float(v) for v in fitted.std.toArray()]
+    return mean, [1.0 / s if s != 0.0 else 0.0 for s in std]
+
+
 def apply_scaler(model: PipelineModel, df: DataFrame, cols, out: str = "scaledFeatures",
                  as_array: str | None = "float32", drop_input: bool = True) -> DataFrame:
-    """Scale ``df`` with a fitted model; optionally turn the vector into an array."""
-    res = model.transform(df).drop("_features")
-    if as_array == "float32":
-        res = res.withColumn(out, vector_to_float32(out))
-    elif as_array == "float64":
-        res = res.withColumn(out, vector_to_float64(out))
+    """Scale ``df`` with a fitted model; optionally as an array instead of a vector.
+
+    For array output the model's own arithmetic, ``(x - mean) * (1 / std)``
+    in double precision, is written as column expressions: a projection
+    inside whole-stage codegen, with no vector serialisation. A NULL input
+    raises, as the assembler does. ``as_array=None`` keeps the ML vector path.
+    """
+    if as_array is None:
+        res = model.transform(df).drop("_features")
+        return res.drop(*cols) if drop_input else res
+    shift, scale_ = scaler_coefficients(model)
+    dtype = "float" if as_array == "float32" else "double"
+    items = []
+    for c, m, k in zip(cols, shift, scale_):
+        x = F.col(c).cast("double")
+        value = (x - F.lit(m)) * F.lit(k)
+        checked = F.when(x.isNull(), F.raise_error(F.lit(f"NULL in feature column {c}"))) \
+                   .otherwise(value)
+        items.append(checked.cast(dtype))
+    res = df.withColumn(out, F.array(*items))
     return res.drop(*cols) if drop_input else res

@@ -123,3 +123,24 @@ def test_label_guard_raises_before_collecting(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("k"))
     with pytest.raises(ValueError):
         encode.fit_category_index(df, ["k"], max_labels=10)
+
+
+@pytest.mark.parametrize("as_array", ["float32", "float64"])
+def test_column_scaling_equals_ml_transform(spark, as_array):
+    from chronofeat.sources.views import SALES_CONTINUOUS, sales_view
+    from conftest import SF01
+    from pyspark.ml.functions import vector_to_array
+    sales = sales_view(spark, SF01)
+    model = scale.fit_scaler(sales, SALES_CONTINUOUS, "s")
+    ours = scale.apply_scaler(model, sales, SALES_CONTINUOUS, "s", as_array=as_array)
+    ml = model.transform(sales).withColumn("s", vector_to_array("s", as_array)).drop(
+        "_features", *SALES_CONTINUOUS)
+    assert ours.select("s").exceptAll(ml.select("s")).count() == 0  # bit-identical
+
+
+def test_column_scaling_raises_on_null(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "a double, b double")
+    model = scale.fit_scaler(df, ["a", "b"], "s")
+    bad = spark.createDataFrame([(1.0, None)], "a double, b double")
+    with pytest.raises(Exception):
+        scale.apply_scaler(model, bad, ["a", "b"], "s").collect()
