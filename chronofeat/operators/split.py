@@ -85,9 +85,18 @@ REFINE_MIN_BYTES = 1 << 30
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (no job is run)."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) if hasattr(size, "toString") else int(size)
+    """Size estimate of the largest input relation of ``df`` (no job is run).
+
+    Catalyst's estimate for a join output (without table statistics) is the
+    product of its sides, which says nothing about how big the data is; the
+    largest leaf (a file scan, sized from its files and pruned columns) does.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = []
+    for i in range(leaves.size()):
+        size = leaves.apply(i).stats().sizeInBytes()
+        sizes.append(int(size.toString()) if hasattr(size, "toString") else int(size))
+    return max(sizes, default=0)
 
 
 def _last_position_at_most(n: int, bound: float):

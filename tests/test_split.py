@@ -128,3 +128,11 @@ def test_refinement_range_filter_reaches_parquet(spark):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "LessThanOrEqual(ts" in plan
     assert select.key_to_value(1_704_067_200_000_000, dtype).isoformat() == "2024-01-01T00:00:00"
+
+
+def test_size_estimate_ignores_join_blowup(spark):
+    # a join's own estimate multiplies its sides; the largest input is what counts
+    sales = sales_view(spark, SF01)
+    est = split.estimated_bytes(sales)
+    assert 0 < est < 100 * 1024 * 1024
+    assert split.estimated_bytes(sales) < split.REFINE_MIN_BYTES
