@@ -164,7 +164,8 @@ def time_cuts(df: DataFrame, ts: str, bounds=(0.8, 0.9), scan_buckets: int | Non
     several light passes over the time column with pushed-down range filters
     and no shuffle of values, better when the input is large and times are
     nearly unique. ``auto`` picks ``refine`` for integer-like / date / time
-    columns of inputs estimated above 1 GiB. Both are exact.
+    columns when the largest input relation is estimated above 1 GiB. Both
+    are exact.
     """
     if method == "auto":
         big = estimated_bytes(df) >= REFINE_MIN_BYTES
