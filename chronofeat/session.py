@@ -31,15 +31,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    use_local_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting one only where none is set.
+    """The shared checkpoint folder that ``spark.checkpoint.dir`` names.
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``; that value
-    wins. Only a session without one (a unit test) gets a fresh local folder.
+    Library code only ever uses a folder it is given; a session without one is
+    an error here (tests, the bench and the driver contract set one first, see
+    ``use_local_checkpoint_dir``).
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,13 +48,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
-        configured = tempfile.mkdtemp(prefix="chronofeat-ckpt-")
+        raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
+def use_local_checkpoint_dir(spark: SparkSession) -> None:
+    """Give a local-master session without ``spark.checkpoint.dir`` a fresh folder.
+
+    Called by entry points only (tests, bench, driver contract). One process
+    holds driver and executors there, so a local folder is shared by
+    construction; any other master must name its own folder.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+        return
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="chronofeat-ckpt-"))
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A fresh path under the shared checkpoint folder (for exports, models)."""
     base = ensure_checkpoint_dir(spark)
