@@ -2,8 +2,8 @@
 
 1. Every text becomes a digest: SHA-256 of the text with A-Z lower-cased.
 2. A Misra-Gries summary finds frequent digests: each task keeps a frequent-items
-   sketch of ``tracked`` counters, the sketches are merged in groups and then
-   once more, so at most ``merge_groups`` of them ever meet in one task.
+   sketch of ``tracked`` counters, the sketches are merged in ``merge_groups``
+   groups, and the groups' counters are added.
 3. The candidates (at most ``tracked``, the bound of every broadcast here) are
    verified by an exact count, which also names the row that stays.
 4. Verified winners are broadcast: rows of frequent digests are decided where
@@ -42,12 +42,17 @@ def text_digest(text: Column) -> Column:
 
 def frequent_digests(rows: DataFrame, digest: str, tracked: int = TRACKED,
                      merge_groups: int = MERGE_GROUPS) -> DataFrame:
-    """At most ``tracked`` candidate digests from a Misra-Gries summary of all rows."""
-    per_task = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(merge_groups)).alias("g")).agg(
-        F.expr(f"approx_top_k_accumulate({digest}, {tracked})").alias("s"))
-    merged = per_task.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
-    top = merged.select(F.explode(F.expr(f"approx_top_k_estimate(s, {tracked})")).alias("t"))
-    return top.select(F.col("t.item").alias(digest))
+    """At most ``tracked`` candidate digests from Misra-Gries summaries of all rows.
+
+    Summaries of groups of tasks are merged by adding their counters; a digest
+    that is frequent overall is frequent in some group.
+    """
+    groups = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(merge_groups)).alias("g")).agg(
+        F.expr(f"approx_top_k({digest}, {tracked}, {tracked})").alias("top"))
+    found = groups.select(F.explode("top").alias("t")).select(
+        F.col("t.item").alias(digest), F.col("t.count").alias("n"))
+    return (found.groupBy(digest).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), digest)
+            .limit(tracked).select(digest))
 
 
 def _winners(rows: DataFrame, digest: str, order: list[str], tracked: int) -> DataFrame:
