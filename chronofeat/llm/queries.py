@@ -4,24 +4,62 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import arc_warc, decontaminate, exact_dedup, mixing, simhash_dedup, token_counts
 from .common import table
 
 
+def q_op1(spark, sf_dir):
+    return arc_warc.archive_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def q_op4(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def q_op7(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"),
+                                     public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def q_op8(spark, sf_dir):
+    return simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+def q_op9(spark, sf_dir):
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"),
+                                       table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc_key").alias("doc_id"), F.col("item").alias("item_id"),
+                        F.round("similarity", 6).alias("similarity"), "window_start",
+                        "window_words", "differing_bits")
+
+
 def q_op10(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_arc_to_warc": q_op1,
     "op4_mixing": q_op4,
+    "op7_token_counts": q_op7,
+    "op8_simhash_dedup": q_op8,
+    "op9_decontamination": q_op9,
     "op10_exact_dedup": q_op10,
 }
 
 ORACLE_SQL = {
+    "op1_arc_to_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+                   sha1(coalesce(html, '')) AS h FROM pages),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, payload_bytes, h AS payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit'
+                    ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM g""",
     "op10_exact_dedup": """
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''),
