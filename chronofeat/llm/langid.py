@@ -89,18 +89,19 @@ def features(texts: list[bytes], dims: int = DIMS) -> np.ndarray:
     return out / np.maximum(1e-12, np.linalg.norm(out, axis=1, keepdims=True))
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 300):
+def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 200):
     """(weights, bias) of a linear squared-hinge machine, y in {-1, 1}, classes weighed equally."""
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, b = np.zeros(x.shape[1]), 0.0
-    vw, vb, rate = w.copy(), b, 1.0 / (4.0 + penalty)
+    f, y = np.float32, y.astype(np.float32)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(f) * y
+    w, b = np.zeros(x.shape[1], f), f(0)
+    vw, vb, rate = w, b, f(1.0 / (4.0 + penalty))
     for t in range(1, steps + 1):
-        slack = np.maximum(0.0, 1.0 - y * (x @ vw + vb)) * share * y
-        nw = vw - rate * (penalty * vw - 2.0 * (x.T @ slack))
-        nb = vb + rate * 2.0 * slack.sum()
-        pull = (t - 1) / (t + 2)
+        slack = np.maximum(f(0), f(1) - y * (x @ vw + vb)) * share
+        nw = vw - rate * (f(penalty) * vw - f(2) * (slack @ x))
+        nb = vb + rate * f(2) * slack.sum()
+        pull = f((t - 1) / (t + 2))
         vw, vb, w, b = nw + pull * (nw - w), nb + pull * (nb - b), nw, nb
-    return w.astype(np.float32), float(b)
+    return w, float(b)
 
 
 class Hierarchy:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import arc_warc, decontaminate, exact_dedup, mixing, simhash_dedup, token_counts
+from . import (arc_warc, decontaminate, exact_dedup, langid, mixing, quality_knn, simhash_dedup,
+               superkmer, token_counts, toxicity)
 from .common import table
 
 
@@ -13,10 +14,33 @@ def q_op1(spark, sf_dir):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def q_op2(spark, sf_dir):
+    done = quality_knn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return done.select("doc_id", quality_knn.held_out().alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def q_op3(spark, sf_dir):
+    done = superkmer.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed",
+                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def q_op4(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def q_op5(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def q_op6(spark, sf_dir):
+    done = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return done.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                       (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+                       F.size("offending").alias("n_offending"))
+
+
 def q_op7(spark, sf_dir):
     import public_tokenizers
 
@@ -42,7 +66,11 @@ def q_op10(spark, sf_dir):
 
 QUERIES = {
     "op1_arc_to_warc": q_op1,
+    "op2_quality_knn": q_op2,
+    "op3_superkmer_dedup": q_op3,
     "op4_mixing": q_op4,
+    "op5_language_id": q_op5,
+    "op6_toxicity_mil": q_op6,
     "op7_token_counts": q_op7,
     "op8_simhash_dedup": q_op8,
     "op9_decontamination": q_op9,
