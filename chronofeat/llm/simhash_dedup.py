@@ -211,8 +211,10 @@ def _keyed(rows: DataFrame, table: list[tuple[int, int]]) -> DataFrame:
 def fingerprint_links(fps: DataFrame, radius: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``fps`` within ``radius`` bits.
 
-    ``fps`` has one distinct ``fp`` a row.
+    ``fps`` has one distinct ``fp`` a row. Cutting needs more than ``radius``
+    free bits; buckets with fewer hold at most 2 ** radius rows and are compared.
     """
+    bucket_rows = max(bucket_rows, 1 << radius)
     spark, n = fps.sparkSession, partitions(fps.sparkSession)
     table = [(0, m) for first in refine_mask(0, radius) for m in refine_mask(first, radius)]
     rows, found = fps.select(F.lit(0).cast("long").alias("parent"), "fp"), []
