@@ -1,19 +1,13 @@
 """Exact order statistics of a column without shuffling its values.
 
-``kth_values(df, col, ranks)`` returns the values at given 0-based positions
-of the ascending order of the non-NULL values of ``col``. It narrows a key
-range level by level: rows in the current range are counted in ``width``
-fixed-width buckets of a monotone integer key (each task emits at most
-``width`` partial counts, so only bucket counts cross the network), the bucket
-holding the wanted rank becomes the next range, and the range filter is a
-plain comparison on ``col`` that reaches the Parquet scan. When the range
-holds at most ``exact_rows`` rows its distinct values are counted and scanned
-in order (:func:`ordered_scan`, one task: the bound is the checked count).
-Each level divides the key span by ``width``, so a microsecond timestamp
-span of decades needs at most five levels.
-
-Used by the time split when the input is large and times are nearly unique,
-where a per-value histogram would shuffle almost every row.
+``order_statistics(keys, ranks)`` returns the values at given 0-based positions
+of the ascending order of a column of integer keys. It narrows one key range per
+rank, all ranks in the same pass: rows in a range are counted in ``width``
+buckets of equal key width (each task emits at most ``width`` partial counts a
+rank, so only bucket counts cross the network) and the bucket that holds the
+rank is the next range, until buckets are single keys. Each level divides the
+span by ``width``: dates need one level, microseconds over decades four. All
+arithmetic is on integers, and the path is the same for every input size.
 """
 
 from __future__ import annotations
@@ -24,10 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scan import ordered_scan
-
-DEFAULT_WIDTH = 4096
-DEFAULT_EXACT_ROWS = 2_000_000
+DEFAULT_WIDTH = 16384
 _EPOCH = _dt.datetime(1970, 1, 1)
 _EPOCH_UTC = _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc)
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -69,7 +60,8 @@ def key_to_value(key: int, dtype: T.DataType):
     raise TypeError(dtype.simpleString())
 
 
-def _value_literal(key: int, dtype: T.DataType) -> Column:
+def value_literal(key: int, dtype: T.DataType) -> Column:
+    """The value with that key, as a literal of exactly ``dtype`` in any time zone."""
     value = key_to_value(key, dtype)
     if isinstance(dtype, T.TimestampNTZType):
         return F.lit(value.isoformat(sep=" ")).cast(dtype)
@@ -79,57 +71,49 @@ def _value_literal(key: int, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
-def _in_range(col: Column, dtype: T.DataType, lo: int, hi: int) -> Column:
-    """``lo <= key(col) <= hi`` written on ``col`` itself so Parquet can prune."""
-    return (col >= _value_literal(lo, dtype)) & (col <= _value_literal(hi, dtype))
+def _bucket(key: str, lo: int, step: int, wide: bool) -> Column:
+    """``(key - lo) div step`` for keys at or above ``lo``; exact for any 64-bit span."""
+    if wide:  # the difference can leave 64 bits
+        return F.expr(f"cast((cast({key} as decimal(20,0)) - cast('{lo}' as decimal(20,0)))"
+                      f" div cast('{step}' as decimal(20,0)) as bigint)")
+    return F.expr(f"({key} - cast('{lo}' as bigint)) div cast('{step}' as bigint)")
 
 
-def kth_values(df: DataFrame, col: str, ranks, width: int = DEFAULT_WIDTH,
-               exact_rows: int = DEFAULT_EXACT_ROWS, stats=None) -> dict[int, int]:
-    """{rank: key} for 0-based ranks among the non-NULL values (keys as ints).
+def order_statistics(keys: DataFrame, key: str, ranks, stats,
+                     width: int = DEFAULT_WIDTH) -> dict[int, int]:
+    """{rank: key} for 0-based ranks among the non-NULL values of ``key``.
 
-    ``stats`` = (count, min_key, max_key) of the non-NULL keys if known.
+    ``stats`` = (count, min, max) of the column. Worth persisting ``keys``: each
+    level reads it once.
     """
-    dtype = df.schema[col].dataType
-    c = F.col(col)
-    key = order_key(c, dtype)
-    if stats is None:
-        row = df.agg(F.count(c).alias("n"), F.min(key).alias("a"), F.max(key).alias("b")).first()
-        stats = (row["n"], row["a"], row["b"])
     n, kmin, kmax = stats
-    out = {}
-    for r in sorted(set(ranks)):
+    for r in ranks:
         if not 0 <= r < n:
             raise ValueError(f"rank {r} outside [0, {n})")
-        lo, hi, below, count = kmin, kmax, 0, n
-        while True:
-            if lo == hi:
-                out[r] = lo
-                break
-            inside = df.where(_in_range(c, dtype, lo, hi))
-            if count <= exact_rows:
-                counts = inside.groupBy(key.alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
-                scanned = ordered_scan(counts, [F.col("_k")], sums={"_b": F.col("_c")}, buckets=1)
-                pos = F.lit(r - below)
-                hit = scanned.where((F.col("_b") <= pos) & (pos < F.col("_b") + F.col("_c")))
-                out[r] = hit.select("_k").first()["_k"]
-                break
-            step = -(-(hi - lo + 1) // width)
-            buckets = (inside.groupBy(((key - F.lit(lo)) / F.lit(step)).cast("long").alias("_q"))
-                       .agg(F.count(F.lit(1)).alias("_c")).collect())  # at most ``width`` rows
-            seen = below
-            for b in sorted(buckets, key=lambda x: x["_q"]):
-                if seen + b["_c"] > r:
-                    lo, hi = lo + b["_q"] * step, min(hi, lo + (b["_q"] + 1) * step - 1)
-                    below, count = seen, b["_c"]
+    ranges = {r: (kmin, kmax, 0) for r in set(ranks)}  # rank -> key range, rows below it
+    while open_ := {r: x for r, x in ranges.items() if x[0] < x[1]}:
+        k, parts, steps = F.col(key), [], {}
+        for r, (lo, hi, _) in open_.items():
+            steps[r] = step = -(-(hi - lo + 1) // width)
+            parts.append(F.when((k >= lo) & (k <= hi), F.struct(
+                F.lit(r).cast("long").alias("r"), _bucket(key, lo, step, hi - lo >= 1 << 63).alias("q"))))
+        counted = (keys.select(F.explode(F.array_compact(F.array(*parts))).alias("b"))
+                   .groupBy("b.r", "b.q").agg(F.count(F.lit(1)).alias("c")))
+        found = {}
+        for row in counted.collect():  # at most width rows a rank
+            found.setdefault(row["r"], []).append((row["q"], row["c"]))
+        for r, (lo, hi, below) in open_.items():
+            for q, c in sorted(found.get(r, ())):
+                if below + c > r:
+                    first = lo + q * steps[r]
+                    ranges[r] = (first, min(hi, first + steps[r] - 1), below)
                     break
-                seen += b["_c"]
-    return out
+                below += c
+            else:
+                raise RuntimeError(f"no bucket holds rank {r}: the input changed between passes")
+    return {r: x[0] for r, x in ranges.items()}
 
 
-def next_value(df: DataFrame, col: str, after_key: int):
-    """Smallest key of ``col`` strictly greater than ``after_key`` (None if none)."""
-    dtype = df.schema[col].dataType
-    c = F.col(col)
-    return df.where(c > _value_literal(after_key, dtype)).agg(
-        F.min(order_key(c, dtype)).alias("m")).first()["m"]
+def next_key(keys: DataFrame, key: str, after: int):
+    """Smallest value of ``key`` above ``after`` (None if none)."""
+    return keys.where(F.col(key) > after).agg(F.min(key)).first()[0]

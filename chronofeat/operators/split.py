@@ -6,10 +6,13 @@ equal ``ts`` share ``pr`` and therefore a split; NULL ``ts`` sorts first.
 
 Because ``pr`` only depends on how many rows have a smaller ``ts``, the split
 is decided by two *cut values*: ``hi`` = largest ``ts`` with ``pr <= .8`` and
-``lo`` = smallest ``ts`` with ``pr >= .9``. They come from a per-``ts`` count
-table scanned in order (:func:`ordered_scan`, distributed when large); each
-row is then labelled with plain comparisons against two literals, which
-Parquet can use for row-group pruning:
+``lo`` = smallest ``ts`` with ``pr >= .9``. For integers, dates and timestamps
+they come from exact order statistics of the time column alone
+(:mod:`chronofeat.operators.select`), for other types from a per-value count
+table scanned in order; both are the same at every input size. Cuts travel as
+integer keys, so no time zone can move them. Each row is then labelled with
+plain comparisons against two literals, which Parquet can use for row-group
+pruning:
 
     ts IS NULL OR ts <= hi -> train;  ts >= lo -> test;  otherwise -> val
 
@@ -18,27 +21,25 @@ Parquet can use for row-group pruning:
 
 from __future__ import annotations
 
-import datetime as _dt
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import reuse
+from ..session import reliable_checkpoint, reuse
 from . import select
-from .scan import DEFAULT_ROWS_PER_BUCKET, DEFAULT_SINGLE_TASK_ROWS, ordered_scan
+from .scan import ordered_scan
 
 TRAIN, VAL, TEST = "train", "val", "test"
 
 
-def typed_literal(value, dtype: T.DataType) -> Column:
-    """A literal of exactly ``dtype`` (no session-time-zone shift for NTZ)."""
-    if value is None:
-        return F.lit(None).cast(dtype)
-    if isinstance(dtype, T.TimestampNTZType) and isinstance(value, _dt.datetime):
-        return F.lit(value.isoformat(sep=" ")).cast(dtype)
-    return F.lit(value).cast(dtype)
+def cut_literal(cut, dtype: T.DataType) -> Column:
+    """A cut (an integer key where the type has one) as a literal of exactly ``dtype``."""
+    if select.supports(dtype):
+        return select.value_literal(cut, dtype)
+    return F.lit(cut).cast(dtype)
 
 
 def time_percent_rank(df: DataFrame, ts: str, out: str = "pr",
@@ -52,11 +53,9 @@ def time_percent_rank(df: DataFrame, ts: str, out: str = "pr",
     between its two passes (worth it only when ``df`` is costly to recompute).
     """
     df = reuse(df) if persist else df
-    counts = df.groupBy(F.col(ts).alias("_t")).agg(F.count(F.lit(1)).alias("_c")).cache()
-    stats = counts.agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("k")).first()
-    n, k = stats["n"] or 0, stats["k"]
-    if scan_buckets is None:
-        scan_buckets = 1 if k <= DEFAULT_SINGLE_TASK_ROWS else -(-k // DEFAULT_ROWS_PER_BUCKET)
+    counts = reliable_checkpoint(
+        df.groupBy(F.col(ts).alias("_t")).agg(F.count(F.lit(1)).alias("_c")))
+    n = counts.agg(F.sum("_c")).first()[0] or 0
     scanned = ordered_scan(counts, [F.col("_t")], sums={"_before": F.col("_c")},
                            buckets=scan_buckets)
     ranks = scanned.select(
@@ -64,41 +63,6 @@ def time_percent_rank(df: DataFrame, ts: str, out: str = "pr",
     return df.join(ranks, F.col(ts).eqNullSafe(F.col("_t")), "left").drop("_t")
 
 
-def _cuts_from_counts(counts: DataFrame, bounds, scan_buckets):
-    """(hi, lo, n) from a cached per-value count table (_t, _c)."""
-    train_upto, test_from = bounds
-    stats = counts.agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("k")).first()
-    n, k = stats["n"] or 0, stats["k"]
-    if scan_buckets is None:
-        scan_buckets = 1 if k <= DEFAULT_SINGLE_TASK_ROWS else -(-k // DEFAULT_ROWS_PER_BUCKET)
-    scanned = ordered_scan(counts, [F.col("_t")], sums={"_before": F.col("_c")},
-                           buckets=scan_buckets)
-    pr = F.col("_before").cast("double") / F.lit(float(max(n - 1, 1)))
-    row = scanned.agg(
-        F.max(F.when(pr <= F.lit(train_upto), F.col("_t"))).alias("hi"),
-        F.min(F.when(pr >= F.lit(test_from), F.col("_t"))).alias("lo"),
-    ).first()
-    return row["hi"], row["lo"], n
-
-
-REFINE_MIN_BYTES = 1 << 30
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Size estimate of the largest input relation of ``df`` (no job is run).
-
-    Catalyst's estimate for a join output (without table statistics) is the
-    product of its sides, which says nothing about how big the data is; the
-    largest leaf (a file scan, sized from its files and pruned columns) does.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = []
-    for i in range(leaves.size()):
-        size = leaves.apply(i).stats().sizeInBytes()
-        sizes.append(int(size.toString()) if hasattr(size, "toString") else int(size))
-    return max(sizes, default=0)
-
-
 def _last_position_at_most(n: int, bound: float):
     """Largest p in [0, n) with p / max(n-1, 1) <= bound (double division)."""
     denom = float(max(n - 1, 1))
@@ -121,101 +85,79 @@ def _first_position_at_least(n: int, bound: float):
     return q if q <= n - 1 else None
 
 
-def _cuts_by_refinement(df, ts, bounds, width, exact_rows):
-    """Cut values from exact order statistics (no shuffle of time values)."""
+def _cuts_by_rank(df, ts, bounds, width):
+    """Cut keys from exact order statistics; the rows are read once, for their keys."""
     train_upto, test_from = bounds
-    dtype = df.schema[ts].dataType
-    key = select.order_key(F.col(ts), dtype)
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.count(ts).alias("nn"),
-                 F.min(key).alias("a"), F.max(key).alias("b")).first()
-    n, nn = row["n"], row["nn"]
-    if n == 0:
-        return None, None, 0
-    n_null = n - nn
-    stats = (nn, row["a"], row["b"])
-    p = _last_position_at_most(n, train_upto)       # position of the last train row
-    q = _first_position_at_least(n, test_from)      # first position allowed in test
-    wanted = {}
-    if p is not None and p >= n_null:
-        wanted["hi"] = p - n_null                   # non-NULL rank of the value at p
-    if q is not None and nn > 0 and q > n_null:
-        wanted["lo_prev"] = q - n_null - 1          # lo is the next value after this one
-    keys = select.kth_values(df, ts, list(wanted.values()), width, exact_rows, stats) if wanted else {}
-    hi = select.key_to_value(keys[wanted["hi"]], dtype) if "hi" in wanted else None
-    if q is None or nn == 0:
-        lo = None
-    elif q <= n_null:
-        lo = select.key_to_value(row["a"], dtype)   # every non-NULL value qualifies
-    else:
-        nxt = select.next_value(df, ts, keys[wanted["lo_prev"]])
-        lo = select.key_to_value(nxt, dtype) if nxt is not None else None
-    return hi, lo, n
-
-
-def time_cuts(df: DataFrame, ts: str, bounds=(0.8, 0.9), scan_buckets: int | None = None,
-              method: str = "auto", refine_width: int = select.DEFAULT_WIDTH,
-              refine_exact_rows: int = select.DEFAULT_EXACT_ROWS) -> tuple[object, object, int]:
-    """Return ``(hi, lo, n)``: the two cut values and the row count.
-
-    ``histogram``: one pass of per-value counts (combined map-side, so only
-    distinct values shuffle), an ordered scan of that table and a tiny
-    aggregate that brings two scalars to the driver. ``refine``: exact order
-    statistics by bucket refinement (:mod:`chronofeat.operators.select`) -
-    several light passes over the time column with pushed-down range filters
-    and no shuffle of values, better when the input is large and times are
-    nearly unique. ``auto`` picks ``refine`` for integer-like / date / time
-    columns when the largest input relation is estimated above 1 GiB. Both
-    are exact.
-    """
-    if method == "auto":
-        big = estimated_bytes(df) >= REFINE_MIN_BYTES
-        method = "refine" if big and select.supports(df.schema[ts].dataType) else "histogram"
-    if method == "refine":
-        return _cuts_by_refinement(df, ts, bounds, refine_width, refine_exact_rows)
-    if method != "histogram":
-        raise ValueError(f"unknown method {method!r}")
-    counts = df.groupBy(F.col(ts).alias("_t")).agg(F.count(F.lit(1)).alias("_c")).cache()
+    keys = df.select(select.order_key(F.col(ts), df.schema[ts].dataType).alias("_k"))
+    keys = keys.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _cuts_from_counts(counts, bounds, scan_buckets)
+        row = keys.agg(F.count(F.lit(1)).alias("n"), F.count("_k").alias("nn"),
+                       F.min("_k").alias("a"), F.max("_k").alias("b")).first()
+        n, nn, nulls = row["n"], row["nn"], row["n"] - row["nn"]
+        p = _last_position_at_most(n, train_upto)    # position of the last train row
+        q = _first_position_at_least(n, test_from)   # first position allowed in test
+        ranks = []
+        if p is not None and p >= nulls:
+            ranks.append(p - nulls)                  # non-NULL rank of the value at p
+        if q is not None and nn > 0 and q > nulls:
+            ranks.append(q - nulls - 1)              # lo is the next value after this one
+        found = select.order_statistics(keys, "_k", ranks, (nn, row["a"], row["b"]), width)
+        hi = found[p - nulls] if p is not None and p >= nulls else None
+        if q is None or nn == 0:
+            lo = None
+        elif q <= nulls:
+            lo = row["a"]                            # every non-NULL value qualifies
+        else:
+            lo = select.next_key(keys, "_k", found[q - nulls - 1])
+        return hi, lo, n
     finally:
-        counts.unpersist()
-
+        keys.unpersist()
 
-def cuts_and_label_counts(df: DataFrame, ts: str, label: str, bounds=(0.8, 0.9),
-                          scan_buckets: int | None = None):
-    """``(hi, lo, n, counts)`` from one pass: cut values and (split, label, n).
 
-    The rows are read once into a (time, label) histogram - the same size as a
-    per-time histogram - which yields both the cuts and the split x label
-    counts. The histogram stays cached: ``counts`` is a lazy view of it.
-    """
-    hist = (df.groupBy(F.col(ts).alias("_t"), F.col(label).alias(label))
-            .agg(F.count(F.lit(1)).alias("_c")).cache())
-    per_t = hist.groupBy("_t").agg(F.sum("_c").alias("_c"))
-    hi, lo, n = _cuts_from_counts(per_t, bounds, scan_buckets)
-    return hi, lo, n, _label_counts(hist.withColumnRenamed("_t", ts), ts, label, hi, lo)
+def _cuts_by_counts(df, ts, bounds, scan_buckets):
+    """Cuts from a per-value count table scanned in order, for any orderable type."""
+    train_upto, test_from = bounds
+    dtype = df.schema[ts].dataType
+    value = select.order_key(F.col(ts), dtype) if select.supports(dtype) else F.col(ts)
+    counts = reliable_checkpoint(df.groupBy(value.alias("_t")).agg(F.count(F.lit(1)).alias("_c")))
+    n = counts.agg(F.sum("_c")).first()[0] or 0
+    scanned = ordered_scan(counts, [F.col("_t")], sums={"_before": F.col("_c")},
+                           buckets=scan_buckets)
+    pr = F.col("_before").cast("double") / F.lit(float(max(n - 1, 1)))
+    row = scanned.agg(
+        F.max(F.when(pr <= F.lit(train_upto), F.col("_t"))).alias("hi"),
+        F.min(F.when(pr >= F.lit(test_from), F.col("_t"))).alias("lo"),
+    ).first()
+    return row["hi"], row["lo"], n
 
 
-def split_label_counts(df: DataFrame, ts: str, label: str, bounds=(0.8, 0.9),
-                       scan_buckets: int | None = None) -> DataFrame:
-    """(split, label, n) in one pass over ``df``.
+def time_cuts(df: DataFrame, ts: str, bounds=(0.8, 0.9), scan_buckets: int | None = None,
+              method: str | None = None,
+              width: int = select.DEFAULT_WIDTH) -> tuple[object, object, int]:
+    """Return ``(hi, lo, n)``: the two cuts (see :func:`cut_literal`) and the row count.
 
-    Split sizes, the label distribution and class weights only need how many
-    rows of each label share each time value, so the rows are read once into a
-    (time, label) histogram; cuts and counts come from that small table.
+    ``method`` follows from the type of ``ts`` alone: ``rank`` where it has an
+    integer key, ``counts`` otherwise. Both are exact; naming one is for tests.
     """
-    return cuts_and_label_counts(df, ts, label, bounds, scan_buckets)[3]
+    method = method or ("rank" if select.supports(df.schema[ts].dataType) else "counts")
+    if method == "rank":
+        return _cuts_by_rank(df, ts, bounds, width)
+    if method == "counts":
+        return _cuts_by_counts(df, ts, bounds, scan_buckets)
+    raise ValueError(f"unknown method {method!r}")
 
 
-def _label_counts(hist: DataFrame, ts: str, label: str, hi, lo) -> DataFrame:
-    labelled = split_column(hist, ts, hi, lo)
-    return labelled.groupBy("split", label).agg(F.sum("_c").cast("long").alias("n"))
+def split_label_counts(df: DataFrame, ts: str, label: str, bounds=(0.8, 0.9),
+                       scan_buckets: int | None = None) -> DataFrame:
+    """(split, label, n): rows are labelled first, so only split x label counts shuffle."""
+    hi, lo, _ = time_cuts(df, ts, bounds, scan_buckets)
+    return label_counts_for_cuts(df, ts, label, hi, lo)
 
 
 def label_counts_for_cuts(df: DataFrame, ts: str, label: str, hi, lo) -> DataFrame:
-    """(split, label, n) for known cut values, in one pass over ``df``."""
-    hist = df.groupBy(ts, label).agg(F.count(F.lit(1)).alias("_c"))
-    return _label_counts(hist, ts, label, hi, lo)
+    """(split, label, n) for known cuts, in one pass over ``df``."""
+    labelled = split_column(df.select(ts, label), ts, hi, lo)
+    return labelled.groupBy("split", label).agg(F.count(F.lit(1)).alias("n"))
 
 
 def split_column(df: DataFrame, ts: str, hi, lo, out: str = "split") -> DataFrame:
@@ -224,10 +166,10 @@ def split_column(df: DataFrame, ts: str, hi, lo, out: str = "split") -> DataFram
     t = F.col(ts)
     train = t.isNull()
     if hi is not None:
-        train = train | (t <= typed_literal(hi, dtype))
+        train = train | (t <= cut_literal(hi, dtype))
     label = F.when(train, F.lit(TRAIN))
     if lo is not None:
-        label = label.when(t >= typed_literal(lo, dtype), F.lit(TEST))
+        label = label.when(t >= cut_literal(lo, dtype), F.lit(TEST))
     return df.withColumn(out, label.otherwise(F.lit(VAL)))
 
 
@@ -256,8 +198,8 @@ def split_predicates(df: DataFrame, ts: str, hi, lo) -> tuple[Column, Column, Co
     """
     dtype = df.schema[ts].dataType
     t = F.col(ts)
-    h = typed_literal(hi, dtype) if hi is not None else None
-    lo_lit = typed_literal(lo, dtype) if lo is not None else None
+    h = cut_literal(hi, dtype) if hi is not None else None
+    lo_lit = cut_literal(lo, dtype) if lo is not None else None
     train = t.isNull() | (t <= h) if h is not None else t.isNull()
     test = t >= lo_lit if lo_lit is not None else F.lit(False)
     val = t > h if h is not None else t.isNotNull()

@@ -63,7 +63,7 @@ class Prepared:
     index_model: object
     scaler_model: object
     spec: PrepSpec
-    label_counts: DataFrame | None = None   # (split, label, n), from the cut pass
+    label_counts: DataFrame | None = None   # (split, label, n)
     cardinality: DataFrame | None = None    # (column, cardinality), from the index pass
     labelled: DataFrame | None = None       # cleaned input with ``split``, before transforms
 
@@ -102,23 +102,17 @@ def clean_frame(df: DataFrame, spec: PrepSpec) -> DataFrame:
 def prepare(df: DataFrame, spec: PrepSpec, persist_input: bool = False) -> Prepared:
     """Clean, split by time, fit indexers and scaler; return the lazy result.
 
-    Three passes over the cleaned input before the write, each pruned to its
-    own columns: (time, label) histogram -> cut values and split x label
-    counts; value counts -> indexer labels and cardinalities; train moments ->
-    scaler. ``persist_input=True`` keeps the input between them when it is
-    costly to recompute (a large join or window upstream), see
-    :func:`chronofeat.session.reuse`. With very large inputs the cut values
-    come from bucket refinement and the label counts take one more pass.
+    Each pass over the cleaned input before the write reads only its own
+    columns: the time column -> cuts; value counts -> index and cardinalities;
+    train moments -> scaler; (time, label) -> split x label counts, when they
+    are asked for. ``persist_input=True`` keeps the input between them when it
+    is costly to recompute (a large join or window upstream), see
+    :func:`chronofeat.session.reuse`.
     """
     df = clean_frame(df, spec)
     df = reuse(df) if persist_input else df
-    if split.estimated_bytes(df) >= split.REFINE_MIN_BYTES and \
-            split.select.supports(df.schema[spec.time].dataType):
-        hi, lo, _ = split.time_cuts(df, spec.time, spec.bounds, method="refine")
-        label_counts = split.label_counts_for_cuts(df, spec.time, spec.label, hi, lo)
-    else:
-        hi, lo, _, label_counts = split.cuts_and_label_counts(df, spec.time, spec.label,
-                                                              spec.bounds)
+    hi, lo, _ = split.time_cuts(df, spec.time, spec.bounds)
+    label_counts = split.label_counts_for_cuts(df, spec.time, spec.label, hi, lo)
     labelled = split.split_column(df, spec.time, hi, lo)
     if spec.fit_index_on == "all":
         index_model, card = encode.index_and_cardinality(

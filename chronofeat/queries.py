@@ -213,9 +213,8 @@ def _split_label_counts(spark, d):
 
 
 def q_time_split_refined(spark, d):
-    """Split through exact bucket refinement (the large-input method), several levels deep."""
-    out = split.time_split(_sales(spark, d), "o_orderdate", method="refine",
-                           refine_width=16, refine_exact_rows=500)
+    """Split from order statistics with narrow ranges, several levels deep."""
+    out = split.time_split(_sales(spark, d), "o_orderdate", method="rank", width=16)
     return out.select("o_orderdate", "label", "split")
 
 

@@ -39,6 +39,5 @@ def test_split_methods_agree(spark, times):
     data = [(i, None if t is None else base + dt.timedelta(minutes=t)) for i, t in enumerate(times)]
     df = spark.createDataFrame(data, "id int, t timestamp_ntz")
     lit = split.time_split_literal(df, "t")
-    assert same_rows(lit, split.time_split(df, "t", method="histogram"))
-    assert same_rows(lit, split.time_split(df, "t", method="refine", refine_width=3,
-                                           refine_exact_rows=4))
+    assert same_rows(lit, split.time_split(df, "t", method="counts"))
+    assert same_rows(lit, split.time_split(df, "t", method="rank", width=3))

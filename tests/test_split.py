@@ -94,45 +94,74 @@ def test_split_frames_equal_literal(spark, name):
 
 
 @pytest.mark.parametrize("name", sorted(EDGE_CASES))
-def test_refined_cuts_equal_histogram_cuts(spark, name):
+def test_rank_cuts_equal_count_cuts(spark, name):
     df = _ts_frame(spark, EDGE_CASES[name])
-    expect = split.time_cuts(df, "t", method="histogram")
-    got = split.time_cuts(df, "t", method="refine", refine_width=4, refine_exact_rows=3)
-    assert got == expect
+    expect = split.time_cuts(df, "t", method="counts")
+    assert split.time_cuts(df, "t", method="rank", width=4) == expect
+    assert split.time_cuts(df, "t") == expect
 
 
 @pytest.mark.parametrize("sf,col,table", [
     (SF01, "o_orderdate", "orders"), (SF01, "ts", "events"), (SF01, "l_shipdate", "lineitem"),
 ])
-def test_refined_cuts_on_tables(spark, sf, col, table):
+def test_rank_cuts_on_tables(spark, sf, col, table):
     df = spark.read.parquet(f"{sf}/{table}.parquet")
-    expect = split.time_cuts(df, col, method="histogram")
-    got = split.time_cuts(df, col, method="refine", refine_width=16, refine_exact_rows=50)
-    assert got == expect
+    expect = split.time_cuts(df, col, method="counts")
+    assert split.time_cuts(df, col, width=16) == expect == split.time_cuts(df, col)
 
 
-def test_refined_cuts_with_nulls_and_dates(spark):
+def test_rank_cuts_with_nulls_and_dates(spark):
     import datetime as dt
     rows = [(i, None if i % 4 == 0 else dt.date(2020, 1, 1) + dt.timedelta(days=i // 3))
             for i in range(400)]
     df = spark.createDataFrame(rows, "id int, d date")
-    assert (split.time_cuts(df, "d", method="refine", refine_width=3, refine_exact_rows=5)
-            == split.time_cuts(df, "d", method="histogram"))
-
-
-def test_refinement_range_filter_reaches_parquet(spark):
-    from chronofeat.operators import select
-    ev = spark.read.parquet(f"{SF01}/events.parquet")
-    dtype = ev.schema["ts"].dataType
-    q = ev.where(select._in_range(F.col("ts"), dtype, 1_704_067_200_000_000, 1_704_153_600_000_000))
-    plan = q._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(ts" in plan and "LessThanOrEqual(ts" in plan
-    assert select.key_to_value(1_704_067_200_000_000, dtype).isoformat() == "2024-01-01T00:00:00"
-
-
-def test_size_estimate_ignores_join_blowup(spark):
-    # a join's own estimate multiplies its sides; the largest input is what counts
-    sales = sales_view(spark, SF01)
-    est = split.estimated_bytes(sales)
-    assert 0 < est < 100 * 1024 * 1024
-    assert split.estimated_bytes(sales) < split.REFINE_MIN_BYTES
+    assert split.time_cuts(df, "d", width=3) == split.time_cuts(df, "d", method="counts")
+
+
+def test_wide_integer_keys(spark):
+    """Nanoseconds over years, and keys at both ends of 64 bits."""
+    nano = spark.range(4000).selectExpr(
+        "1600000000000000000 + id * 23651999999983 + pmod(hash(id), 1000) as t")
+    ends = spark.createDataFrame([(x,) for x in (-2**63, -2**63 + 1, -5, 0, 7, 2**62, 2**63 - 2,
+                                                 2**63 - 1, 2**63 - 1, None)], "t long")
+    for df in (nano, ends):
+        for width in (7, 16384):
+            assert split.time_cuts(df, "t", width=width) == split.time_cuts(df, "t",
+                                                                           method="counts")
+        assert same_rows(split.time_split_literal(df, "t"), split.time_split(df, "t"))
+
+
+def test_cuts_inside_a_repeated_hour(spark, monkeypatch):
+    """A driver zone with a DST change must not move TIMESTAMP cuts by an hour."""
+    import time
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        df = spark.range(100).selectExpr(
+            "timestamp_micros(1730606400000000 + id * 600000000) as t")  # 2024-11-03 04:00Z on
+        assert same_rows(split.time_split_literal(df, "t"), split.time_split(df, "t"))
+        counts = {r.split: r.n for r in split.split_counts(split.time_split(df, "t")).collect()}
+        assert counts == {"train": 80, "val": 10, "test": 10}
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_strings_and_doubles_split_by_counts(spark):
+    df = spark.range(200).selectExpr("cast(id % 61 as double) / 7 as d", "concat('k', id % 50) as s")
+    for col in ("d", "s"):
+        assert same_rows(split.time_split_literal(df, col), split.time_split(df, col))
+
+
+def test_label_counts_do_not_shuffle_by_time(spark):
+    df = spark.range(1000).selectExpr("id as t", "cast(id % 2 as int) as y")
+    plan = split.split_label_counts(df, "t", "y")._jdf.queryExecution().executedPlan().toString()
+    hashed = [x for x in plan.split("\n") if "hashpartitioning" in x]
+    assert hashed and not any("hashpartitioning(t" in x for x in hashed)
+
+
+def test_nothing_stays_cached(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    split.time_split(_ts_frame(spark, list(range(50))), "t").count()
+    split.time_percent_rank(_ts_frame(spark, list(range(50))), "t").count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
