@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CLASSES = 10_000
+from ..session import reliable_checkpoint
+
+BROADCAST_CLASSES = 10_000
 
 
 def label_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -30,22 +32,14 @@ def class_weights(df: DataFrame, label: str, by: str | None = None,
     return counts.withColumn("weight", total.cast("double") / (classes * F.col("n")).cast("double"))
 
 
-def weight_expr(weights: DataFrame, label: str) -> Column:
-    """A CASE expression label -> weight, built from a class-weight table.
+def with_weight(df: DataFrame, label: str, weights: DataFrame, out: str = "weight") -> DataFrame:
+    """``df`` plus the weight of its label (NULL without one), by an equi-join.
 
-    The table has one row per class (checked against ``MAX_CLASSES``), so it is
-    safe to read on the driver; applying it is a projection, with no join.
+    The weight table has one row per class; it is broadcast if its counted size
+    is at most ``BROADCAST_CLASSES``, and joined by a shuffle beyond that.
     """
-    rows = weights.select(label, "weight").limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    expr = None
-    for r in rows:
-        cond = F.col(label) == F.lit(r[label])
-        expr = F.when(cond, F.lit(float(r["weight"]))) if expr is None else \
-            expr.when(cond, F.lit(float(r["weight"])))
-    return expr if expr is not None else F.lit(None).cast("double")
-
-
-def with_weight(df: DataFrame, label: str, weights: DataFrame, out: str = "weight") -> DataFrame:
-    return df.withColumn(out, weight_expr(weights, label))
+    table = reliable_checkpoint(weights.select(F.col(label).alias("_label"),
+                                               F.col("weight").cast("double").alias(out)))
+    side = F.broadcast(table) if table.count() <= BROADCAST_CLASSES else table
+    return df.drop(out).join(side, F.col(label) == F.col("_label"), "left").select(
+        *[c for c in df.columns if c != out], out)

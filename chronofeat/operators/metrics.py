@@ -22,12 +22,32 @@ def _valid(df, *cols):
     return df.where(cond)
 
 
-def confusion(df: DataFrame, truth: str, pred: str, classes=(0, 1)) -> DataFrame:
-    """(truth, pred_<c> ...): one row per true class, one count column per predicted class."""
-    d = _valid(df, truth, pred).where(F.col(truth).isin(list(classes)))
-    return d.groupBy(F.col(truth).alias("truth")).agg(
-        *[F.sum(F.when(F.col(pred) == c, 1).otherwise(0)).cast("long").alias(f"pred_{c}")
-          for c in classes])
+def class_values(df: DataFrame, truth: str, pred: str) -> list:
+    """The distinct classes among truths and predictions, in order (a matrix side, not rows)."""
+    d = _valid(df, truth, pred)
+    both = d.select(F.col(truth).alias("c")).unionByName(d.select(F.col(pred).alias("c")))
+    return sorted(r["c"] for r in both.distinct().collect())
+
+
+def confusion(df: DataFrame, truth: str, pred: str, classes=None) -> DataFrame:
+    """(truth, pred_<c> ..., pred_other): one row per class, one count column per prediction.
+
+    ``classes`` are those found in the data by default. Classes without rows
+    have a row of zeros; rows whose truth is no listed class are counted in a
+    row with truth NULL, predictions that are none in ``pred_other``.
+    """
+    classes = list(class_values(df, truth, pred) if classes is None else classes)
+    d = _valid(df, truth, pred)
+    kind = df.schema[truth].dataType
+    shown = F.when(F.col(truth).isin(classes), F.col(truth)) if classes else F.lit(None)
+    counts = d.select(shown.cast(kind).alias("truth"), *[
+        (F.col(pred) == c).cast("long").alias(f"pred_{c}") for c in classes],
+        (~F.col(pred).isin(classes) if classes else F.lit(True)).cast("long").alias("pred_other"))
+    names = counts.columns[1:]
+    listed = df.sparkSession.range(1).select(F.explode(F.array(
+        *[F.lit(c).cast(kind) for c in classes])).alias("truth")) if classes else counts.select("truth").limit(0)
+    zeros = listed.select("truth", *[F.lit(0).cast("long").alias(n) for n in names])
+    return counts.unionByName(zeros).groupBy("truth").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def accuracy(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -70,16 +90,19 @@ def _per_class(classes):
     return out
 
 
-def report(df: DataFrame, truth: str, pred: str, classes=(0, 1)) -> DataFrame:
+def report(df: DataFrame, truth: str, pred: str, classes=None) -> DataFrame:
     """Per-class precision, recall, f1, support plus accuracy, macro and weighted averages.
 
     Columns: ``class`` (string), ``precision``, ``recall``, ``f1``, ``support``.
-    The accuracy row carries the accuracy in ``f1`` and NULL precision/recall.
+    The accuracy row carries the accuracy in ``f1`` and NULL precision/recall;
+    it is over all rows. The averages are over the listed classes (by default
+    those of the data) and their support.
     """
+    classes = list(class_values(df, truth, pred) if classes is None else classes)
     counts = _class_counts(df, truth, pred, classes)
     pc = _per_class(classes)
     k = float(len(classes))
-    total = F.col("total")
+    total, listed = F.col("total"), sum((F.col(f"sup_{c}") for c in classes), F.lit(0))
     acc = _ratio(sum((F.col(f"tp_{c}") for c in classes), F.lit(0)), total)
 
     def row(name, p, r, f, s):
@@ -90,10 +113,10 @@ def report(df: DataFrame, truth: str, pred: str, classes=(0, 1)) -> DataFrame:
     rows = [row(str(c), *pc[c]) for c in classes]
     rows.append(row("accuracy", F.lit(None), F.lit(None), acc, total))
     macro = [sum((pc[c][i] for c in classes), F.lit(0.0)) / k for i in range(3)]
-    rows.append(row("macro avg", *macro, total))
-    weighted = [_ratio(sum((pc[c][i] * pc[c][3] for c in classes), F.lit(0.0)), total)
+    rows.append(row("macro avg", *macro, listed))
+    weighted = [_ratio(sum((pc[c][i] * pc[c][3] for c in classes), F.lit(0.0)), listed)
                 for i in range(3)]
-    rows.append(row("weighted avg", *weighted, total))
+    rows.append(row("weighted avg", *weighted, listed))
     return counts.select(F.inline(F.array(*rows)))
 
 
@@ -123,9 +146,14 @@ def auc_score(df: DataFrame, truth: str, score: str, positive=1,
     is_pos = (F.col(truth) == positive).cast("long")
     per = d.groupBy(F.col(score).alias("_s")).agg(
         F.sum(is_pos).alias("_p"), F.sum(1 - is_pos).alias("_q"))
+    return auc_from_counts(per, scan_buckets)
+
+
+def auc_from_counts(per: DataFrame, scan_buckets: int | None = None) -> DataFrame:
+    """ROC AUC from rows (_s score, _p positives, _q negatives), one per distinct score."""
     scanned = ordered_scan(per, [F.col("_s")], sums={"_qb": F.col("_q")}, buckets=scan_buckets)
     num = F.sum(F.col("_p") * (F.col("_qb") + 0.5 * F.col("_q")))
-    den = F.sum("_p") * F.sum("_q")
+    den = F.sum("_p").cast("double") * F.sum("_q").cast("double")
     return scanned.agg(F.when(den > 0, num / den).alias("auc"))
 
 

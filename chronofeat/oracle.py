@@ -111,6 +111,34 @@ f AS (
   FROM pc)"""
 
 
+#: Probability of class 1 per brand: the closed form of a class-weighted logistic fit on one
+#: one-hot category.
+BRAND = """tw AS (
+  SELECT SUM(n) OVER () / (2.0 * n) AS weight, label FROM (
+    SELECT label, COUNT(*) AS n FROM sales_split WHERE split = 'train' GROUP BY label)),
+brand AS (
+  SELECT p_brand, SUM(CASE WHEN label = 1 THEN weight ELSE 0 END) / SUM(weight) AS p1
+  FROM sales_split JOIN tw USING (label) WHERE split = 'train' GROUP BY p_brand)"""
+
+BRAND_ROWS = """SELECT s.label, r_p_brand.idx AS p_brand_cat,
+  CAST(CASE WHEN b.p1 > 0.5 THEN 1 ELSE 0 END AS INTEGER) AS prediction, ROUND(b.p1, 4) AS p1
+FROM sales_split s JOIN brand b USING (p_brand) JOIN r_p_brand ON s.p_brand = r_p_brand.v
+WHERE s.split = """
+
+EVALUATED = """scored AS (
+  SELECT s.label, CAST(CASE WHEN b.p1 > 0.5 THEN 1 ELSE 0 END AS INTEGER) AS pred,
+         ROUND(b.p1, 6) AS p1, tw.weight
+  FROM sales_split s JOIN brand b USING (p_brand) JOIN tw ON tw.label = s.label
+  WHERE s.split = 'test')"""
+
+SCORE_RANKS = """per AS (
+  SELECT p1 AS s, SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
+         SUM(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS neg FROM scored GROUP BY p1),
+sc AS (
+  SELECT *, COALESCE(SUM(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING
+                                     AND 1 PRECEDING), 0) AS nb FROM per)"""
+
+
 def oracle_sql() -> dict[str, str]:
     s, e = SALES, EVENTS
     cat_idx = ", ".join(f"r_{c}.idx AS {c}_cat" for c in CATS)
@@ -123,11 +151,37 @@ def oracle_sql() -> dict[str, str]:
     scaled32 = ", ".join(
         f"ROUND(CAST(CAST(CASE WHEN d_{c} = 0 THEN 0.0 ELSE ({c} - m_{c}) / d_{c} END AS FLOAT) "
         f"AS DOUBLE), 4) AS s_{c}" for c in CONT)
+    export32 = scaled32.replace(", 4) AS", ", 3) AS")
     sql = {
         "scan_view": _with(s) + "SELECT * FROM sales_view",
-        "export_roundtrip": _with(s, SPLIT) +
-            "SELECT split, COUNT(*) AS n, CAST(SUM(label) AS BIGINT) AS n_pos "
-            "FROM sales_split WHERE label IS NOT NULL GROUP BY split",
+        "export_roundtrip": _with(s, SPLIT, _rank_ctes(), f"""st AS (
+  SELECT {train_stats} FROM sales_split WHERE split = 'train')""") +
+            f"SELECT s.label, s.split, {cat_idx}, {export32} FROM sales_split s, st\n" +
+            _indexed_select("").split("sales_view s\n", 1)[1] +
+            "\nWHERE s.label IS NOT NULL",
+        "shard_counts": _with(s, SPLIT) +
+            "SELECT 4 AS shards, 0 AS empty_shards, COUNT(*) AS total_rows, 0 AS overlapping_rows "
+            "FROM sales_split WHERE split = 'train' AND label IS NOT NULL",
+        "train_scores": _with(s, SPLIT, _rank_ctes(), BRAND) + BRAND_ROWS + "'val'",
+        "score_rows": _with(s, SPLIT, _rank_ctes(), BRAND) + BRAND_ROWS + "'test'",
+        "model_reload_scores": _with(s, SPLIT) +
+            "SELECT COUNT(*) AS rows, COUNT(*) AS same FROM sales_split "
+            "WHERE split = 'test' AND label IS NOT NULL",
+        "artifact_listing": "SELECT folder, TRUE AS has_files FROM (VALUES ('metadata'), "
+            "('stages/0_OneHotEncoder'), ('stages/1_VectorAssembler'), "
+            "('stages/2_LogisticRegression')) t(folder)",
+        "param_search": "SELECT 3 AS candidates, 1 AS best, TRUE AS best_is_lowest, "
+            "TRUE AS in_range",
+        "evaluate_model": _with(s, SPLIT, BRAND, EVALUATED, _class_counts(), SCORE_RANKS) + """
+SELECT 'log_loss' AS metric, ROUND(-SUM(weight * LN(CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END))
+                                   / SUM(weight), 4) AS value FROM scored
+UNION ALL SELECT 'accuracy', ROUND((tp_0 + tp_1) / total, 4) FROM f
+UNION ALL SELECT 'weighted_f1', ROUND((f_0 * sup_0 + f_1 * sup_1) / total, 4) FROM f
+UNION ALL SELECT 'auc_hard', ROUND((r_1 + r_0) / 2, 4) FROM f
+UNION ALL SELECT 'auc_score', ROUND(CAST(SUM(pos * (nb + 0.5 * neg)) AS DOUBLE)
+                                    / CAST(SUM(pos) * SUM(neg) AS DOUBLE), 4) FROM sc
+UNION ALL SELECT 'true_0', CAST(prd_1 - tp_1 AS DOUBLE) FROM f
+UNION ALL SELECT 'true_1', CAST(tp_1 AS DOUBLE) FROM f""",
         "preview_topk": _with(e) +
             f"SELECT event_id, entity, ts_hour, label FROM events_view "
             f"ORDER BY {ORDER}, event_id LIMIT 4",
@@ -201,7 +255,8 @@ w AS (SELECT label, CAST(SUM(n) OVER () AS DOUBLE) / CAST(COUNT(*) OVER () * n A
   FROM scored WHERE label IS NOT NULL AND pred IS NOT NULL GROUP BY 1)""",
         "confusion_matrix": _with(e, SCORED) + """SELECT label AS truth,
   CAST(SUM(CASE WHEN pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS pred_0,
-  CAST(SUM(CASE WHEN pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pred_1
+  CAST(SUM(CASE WHEN pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pred_1,
+  CAST(SUM(CASE WHEN pred NOT IN (0, 1) THEN 1 ELSE 0 END) AS BIGINT) AS pred_other
 FROM scored WHERE label IS NOT NULL AND pred IS NOT NULL AND label IN (0, 1) GROUP BY label""",
         "classification_report": _with(e, SCORED, _class_counts()) + """SELECT * FROM (
   SELECT '0' AS class, ROUND(p_0, 8) AS precision, ROUND(r_0, 8) AS recall, ROUND(f_0, 8) AS f1,

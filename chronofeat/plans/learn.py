@@ -15,39 +15,43 @@ from __future__ import annotations
 
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.balance import class_weights, with_weight
-from ..operators.metrics import weighted_log_loss
+from ..sources.parquet import artifacts
 
 
 def _features_stages(cat_cols, cont_col):
     onehot = [c + "_oh" for c in cat_cols]
     stages = [OneHotEncoder(inputCols=list(cat_cols), outputCols=onehot,
                             handleInvalid="keep", dropLast=True)]
-    stages.append(VectorAssembler(inputCols=onehot + [cont_col], outputCol="_x",
-                                  handleInvalid="error"))
+    stages.append(VectorAssembler(inputCols=onehot + ([cont_col] if cont_col else []),
+                                  outputCol="_x", handleInvalid="error"))
     return stages
 
 
-def as_vector(df: DataFrame, col: str) -> DataFrame:
-    """Exported ``array<float>`` features back to an ML vector (no-op for vectors)."""
+def as_vector(df: DataFrame, col: str | None) -> DataFrame:
+    """Exported ``array<float>`` features back to an ML vector (no-op for vectors or no column)."""
+    if col is None:
+        return df
     dtype = df.schema[col].dataType.typeName()
     return df.withColumn(col, array_to_vector(F.col(col))) if dtype == "array" else df
 
 
 def build_estimator(cat_cols, cont_col: str, label: str, weight: str = "weight",
                     model: str = "logistic", max_iter: int = 7, reg_param: float = 0.0,
-                    seed: int = 7) -> Pipeline:
+                    seed: int = 7, tol: float = 1e-6) -> Pipeline:
     if model == "logistic":
         clf = LogisticRegression(featuresCol="_x", labelCol=label, weightCol=weight,
-                                 maxIter=max_iter, regParam=reg_param, family="binomial")
+                                 maxIter=max_iter, regParam=reg_param, family="binomial", tol=tol)
     elif model == "gbt":
         clf = GBTClassifier(featuresCol="_x", labelCol=label, weightCol=weight,
                             maxIter=max_iter, seed=seed)
@@ -58,14 +62,17 @@ def build_estimator(cat_cols, cont_col: str, label: str, weight: str = "weight",
 
 def train_weighted(train: DataFrame, cat_cols, cont_col: str, label: str,
                    model: str = "logistic", max_iter: int = 7, reg_param: float = 0.0,
-                   weights: DataFrame | None = None) -> PipelineModel:
-    """Fit a class-weighted classifier; weights default to "balanced" on ``train``."""
+                   weights: DataFrame | None = None, tol: float = 1e-6) -> PipelineModel:
+    """Fit a class-weighted classifier; weights default to "balanced" on ``train``.
+
+    ``cont_col=None`` trains on the categories alone.
+    """
     train = as_vector(train, cont_col).withColumn(label, F.col(label).cast("double"))
     if weights is None:
         weights = class_weights(train, label)
     train = with_weight(train, label, weights)
     return build_estimator(cat_cols, cont_col, label, "weight", model, max_iter,
-                           reg_param).fit(train)
+                           reg_param, tol=tol).fit(train)
 
 
 def score(model: PipelineModel, df: DataFrame, cont_col: str) -> DataFrame:
@@ -76,13 +83,29 @@ def score(model: PipelineModel, df: DataFrame, cont_col: str) -> DataFrame:
     return out.drop(*drop)
 
 
-def save(model: PipelineModel, path: str) -> str:
+def history(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """(iteration, loss) of a fitted logistic model's training, one row per iteration."""
+    losses = [float(x) for x in model.stages[-1].summary.objectiveHistory]
+    return spark.createDataFrame(list(enumerate(losses)), "iteration int, loss double")
+
+
+def save(model: PipelineModel, path: str, version: int | None = None) -> str:
+    """Save a model, under ``version=<n>`` of ``path`` if given; returns the folder."""
+    path = path if version is None else f"{path}/version={version:06d}"
     model.write().overwrite().save(path)
     return path
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(path: str, version: int | None = None) -> PipelineModel:
+    """Load a model, or version ``version`` of those saved under ``path``."""
+    return PipelineModel.load(path if version is None else f"{path}/version={version:06d}")
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions saved under ``path``, oldest first (one row per version)."""
+    found = artifacts(spark, path).select(
+        F.regexp_extract("path", r"/version=(\d+)/", 1).alias("v")).where("v <> ''").distinct()
+    return sorted(int(r["v"]) for r in found.collect())
 
 
 def log_uniform_draws(low_exp: float, high_exp: float, n: int, seed: int) -> list[float]:
@@ -93,29 +116,50 @@ def log_uniform_draws(low_exp: float, high_exp: float, n: int, seed: int) -> lis
 
 def param_search(train: DataFrame, val: DataFrame, cat_cols, cont_col: str, label: str,
                  reg_params=None, n_draws: int = 3, seed: int = 11, max_iter: int = 7,
-                 low_exp: float = -10.0, high_exp: float = -4.0) -> DataFrame:
+                 low_exp: float = -10.0, high_exp: float = -4.0,
+                 parallelism: int = 4) -> DataFrame:
     """Fit one model per ``regParam`` and return (reg_param, val_log_loss, best).
 
-    Candidates come from a seeded log-uniform draw on exp(-10)..exp(-4); all
-    models are fitted from one ``fit(train, paramMaps)`` call and judged on
-    the *time-ordered* validation split by the class-weighted log loss.
+    Candidates come from a seeded log-uniform draw on exp(-10)..exp(-4). The
+    feature stages are fitted once and both feature frames kept for the time of
+    the search; ``parallelism`` classifiers are fitted at a time, and one pass
+    over the *time-ordered* validation split yields every candidate's
+    class-weighted log loss. The lowest loss is best (the first of equal ones).
     """
     if reg_params is None:
         reg_params = log_uniform_draws(low_exp, high_exp, n_draws, seed)
     train = as_vector(train, cont_col).withColumn(label, F.col(label).cast("double"))
     weights = class_weights(train, label)
-    train = with_weight(train, label, weights)
-    est = build_estimator(cat_cols, cont_col, label, "weight", "logistic", max_iter)
-    clf = est.getStages()[-1]
-    maps = [{clf.regParam: float(r)} for r in reg_params]
-    models = est.fit(train, maps)
-    val = with_weight(as_vector(val, cont_col), label, weights)
-    losses = None
-    for r, m in zip(reg_params, models):
-        scored = score(m, val, cont_col)
-        one = weighted_log_loss(scored, label, "p1", "weight").select(
-            F.lit(float(r)).alias("reg_param"), F.col("log_loss").alias("val_log_loss"))
-        losses = one if losses is None else losses.unionByName(one)
-    # one row per candidate: the window is over a handful of rows
-    best = F.min("val_log_loss").over(Window.partitionBy())
-    return losses.withColumn("best", F.col("val_log_loss") == best)
+    features = Pipeline(stages=_features_stages(cat_cols, cont_col)).fit(train)
+
+    def kept(df):
+        weighed = with_weight(df, label, weights)
+        return features.transform(weighed).select(label, "weight", "_x").persist(
+            StorageLevel.MEMORY_AND_DISK)
+
+    tr, va = kept(train), kept(as_vector(val, cont_col).withColumn(label, F.col(label).cast("double")))
+    try:
+        def fit(i):
+            return LogisticRegression(
+                featuresCol="_x", labelCol=label, weightCol="weight", maxIter=max_iter,
+                regParam=float(reg_params[i]), family="binomial", predictionCol=f"_pred{i}",
+                rawPredictionCol=f"_raw{i}", probabilityCol=f"_prob{i}").fit(tr)
+        with ThreadPoolExecutor(max(1, parallelism)) as pool:
+            models = list(pool.map(fit, range(len(reg_params))))
+        scored = va
+        for m in models:
+            scored = m.transform(scored)
+        w, aggs = F.col("weight"), []
+        for i in range(len(models)):
+            p = F.least(F.greatest(vector_to_array(F.col(f"_prob{i}"))[1], F.lit(1e-15)),
+                        F.lit(1.0 - 1e-15))
+            right = F.when(F.col(label) == 1, p).otherwise(1.0 - p)
+            aggs.append((-F.sum(w * F.log(right)) / F.sum(w)).alias(f"l{i}"))
+        losses = list(scored.where(F.col(label).isNotNull()).agg(*aggs).first())
+    finally:
+        tr.unpersist()
+        va.unpersist()
+    best = min(range(len(losses)), key=lambda i: (losses[i], i))
+    rows = [(float(r), x, i == best) for i, (r, x) in enumerate(zip(reg_params, losses))]
+    return train.sparkSession.createDataFrame(
+        rows, "reg_param double, val_log_loss double, best boolean")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fixed value: the small row group that gives many readers a group each.
 ROW_GROUP_BYTES = 1024 * 1024
 
 
 def write_shards(df: DataFrame, path: str, num_files: int | None = None,
-                 block_size: int = ROW_GROUP_BYTES, partition_by=None,
+                 block_size: int | None = None, partition_by=None,
                  max_records_per_file: int | None = None, mode: str = "overwrite") -> str:
-    """Write ``df`` as Parquet with small row groups so every reader gets some.
+    """Write ``df`` as Parquet; ``block_size`` (bytes) sets the row groups' size.
+
+    Spark's default size suits scans; :data:`ROW_GROUP_BYTES` gives each of many
+    readers of a small output some groups.
 
     ``num_files=None`` (default) writes one file per task with no shuffle -
     the right choice at scale, where there are already far more tasks than
@@ -23,7 +25,9 @@ def write_shards(df: DataFrame, path: str, num_files: int | None = None,
     ``partition_by`` writes several outputs (e.g. all three splits) in one job.
     """
     out = df.repartition(num_files) if num_files else df
-    w = out.write.mode(mode).option("parquet.block.size", block_size)
+    w = out.write.mode(mode)
+    if block_size:
+        w = w.option("parquet.block.size", block_size)
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
     if partition_by:
@@ -52,28 +56,31 @@ def shard_column(df: DataFrame, key: str | None, num_shards: int, out: str = "sh
     return df.withColumn(out, expr.cast("int"))
 
 
-def shard_files(spark: SparkSession, path: str, shard: int, num_shards: int) -> list[str]:
-    """Data files of reader ``shard`` out of ``num_shards`` (stable hash of the file URI).
+def shard_files(spark: SparkSession, path: str, num_shards: int) -> list[list[str]]:
+    """Data files of each reader: dealt out in turn from the largest down, so shards are even.
 
-    The listing is the one Spark makes for any read of ``path`` (one entry per
-    file, not per row), so it is cheap to hash on the driver.
+    One listing (a row per file) serves all shards, and whenever there are as
+    many files as readers no reader is left without one.
     """
-    files = sorted(spark.read.parquet(path).inputFiles())
-    return [f for f in files
-            if zlib.crc32(f.encode()) % num_shards == shard]
+    files = sorted((-r["length"], r["path"]) for r in artifacts(spark, path).collect()
+                   if r["path"].endswith(".parquet"))
+    return [[f for _, f in files[i::num_shards]] for i in range(num_shards)]
 
 
-def read_shard(spark: SparkSession, path: str, shard: int, num_shards: int) -> DataFrame:
-    """Rows of reader ``shard`` out of ``num_shards``: whole files, disjoint, exhaustive.
+def read_shards(spark: SparkSession, path: str, num_shards: int) -> list[DataFrame]:
+    """The rows of every reader: whole files, disjoint, exhaustive, from one listing.
 
-    Only the shard's own files are opened. A shard with no file is an empty
+    Reading a shard opens its own files only; one without a file is an empty
     frame with the dataset's schema.
     """
-    files = shard_files(spark, path, shard, num_shards)
-    if not files:
-        return spark.read.parquet(path).limit(0)
     base = spark.read.parquet(path)
-    return spark.read.schema(base.schema).option("basePath", path).parquet(*files)
+    return [spark.read.schema(base.schema).option("basePath", path).parquet(*files)
+            if files else base.limit(0) for files in shard_files(spark, path, num_shards)]
+
+
+def read_shard(spark: SparkSession, path: str, shard: int, num_shards: int) -> DataFrame:
+    """Rows of reader ``shard`` out of ``num_shards``."""
+    return read_shards(spark, path, num_shards)[shard]
 
 
 def shard_counts(df: DataFrame, shard: str = "shard") -> DataFrame:
