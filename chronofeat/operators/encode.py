@@ -2,29 +2,27 @@
 
 Index order is frequency descending, ties by the label's string form
 ascending, starting at 0 as a double; integer categories are indexed by their
-string form. Two ways to fit/apply it:
-
-* :func:`fit_category_index` - one pass counts every (column, value) pair for
-  all columns; after the label count per column is checked against
-  ``max_labels``, the labels become ``StringIndexerModel`` s (the model holds
-  its labels on the driver, so this is for categories of bounded cardinality);
-* :func:`index_table` / :func:`apply_index_table` - the index stays a
-  DataFrame (column, value, index) built with an ordered scan and applied
-  with one equi-join per column, for high-cardinality columns whose labels
-  should never pass through the driver.
+string form. One pass counts every (column, value) pair for all columns; the
+index stays a DataFrame (column, value, n, index) built with an ordered scan and
+applied with one equi-join per column, so no label passes through the driver and
+columns may have any number of them. :class:`CategoryIndex` holds a fitted index
+and saves and loads it as Parquet. :func:`fit_string_indexer` is the stock
+estimator, for comparison.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
+from dataclasses import dataclass
+
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
 from .scan import ordered_scan
 
-DEFAULT_MAX_LABELS = 1_000_000
+#: A column's labels are broadcast up to this counted number; beyond, its join shuffles.
+BROADCAST_LABELS = 200_000
 
 
 def melt_values(df: DataFrame, cols) -> DataFrame:
@@ -69,63 +67,92 @@ def embedding_width(card: DataFrame, cap: int = 50, card_col: str = "cardinality
     return card.withColumn(out, F.least(F.lit(cap), F.floor((F.col(card_col) + 2) / 2)).cast("int"))
 
 
+def index_from_counts(counts: DataFrame, scan_buckets: int | None = None) -> DataFrame:
+    """(column, value, n, index) from (column, value, n); NULL values have no index."""
+    order = [F.col("column"), -F.col("n"), F.col("value")]
+    scanned = ordered_scan(counts.where(F.col("value").isNotNull()), order,
+                           sums={"_before": F.lit(1)}, buckets=scan_buckets)
+    firsts = scanned.groupBy("column").agg(F.min("_before").alias("_first"))
+    # one row per input column: a proven broadcast bound
+    return (scanned.join(F.broadcast(firsts), "column")
+            .select("column", "value", "n",
+                    (F.col("_before") - F.col("_first")).cast("double").alias("index")))
+
+
+def index_table(df: DataFrame, cols, scan_buckets: int | None = None) -> DataFrame:
+    """(column, value, n, index) with the StringIndexer order; restarts at 0 for every column."""
+    return index_from_counts(reliable_checkpoint(value_counts(df, cols)), scan_buckets)
+
+
+@dataclass
+class CategoryIndex:
+    """A fitted index: its table, the indexed columns and their label counts."""
+
+    table: DataFrame          # (column, value, n, index), materialised
+    cols: list
+    sizes: dict               # labels per column
+    suffix: str = "_cat"
+    handle_invalid: str = "error"
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` plus an index column per category, one equi-join each.
+
+        NULL or unseen labels: ``error`` raises in the row, ``keep`` maps them
+        to the column's label count, ``skip`` drops the row.
+        """
+        out = df
+        for c in self.cols:
+            value, index = f"_v_{c}", c + self.suffix
+            side = self.table.where(F.col("column") == c).select(
+                F.col("value").alias(value), F.col("index").alias(index))
+            if self.sizes.get(c, 0) <= BROADCAST_LABELS:
+                side = F.broadcast(side)
+            out = out.join(side, F.col(c).cast("string") == F.col(value), "left").drop(value)
+            if self.handle_invalid == "keep":
+                out = out.withColumn(index, F.coalesce(index, F.lit(float(self.sizes.get(c, 0)))))
+            elif self.handle_invalid == "error":
+                wrong = F.raise_error(F.lit(f"NULL or unseen label in column {c}"))
+                out = out.withColumn(index, F.when(F.col(index).isNull(), wrong)
+                                     .otherwise(F.col(index)))
+        if self.handle_invalid == "skip":
+            out = out.na.drop(subset=[c + self.suffix for c in self.cols])
+        return out
+
+    def save(self, path: str) -> str:
+        self.table.write.mode("overwrite").parquet(path)
+        return path
+
+
+def load_category_index(spark: SparkSession, path: str, cols, suffix: str = "_cat",
+                        handle_invalid: str = "error") -> CategoryIndex:
+    """An index saved by :meth:`CategoryIndex.save`."""
+    return _held(spark.read.parquet(path), cols, suffix, handle_invalid)
+
+
+def _held(table, cols, suffix, handle_invalid) -> CategoryIndex:
+    # one row per column: bounded, safe to bring to the driver
+    sizes = {r["column"]: r["k"] for r in
+             table.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
+    return CategoryIndex(table, list(cols), sizes, suffix, handle_invalid)
+
+
 def fit_category_index(df: DataFrame, cols, suffix: str = "_cat", handle_invalid: str = "error",
-                       max_labels: int | None = DEFAULT_MAX_LABELS) -> PipelineModel:
-    """Fit the index of every column in one pass; return a model of ``StringIndexerModel`` s.
-
-    One aggregation counts every (column, value) pair, combined map-side so
-    only distinct pairs are shuffled. The label count per column is checked
-    against ``max_labels`` *before* any label reaches the driver; only then
-    are the labels (a proven-bounded table) collected and ordered by count
-    descending, then label ascending - the ``frequencyDesc`` order - into
-    one regular ``StringIndexerModel`` per column (chained in a
-    ``PipelineModel`` that can be saved and loaded like any other).
-    """
-    counts = value_counts(df, cols).cache()
-    try:
-        return _model_from_counts(counts, list(cols), suffix, handle_invalid, max_labels)
-    finally:
-        counts.unpersist()
+                       scan_buckets: int | None = None) -> CategoryIndex:
+    """Fit the index of every column in one pass over ``df``."""
+    return index_and_cardinality(df, cols, suffix, handle_invalid, scan_buckets)[0]
 
 
 def index_and_cardinality(df: DataFrame, cols, suffix: str = "_cat",
-                          handle_invalid: str = "error",
-                          max_labels: int | None = DEFAULT_MAX_LABELS):
-    """``(model, cardinality)`` from the same single pass of value counts.
+                          handle_invalid: str = "error", scan_buckets: int | None = None):
+    """``(index, cardinality)`` from the same single pass of value counts.
 
     ``cardinality`` (column, cardinality) counts NULL as a value, like
-    :func:`cardinality`; it is a lazy view of the cached count table.
+    :func:`cardinality`; it is a lazy view of the count table.
     """
-    counts = value_counts(df, cols).cache()
-    model = _model_from_counts(counts, list(cols), suffix, handle_invalid, max_labels)
+    counts = reliable_checkpoint(value_counts(df, cols))
+    table = reliable_checkpoint(index_from_counts(counts, scan_buckets))
     card = counts.groupBy("column").agg(F.count(F.lit(1)).alias("cardinality"))
-    return model, card
-
-
-def _model_from_counts(counts, cols, suffix, handle_invalid, max_labels):
-    labelled = counts.where(F.col("value").isNotNull())
-    if max_labels is not None:
-        too_big = (labelled.groupBy("column").agg(F.count(F.lit(1)).alias("k"))
-                   .where(F.col("k") > max_labels).collect())
-        if too_big:
-            raise ValueError(f"columns with more than {max_labels} labels: "
-                             f"{[r['column'] for r in too_big]}; use index_table()")
-    labels = {c: [] for c in cols}
-    for r in labelled.collect():
-        labels[r["column"]].append((-r["n"], r["value"]))
-    return PipelineModel([
-        StringIndexerModel.from_labels([v for _, v in sorted(labels[c])], inputCol=c,
-                                       outputCol=c + suffix, handleInvalid=handle_invalid)
-        for c in cols])
-
-
-def index_labels(model) -> list[list[str]]:
-    """Ordered labels per column of a fitted index (either fit function)."""
-    stages = model.stages if isinstance(model, PipelineModel) else [model]
-    out = []
-    for st in stages:
-        out.extend([list(a) for a in st.labelsArray])
-    return out
+    return _held(table, cols, suffix, handle_invalid), card
 
 
 def fit_string_indexer(df: DataFrame, cols, suffix: str = "_cat",
@@ -134,59 +161,3 @@ def fit_string_indexer(df: DataFrame, cols, suffix: str = "_cat",
     indexer = StringIndexer(inputCols=list(cols), outputCols=[c + suffix for c in cols],
                             handleInvalid=handle_invalid, stringOrderType="frequencyDesc")
     return indexer.fit(df)
-
-
-def index_table(df: DataFrame, cols, scan_buckets: int | None = None) -> DataFrame:
-    """(column, value, n, index) with the StringIndexer order, built distributed.
-
-    NULL values are left out (as StringIndexer does); the index restarts at 0
-    for every column.
-    """
-    counts = value_counts(df, cols).where(F.col("value").isNotNull())
-    order = [F.col("column"), -F.col("n"), F.col("value")]
-    scanned = ordered_scan(counts, order, sums={"_before": F.lit(1)}, buckets=scan_buckets)
-    firsts = scanned.groupBy("column").agg(F.min("_before").alias("_first"))
-    # one row per input column: a proven broadcast bound
-    return (scanned.join(F.broadcast(firsts), "column")
-            .select("column", "value", "n",
-                    (F.col("_before") - F.col("_first")).cast("double").alias("index")))
-
-
-def apply_index_table(df: DataFrame, table: DataFrame, cols, suffix: str = "_cat",
-                      handle_invalid: str = "keep") -> DataFrame:
-    """Index ``cols`` of ``df`` with a table from :func:`index_table`.
-
-    ``keep`` maps NULL / unseen labels to the column's label count, ``skip``
-    drops such rows. Each column is a separate equi-join (broadcast by AQE
-    when the column's label table is small, shuffle join otherwise). The
-    index table is persisted (memory, spilling to disk) because every
-    column's join reads it.
-    """
-    out = df
-    # read once per column below: keep it rather than re-deriving it each time
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    # one row per column: bounded, safe to bring to the driver
-    sizes = {r["column"]: r["_k"] for r in
-             table.groupBy("column").agg(F.count(F.lit(1)).alias("_k")).collect()}
-    for c in cols:
-        sub = table.where(F.col("column") == c).select(
-            F.col("value").alias(f"_v_{c}"), F.col("index").alias(c + suffix))
-        out = out.join(sub, F.col(c).cast("string") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
-        if handle_invalid == "keep":
-            out = out.withColumn(c + suffix, F.coalesce(F.col(c + suffix),
-                                                        F.lit(float(sizes.get(c, 0)))))
-    if handle_invalid == "error":
-        bad = out.where(F.greatest(*[F.col(c + suffix).isNull().cast("int") for c in cols]) == 1)
-        if bad.limit(1).count():
-            raise ValueError("NULL or unseen label; use handle_invalid='keep' or 'skip'")
-    if handle_invalid == "skip":
-        out = out.na.drop(subset=[c + suffix for c in cols])
-    return out
-
-
-def category_index(df: DataFrame, cols, suffix: str = "_cat", handle_invalid: str = "error",
-                   fit_df: DataFrame | None = None, drop_input: bool = False) -> DataFrame:
-    """Index ``cols`` (fit on ``fit_df`` or ``df``) and optionally drop the raw columns."""
-    model = fit_category_index(fit_df if fit_df is not None else df, cols, suffix, handle_invalid)
-    out = model.transform(df)
-    return out.drop(*cols) if drop_input else out

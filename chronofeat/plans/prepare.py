@@ -49,6 +49,7 @@ class PrepSpec:
     fit_index_on: str = "all"             # "all" (as the reference) or "train"
     handle_invalid: str = "error"
     features_col: str = "scaledFeatures"
+    limit: int | None = None              # at most so many input rows (trial exports)
 
     @property
     def categories(self) -> list:
@@ -86,7 +87,9 @@ class Prepared:
 
 
 def clean_frame(df: DataFrame, spec: PrepSpec) -> DataFrame:
-    """Filter, entity key, optional episodes, NULL drop - all lazy."""
+    """Row limit, filter, entity key, optional episodes, NULL drop - all lazy."""
+    if spec.limit is not None:
+        df = df.limit(spec.limit)
     if spec.threshold_col is not None:
         df = clean.filter_threshold(df, spec.threshold_col, spec.threshold)
     if spec.entity_parts:
@@ -149,22 +152,18 @@ def summaries(prepared: Prepared, cleaned: DataFrame | None = None) -> dict[str,
 
 
 def export(prepared: Prepared, path: str, num_files: int | None = None,
-           one_job: bool = True) -> str:
+           one_job: bool = True, block_size: int | None = None) -> str:
     """Write the splits as Parquet (``path/split=<name>/`` or three folders).
 
-    With ``num_files`` the round-robin repartition is applied to the labelled
-    input rows *before* the row-wise index / scale transforms (they commute),
-    so the single shuffle also spreads the transform work over ``num_files``
-    tasks instead of running it wherever the input partitions happen to be.
+    The row-wise index and scale transforms run in the tasks that read the
+    rows; ``num_files=n`` adds one exchange after them, for readers that need an
+    exact number of files. ``block_size`` sets the row groups' size in bytes.
     """
-    if num_files and prepared.labelled is not None:
-        frame = prepared.transform(prepared.labelled.repartition(num_files))
-        spread = None
-    else:
-        frame, spread = prepared.frame, num_files
+    frame, spread = prepared.frame, num_files
     if one_job:
-        return write_shards(frame, path, num_files=spread, partition_by="split")
+        return write_shards(frame, path, num_files=spread, block_size=block_size,
+                            partition_by="split")
     for name in ("train", "val", "test"):
         part = frame.where(F.col("split") == name).drop("split")
-        write_shards(part, f"{path}/{name}", num_files=spread)
+        write_shards(part, f"{path}/{name}", num_files=spread, block_size=block_size)
     return path

@@ -270,10 +270,10 @@ def q_category_index_table(spark, d):
 
 
 def q_category_index_joined(spark, d):
-    """Index applied from the distributed index table with joins (high-cardinality path)."""
+    """Index built in range buckets, saved, loaded and applied."""
     sales = _sales(spark, d)
-    table = encode.index_table(sales, CATS, scan_buckets=3)
-    out = encode.apply_index_table(sales, table, CATS, handle_invalid="error")
+    path = encode.fit_category_index(sales, CATS, scan_buckets=3).save(shared_path(spark, "index"))
+    out = encode.load_category_index(spark, path, CATS).transform(sales)
     return out.select(*[c + "_cat" for c in CATS])
 
 

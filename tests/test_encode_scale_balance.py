@@ -14,15 +14,22 @@ def _cats(spark):
     return spark.createDataFrame(CAT_ROWS, "c string, n int")
 
 
+def _labels(table, col):
+    rows = table.where(F.col("column") == col).orderBy("index").collect()
+    assert [r["index"] for r in rows] == [float(i) for i in range(len(rows))]
+    return [r["value"] for r in rows]
+
+
 def test_index_order_frequency_then_label(spark):
     df = _cats(spark).where(F.col("c").isNotNull())
-    labels = encode.index_labels(encode.fit_category_index(df, ["c", "n"]))
-    assert labels == [["c", "a", "b"], ["1", "3"]]  # ints indexed as strings
+    table = encode.fit_category_index(df, ["c", "n"]).table
+    assert _labels(table, "c") == ["c", "a", "b"]
+    assert _labels(table, "n") == ["1", "3"]  # ints indexed as strings
 
 
 def test_index_null_raises_keep_and_skip(spark):
     df = _cats(spark)
-    with pytest.raises(Exception):
+    with pytest.raises(Exception, match="unseen label"):
         encode.fit_category_index(df, ["c"]).transform(df).collect()
     keep = encode.fit_category_index(df, ["c"], handle_invalid="keep").transform(df)
     assert sorted(r.c_cat for r in keep.collect()) == [0.0, 0.0, 1.0, 2.0, 3.0]
@@ -30,17 +37,26 @@ def test_index_null_raises_keep_and_skip(spark):
     assert skip.count() == 4
 
 
-@pytest.mark.parametrize("buckets", [1, 3])
-def test_index_table_equals_string_indexer(spark, buckets):
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_index_equals_string_indexer_and_survives_saving(spark, buckets):
+    from chronofeat.session import shared_path
     df = spark.createDataFrame([(str(i % 13), i % 5) for i in range(200)], "a string, b int")
-    model = encode.fit_category_index(df, ["a", "b"])
-    table = encode.index_table(df, ["a", "b"], scan_buckets=buckets)
-    for i, c in enumerate(["a", "b"]):
-        got = {r["value"]: r["index"] for r in table.where(F.col("column") == c).collect()}
-        assert got == {lab: float(k) for k, lab in enumerate(encode.index_labels(model)[i])}
-    applied = encode.apply_index_table(df, table, ["a", "b"])
-    direct = model.transform(df)
-    assert applied.exceptAll(direct.select(*applied.columns)).count() == 0
+    model = encode.fit_category_index(df, ["a", "b"], scan_buckets=buckets)
+    stock = encode.fit_string_indexer(df, ["a", "b"])
+    assert [_labels(model.table, c) for c in ("a", "b")] == [list(x) for x in stock.labelsArray]
+    again = encode.load_category_index(spark, model.save(shared_path(spark, "index")), ["a", "b"])
+    direct = stock.transform(df)
+    for out in (model.transform(df), again.transform(df)):
+        assert out.exceptAll(direct.select(*out.columns)).count() == 0
+
+
+def test_many_labels_need_no_driver(spark, monkeypatch):
+    monkeypatch.setattr(encode, "BROADCAST_LABELS", 1000)  # the join shuffles beyond it
+    df = spark.range(1_200_000).select(F.concat(F.lit("k"), "id").alias("k"))
+    model = encode.fit_category_index(df, ["k"])
+    out = model.transform(df)
+    assert model.sizes == {"k": 1_200_000}
+    assert out.select(F.count_distinct("k_cat")).first()[0] == 1_200_000
 
 
 def test_cardinality_counts_null(spark):
@@ -116,13 +132,7 @@ def test_one_pass_fit_equals_stock_string_indexer(spark):
     sales = sales_view(spark, SF01)
     ours = encode.fit_category_index(sales, SALES_CATEGORIES)
     stock = encode.fit_string_indexer(sales, SALES_CATEGORIES)
-    assert encode.index_labels(ours) == encode.index_labels(stock)
-
-
-def test_label_guard_raises_before_collecting(spark):
-    df = spark.range(50).select(F.col("id").cast("string").alias("k"))
-    with pytest.raises(ValueError):
-        encode.fit_category_index(df, ["k"], max_labels=10)
+    assert [_labels(ours.table, c) for c in SALES_CATEGORIES] == [list(x) for x in stock.labelsArray]
 
 
 @pytest.mark.parametrize("as_array", ["float32", "float64"])
