@@ -20,16 +20,6 @@ def entity_key(*parts, sep: str = " ") -> Column:
     return F.concat(*items)
 
 
-def break_flag(entity, prev_entity, prev_label) -> Column:
-    """``1`` when ``NOT (entity = prev_entity) OR prev_label = 1`` is TRUE, else 0."""
-    return F.when(~(_c(entity) == _c(prev_entity)) | (_c(prev_label) == 1), 1).otherwise(0)
-
-
-def power_of(col, degree: int) -> Column:
-    """``pow(col, degree)`` as double (time polynomial terms)."""
-    return F.pow(_c(col), F.lit(degree))
-
-
 def argmax_class(scores) -> Column:
     """0-based index of the largest element of an array (first one on ties)."""
     arr = _c(scores)
@@ -47,12 +37,6 @@ def pack_categories(cols) -> Column:
     return F.array(*[_c(c).cast("long") for c in cols])
 
 
-def vector_to_float32(col) -> Column:
-    """ML vector -> ``array<float>`` for export."""
-    from pyspark.ml.functions import vector_to_array
-    return vector_to_array(_c(col), "float32")
-
-
 def vector_to_float64(col) -> Column:
     from pyspark.ml.functions import vector_to_array
     return vector_to_array(_c(col), "float64")

@@ -27,10 +27,6 @@ def project(df: DataFrame, cols) -> DataFrame:
     return df.select(*cols)
 
 
-def drop_columns(df: DataFrame, cols) -> DataFrame:
-    return df.drop(*cols)
-
-
 def drop_required_nulls(df: DataFrame, subset) -> DataFrame:
     """Drop rows where any ``subset`` column is NULL (or NaN for floating columns)."""
     return df.na.drop(subset=list(subset))

@@ -11,22 +11,21 @@ tiebreak used by ``lag`` only):
   (entity, time) peer group (RANGE frame: tied rows share it);
 * ``time`` = rows of the same ``case_id`` up to the end of the peer group - 1.
 
-``method="literal"`` is the textbook form with windows over the whole table
-(one task holds every row). ``method="distributed"`` never builds a global
-window over rows:
-
-1. rows are grouped into *blocks* = (entity, sub-range of time). Normal
-   entities are one block; an entity with more than ``max_block_rows`` rows is
-   cut into time sub-ranges at sampled quantiles, so a hot entity (even a
-   third of the table) spreads over many tasks. Equal times never straddle.
-2. inside a block, ordinary windows (partitioned by block) give local
-   positions, local breaks, peer-group ends and the last local break.
-3. one row per block goes through :func:`ordered_scan` (global block order):
-   block start position, previous block's last label / entity, breaks before
-   the block and the position of the last earlier episode start.
-4. the block table is joined back on the block key.
-
-Both forms return identical columns; tests check them row for row.
+No window ever spans the table, and there is one path for every input:
+
+1. rows are range-partitioned on (entity, time, tiebreak), so a hot entity, rows
+   without a time and rows tied in time spread over as many ranges as they need;
+2. inside a range, windows give what its own rows know: lag, breaks, running
+   counts to the end of the peer group, the last episode start. The result is
+   checkpointed, which pins the ranges;
+3. one row per range goes to the driver (``ranges`` of them, a parameter, whatever
+   the input): a peer group or an episode may continue over many ranges, and a
+   walk over the ranges settles where they start and end;
+4. that table is broadcast back (again ``ranges`` rows) and a projection turns
+   local values into global ones.
+
+Rows are shuffled twice (to ranges, and into their windows) and never joined
+with rows.
 """
 
 from __future__ import annotations
@@ -35,33 +34,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
-from .scan import DEFAULT_ROWS_PER_BUCKET, DEFAULT_SINGLE_TASK_ROWS, ordered_scan
 
 OUTPUTS = ("brk", "prev_entity", "prev_label", "running_breaks", "case_id", "time")
-DEFAULT_MAX_BLOCK_ROWS = 5_000_000
-SAMPLES_PER_PIECE = 64
-SAMPLE_SEED = 17
 
 
 def assign_episodes(df: DataFrame, entity: str, ts: str, label: str, tiebreak: str,
-                    outputs=("case_id", "time"), method: str = "distributed",
-                    max_block_rows: int = DEFAULT_MAX_BLOCK_ROWS,
-                    scan_buckets: int | None = None) -> DataFrame:
-    """Return ``df`` plus the requested ``outputs`` (subset of :data:`OUTPUTS`).
-
-    ``brk`` int break flag, ``prev_entity`` = lag(entity), ``prev_label`` =
-    lag(label, 1, 0), ``running_breaks`` = RANGE running sum of ``brk``,
-    ``case_id`` / ``time`` as in the module doc (both bigint).
+                    outputs=("case_id", "time"), ranges: int | None = None) -> DataFrame:
+    """``df`` plus the episode columns named in ``outputs`` (see OUTPUTS).
+
+    ``tiebreak`` orders tied rows for ``lag``; it should be unique. ``ranges``
+    defaults to ``spark.sql.shuffle.partitions``.
     """
     unknown = set(outputs) - set(OUTPUTS)
     if unknown:
         raise ValueError(f"unknown outputs {sorted(unknown)}")
-    if method == "literal":
-        return _literal(df, entity, ts, label, tiebreak, outputs)
-    if method == "distributed":
-        return _distributed(df, entity, ts, label, tiebreak, outputs,
-                            max_block_rows, scan_buckets)
-    raise ValueError(f"method must be 'literal' or 'distributed', not {method!r}")
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = reliable_checkpoint(_local(df, entity, ts, label, tiebreak, ranges))
+    edges = _edges(local, entity, ts, label, tiebreak)
+    rows = local.join(F.broadcast(_settled(edges)), "_range")  # at most ``ranges`` rows
+    head = F.col("_row") == 1
+    first, last = F.col("_rank") == 1, F.col("_to") == F.col("_n")
+    run = F.when(first, F.col("b_first_run")).when(last, F.col("b_last_run")).otherwise(
+        F.col("b_run") + F.col("_run"))
+    to = F.when(first, F.col("b_first_to")).when(last, F.col("b_last_to")).otherwise(
+        F.col("b_pos") + F.col("_to"))
+    start = F.when(first, F.col("b_first_start")).when(last, F.col("b_last_start")).otherwise(
+        F.coalesce(F.col("b_pos") + F.col("_start"), F.col("b_first_start")))
+    made = {
+        "brk": F.when(head, F.col("b_break")).otherwise(F.col("_brk")).cast("int"),
+        "prev_entity": F.when(head, F.col("b_prev_entity")).otherwise(F.col("_prev_entity")),
+        "prev_label": F.when(head, F.col("b_prev_label")).otherwise(F.col("_prev_label")),
+        "running_breaks": run.cast("long"),
+        "case_id": (run + 1).cast("long"),
+        "time": (to - start).cast("long"),
+    }
+    return rows.select(*df.columns, *[made[o].alias(o) for o in outputs])
 
 
 def time_polynomial(df: DataFrame, time_col: str = "time", degrees=(2, 3)) -> DataFrame:
@@ -69,160 +76,98 @@ def time_polynomial(df: DataFrame, time_col: str = "time", degrees=(2, 3)) -> Da
     return df.withColumns({f"{time_col}{d}": F.pow(F.col(time_col), F.lit(d)) for d in degrees})
 
 
-# ---------------------------------------------------------------------------
-# literal form: the reference's expression, global windows
-
-
-def _literal(df, entity, ts, label, tiebreak, outputs):
-    e, t = F.col(entity), F.col(ts)
-    w_lag = Window.orderBy(e.asc_nulls_first(), t.asc_nulls_first(), F.col(tiebreak).asc_nulls_first())
-    w_run = Window.orderBy(e.asc_nulls_first(), t.asc_nulls_first())
-    prev_e = F.lag(e).over(w_lag)
-    prev_l = F.lag(F.col(label), 1, 0).over(w_lag)
-    brk = F.when(~(e == prev_e) | (prev_l == 1), 1).otherwise(0)
-    out = df.withColumn("_brk", brk).withColumn("_pe", prev_e).withColumn("_pl", prev_l)
-    out = out.withColumn("_run", F.sum("_brk").over(w_run))
-    out = out.withColumn("_case", (F.col("_run") + 1).cast("long"))
-    w_case = Window.partitionBy("_case").orderBy(e.asc_nulls_first(), t.asc_nulls_first())
-    out = out.withColumn("_time", (F.count(F.lit(1)).over(w_case) - 1).cast("long"))
-    return _rename(out, df.columns, outputs)
-
-
-def _rename(out, base_cols, outputs):
-    names = {"brk": F.col("_brk").cast("int"), "prev_entity": F.col("_pe"),
-             "prev_label": F.col("_pl"), "running_breaks": F.col("_run").cast("long"),
-             "case_id": F.col("_case"), "time": F.col("_time")}
-    return out.select(*base_cols, *[names[o].alias(o) for o in outputs])
-
-
-# ---------------------------------------------------------------------------
-# distributed form
-
-
-def _hot_bounds(df, ekey, enull, ts, max_block_rows, single_task_rows, rows_per_bucket):
-    """Entity statistics pass: time cut points for hot entities, and scan width.
-
-    One aggregation over ``df`` (entity counts, combined map-side) gives both
-    the hot entities - more than ``max_block_rows`` rows - and the number of
-    blocks, which decides whether the block table may be scanned in one task.
-
-    The cut table is small and bounded: each hot entity holds more than
-    max_block_rows rows, so there are fewer than n / max_block_rows of them,
-    with fewer than n / max_block_rows bounds in total. Cut points are picked
-    from a seeded sample (about SAMPLES_PER_PIECE rows per piece), so they work
-    for any orderable time type; blocks are only roughly equal, which is all
-    the split needs. The table is checkpointed so every use sees the same cuts.
+def _local(df, entity, ts, label, tiebreak, ranges):
+    """What the rows of each range know by themselves; positions and runs count from its start."""
+    keys = [F.col(entity).asc_nulls_first(), F.col(ts).asc_nulls_first()]
+    order = [*keys, F.col(tiebreak).asc_nulls_first()]
+    split = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    in_range = Window.partitionBy("_range")
+    by_row, by_peer = in_range.orderBy(*order), in_range.orderBy(*keys)  # the latter: RANGE frames
+    rows = split.select(
+        "*", F.row_number().over(by_row).alias("_row"),
+        F.lag(entity).over(by_row).alias("_prev_entity"),
+        F.lag(label).over(by_row).alias("_prev_label"))
+    rows = rows.withColumn("_brk", F.when((F.col("_row") > 1) & (
+        ~(F.col(entity) == F.col("_prev_entity")) | (F.col("_prev_label") == 1)), 1).otherwise(0))
+    rows = rows.select(
+        "*", F.rank().over(by_peer).alias("_rank"), F.sum("_brk").over(by_peer).alias("_run"),
+        F.count(F.lit(1)).over(by_peer).alias("_to"),
+        F.sum("_brk").over(Window.partitionBy("_range", entity, ts)).alias("_in_peer"))
+    # the first peer group's own start is not known here
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(in_range))
+    return rows.withColumn("_start", F.max(F.when(
+        (F.col("_in_peer") > 0) & (F.col("_rank") > 1), F.col("_rank"))).over(by_peer))
+
+
+def _edges(local, entity, ts, label, tiebreak):
+    """One row per range: its counts, its first and last peer group, and the row before it."""
+    at = F.struct("_rank", "_row")
+    inner = (F.col("_start") == F.col("_rank")) & (F.col("_to") < F.col("_n"))
+    edges = local.groupBy("_range").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_brk").alias("breaks"),
+        F.max(F.when(F.col("_rank") == 1, F.col("_run"))).alias("first_run"),
+        F.max(F.when(F.col("_rank") == 1, F.col("_to"))).alias("first_to"),
+        F.max("_rank").alias("last_rank"), F.max_by("_in_peer", at).alias("last_breaks"),
+        F.max(F.when(inner, F.col("_rank"))).alias("inner_start"),
+        *[F.min_by(c, at).alias(n) for c, n in ((entity, "e0"), (ts, "t0"))],
+        *[F.max_by(c, at).alias(n) for c, n in ((entity, "e1"), (ts, "t1"), (label, "y1"))])
+    before = Window.orderBy("_range")  # over one row per range
+    prev = F.struct("e1", "t1", "y1")
+    edges = edges.withColumn("before", F.lag(prev).over(before))
+    same = (F.col("before").isNotNull() & F.col("before.e1").eqNullSafe(F.col("e0"))
+            & F.col("before.t1").eqNullSafe(F.col("t0")))
+    broke = F.when(~(F.col("e0") == F.col("before.e1")) | (F.col("before.y1") == 1), 1).otherwise(0)
+    return edges.select(
+        "_range", "n", "breaks", "first_run", "first_to", "last_rank", "last_breaks", "inner_start",
+        same.alias("continues"),
+        F.when(F.col("before").isNull(), 0).otherwise(broke).alias("break"),
+        F.col("before.e1").alias("b_prev_entity"),
+        # lag(label, 1, 0): the default belongs to the first row of all
+        F.when(F.col("before").isNull(), 0).otherwise(F.col("before.y1")).alias("b_prev_label"))
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """The ranges' rows with global values: where peer groups end and episodes start.
+
+    The walk sees integers only, one small row per range.
     """
-    counts = df.groupBy(ekey.alias("_ek"), enull.alias("_en")).count().cache()
-    pieces = F.ceil(F.col("count") / F.lit(max_block_rows))
-    stats = counts.agg(
-        F.count(F.lit(1)).alias("k"),
-        F.coalesce(F.sum(F.when(F.col("count") > max_block_rows, pieces - 1)), F.lit(0))
-         .alias("extra")).first()
-    blocks = (stats["k"] or 0) + (stats["extra"] or 0)
-    buckets = 1 if blocks <= single_task_rows else -(-blocks // rows_per_bucket)
-    if not stats["extra"]:
-        counts.unpersist()
-        return None, buckets
-    # pieces per hot entity and a sampling rate giving ~SAMPLES_PER_PIECE rows per piece
-    hot = (counts.where(F.col("count") > max_block_rows)
-           .select("_ek", "_en", pieces.alias("_pieces"),
-                   F.least(F.lit(1.0), pieces * F.lit(SAMPLES_PER_PIECE) / F.col("count"))
-                   .alias("_rate")))
-    sampled = (df.select(ekey.alias("_ek"), enull.alias("_en"), F.col(ts).alias("_t"))
-               .join(F.broadcast(hot), ["_ek", "_en"], "inner")
-               .where(F.col("_t").isNotNull() & (F.rand(SAMPLE_SEED) < F.col("_rate"))))
-    picks = sampled.groupBy("_ek", "_en", "_pieces").agg(
-        F.sort_array(F.collect_list("_t")).alias("_s"))
-    bounds = picks.select("_ek", "_en", F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.col("_pieces").cast("int") - 1, F.lit(1))),
-        lambda j: F.element_at("_s", (j * F.size("_s") / F.col("_pieces")).cast("int") + 1)
-    )).alias("_bounds"))
-    bounds = reliable_checkpoint(bounds)
-    counts.unpersist()
-    return bounds, buckets
-
-
-def _distributed(df, entity, ts, label, tiebreak, outputs, max_block_rows, scan_buckets,
-                 single_task_rows=DEFAULT_SINGLE_TASK_ROWS,
-                 rows_per_bucket=DEFAULT_ROWS_PER_BUCKET):
-    e, t, y = F.col(entity), F.col(ts), F.col(label)
-    # Non-NULL join/partition keys for the entity: equality on (_ek, _en)
-    # is entity equality with NULL as a value of its own.
-    ekey = F.coalesce(e.cast("string"), F.lit(""))
-    enull = e.isNull()
-    base = df.withColumn("_ek", ekey).withColumn("_en", enull)
-    bounds, buckets = _hot_bounds(df, ekey, enull, ts, max_block_rows,
-                                  single_task_rows, rows_per_bucket)
-    if scan_buckets is None:
-        scan_buckets = buckets
-    if bounds is None:
-        base = base.withColumn("_sub", F.lit(0))
-    else:
-        base = (base.join(F.broadcast(bounds), ["_ek", "_en"], "left")
-                .withColumn("_sub", F.coalesce(
-                    F.size(F.filter("_bounds", lambda b: b <= F.col(ts))), F.lit(0)))
-                .drop("_bounds"))
-
-    blk = ["_en", "_ek", "_sub"]
-    w_row = Window.partitionBy(*blk).orderBy(t.asc_nulls_first(), F.col(tiebreak).asc_nulls_first())
-    w_peer = Window.partitionBy(*blk).orderBy(t.asc_nulls_first())  # RANGE frame: peers included
-    rows = (base
-            .withColumn("_rn", F.row_number().over(w_row))
-            .withColumn("_pli", F.lag(y).over(w_row))
-            .withColumn("_st", F.when((F.col("_rn") > 1) & (F.col("_pli") == 1), 1).otherwise(0))
-            .withColumn("_pk", F.rank().over(w_peer) - 1)
-            .withColumn("_pend", F.count(F.lit(1)).over(w_peer) - 1)
-            .withColumn("_sc", F.sum("_st").over(w_peer))
-            .withColumn("_le", F.max(F.when(F.col("_st") == 1, F.col("_pk"))).over(w_peer)))
-    # ``rows`` feeds both the block table and the join back; within one query
-    # Spark reuses its shuffle exchange, so the rows are shuffled once.
-
-    # the entity value is fixed by the block key; grouping by it (instead of
-    # first()) keeps every aggregate buffer fixed-width, so the aggregation is
-    # hash-based and reuses the rows' hash partitioning without a new exchange
-    blocks = rows.groupBy(*blk, e.alias("_ent")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("_st").alias("_sin"),
-        F.max_by(y, F.col("_rn")).alias("_last"),
-        F.max(F.when(F.col("_st") == 1, F.col("_pk"))).alias("_lein"),
-    )
-    order = [F.col("_en").cast("int") * -1, F.col("_ent"), F.col("_sub")]  # NULL entity first
-    s1 = ordered_scan(
-        blocks, order,
-        sums={"_pos": F.col("_n")},
-        lags={"_p_has": F.lit(1), "_p_last": F.col("_last"),
-              "_p_en": F.col("_en"), "_p_ek": F.col("_ek"), "_p_ent": F.col("_ent")},
-        buckets=scan_buckets)
-    same_entity = (F.col("_p_en") == F.col("_en")) & (F.col("_p_ek") == F.col("_ek"))
-    first_brk = (F.when(F.col("_p_has").isNull(), 0)
-                 .when(~F.col("_en") & ~F.col("_p_en") & ~same_entity, 1)
-                 .when(F.col("_p_last") == 1, 1).otherwise(0))
-    s1 = s1.withColumn("_fb", first_brk)
-    # global position of the last episode start inside the block (NULL if none)
-    s1 = s1.withColumn("_g", F.col("_pos") + F.greatest(
-        F.col("_lein"), F.when(F.col("_fb") == 1, F.lit(0))))
-    s2 = ordered_scan(
-        s1, order,
-        sums={"_bb": F.col("_fb") + F.col("_sin")},
-        maxes={"_ge": F.col("_g")},
-        buckets=scan_buckets)
-    btab = s2.select(*blk, "_pos", "_fb", "_bb", "_ge", "_p_has", "_p_last", "_p_ent")
-
-    out = rows.join(btab, blk, "inner")
-    first = F.col("_rn") == 1
-    run = F.col("_bb") + F.col("_fb") + F.col("_sc")
-    start = F.greatest(F.coalesce(F.col("_ge"), F.lit(0)),
-                       F.when(F.col("_fb") == 1, F.col("_pos")),
-                       F.col("_pos") + F.col("_le"))
-    out = out.select(
-        "*",
-        F.when(first, F.col("_fb")).otherwise(F.col("_st")).alias("_brk"),
-        F.when(first, F.col("_p_ent")).otherwise(e).alias("_pe"),
-        F.when(first, F.when(F.col("_p_has").isNull(), F.lit(0)).otherwise(F.col("_p_last")))
-         .otherwise(F.col("_pli")).alias("_pl"),
-        run.alias("_run"),
-        (run + 1).cast("long").alias("_case"),
-        (F.col("_pos") + F.col("_pend") - start).cast("long").alias("_time"),
-    )
-    return _rename(out, df.columns, outputs)
+    edges = reliable_checkpoint(edges)
+    rows = sorted((r.asDict() for r in edges.drop("b_prev_entity", "b_prev_label").collect()),
+                  key=lambda r: r["_range"])
+    pos = run = 0
+    for r in rows:
+        run += r["break"]
+        r |= {"b_pos": pos, "b_run": run, "b_break": r["break"]}
+        pos, run = pos + r["n"], run + r["breaks"]
+    after = None
+    for r in reversed(rows):  # peer groups end in the last range they reach
+        end = (r["b_run"] + r["breaks"], r["b_pos"] + r["n"])
+        if after is not None and after["continues"]:
+            end = (after["b_first_run"], after["b_first_to"])
+        r["b_last_run"], r["b_last_to"] = end
+        if r["last_rank"] > 1:
+            end = (r["b_run"] + r["first_run"], r["b_pos"] + r["first_to"])
+        r["b_first_run"], r["b_first_to"] = end
+        after = r
+    before = None
+    for r in rows:  # an episode starts where the running count changes
+        if before is None:
+            start = 1
+        elif r["continues"] or r["b_first_run"] == before["b_last_run"]:
+            start = before["b_last_start"]
+        else:
+            start = r["b_pos"] + 1
+        r["b_first_start"] = start
+        if r["last_rank"] > 1:
+            if r["b_last_run"] != r["b_run"] + r["breaks"] - r["last_breaks"]:
+                start = r["b_pos"] + r["last_rank"]
+            elif r["inner_start"] is not None:
+                start = r["b_pos"] + r["inner_start"]
+        r["b_last_start"] = start
+        before = r
+    names = ("b_pos", "b_run", "b_break", "b_first_run", "b_first_to", "b_first_start",
+             "b_last_run", "b_last_to", "b_last_start")
+    walked = edges.sparkSession.createDataFrame(
+        [(r["_range"], *[r[n] for n in names]) for r in rows],
+        "_range int, " + ", ".join(f"{n} long" for n in names))
+    return walked.join(edges.select("_range", "b_prev_entity", "b_prev_label"), "_range")

@@ -187,14 +187,9 @@ def q_episodes(spark, d):
 
 
 def q_episodes_split_blocks(spark, d):
-    """Episodes through the scale paths: hot-entity time blocks and bucketed scans.
-
-    ``max_block_rows`` is set so that every entity of the events table is
-    "hot" and cut into several blocks, and the block table is scanned in
-    range buckets - the same code that runs on a 100 TB input.
-    """
+    """Episodes over many more ranges than entities: peer groups and episodes cross them."""
     out = episodes.assign_episodes(_events(spark, d), "entity", "ts_hour", "label", "event_id",
-                                   outputs=("case_id", "time"), max_block_rows=8, scan_buckets=4)
+                                   outputs=("case_id", "time"), ranges=150)
     return out.select("event_id", "entity", "ts_hour", "label", "case_id", "time")
 
 

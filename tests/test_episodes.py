@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronofeat.operators.episodes import OUTPUTS, assign_episodes, time_polynomial
 from chronofeat.sources.views import events_view
+from tools.plain_forms import plain_episodes
 from conftest import SF01, same_rows
 
 TIE_ROWS = [
@@ -24,12 +25,17 @@ def _tie(spark, rows=TIE_ROWS):
     return spark.createDataFrame(rows, "k string, t string, y int, id int")
 
 
-@pytest.mark.parametrize("method,kw", [
-    ("literal", {}), ("distributed", {}), ("distributed", {"scan_buckets": 3}),
-    ("distributed", {"max_block_rows": 2, "scan_buckets": 2}),
-])
-def test_tie_rows(spark, method, kw):
-    out = assign_episodes(_tie(spark), "k", "t", "y", "id", method=method, **kw)
+def _plain(df, *names, outputs=("case_id", "time")):
+    return plain_episodes(df, *names, outputs=outputs)
+
+
+FORMS = [_plain] + [lambda df, *names, outputs=("case_id", "time"), k=k: assign_episodes(
+    df, *names, outputs=outputs, ranges=k) for k in (None, 1, 2, 4, 30)]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_tie_rows(spark, form):
+    out = form(_tie(spark), "k", "t", "y", "id")
     got = [(r.id, r.case_id, r.time) for r in out.orderBy(
         F.col("k").asc_nulls_first(), "t", "id").collect()]
     assert got == TIE_EXPECTED
@@ -39,40 +45,58 @@ def test_null_block_without_final_one_continues(spark):
     # last NULL-entity label 0: entity A's first row does not start an episode
     rows = [(None, "2024-01-01", 1, 1), (None, "2024-01-02", 0, 2),
             ("A", "2024-01-01", 0, 3), ("A", "2024-01-02", 0, 4)]
-    for method in ("literal", "distributed"):
-        out = assign_episodes(_tie(spark, rows), "k", "t", "y", "id", method=method)
-        got = {r.id: (r.case_id, r.time) for r in out.collect()}
-        assert got == {1: (1, 0), 2: (2, 0), 3: (2, 1), 4: (2, 2)}, method
+    for form in FORMS:
+        got = {r.id: (r.case_id, r.time) for r in form(_tie(spark, rows), "k", "t", "y", "id").collect()}
+        assert got == {1: (1, 0), 2: (2, 0), 3: (2, 1), 4: (2, 2)}
 
 
 def test_first_row_and_null_label(spark):
     rows = [("A", "2024-01-01", None, 1), ("A", "2024-01-02", 1, 2), ("A", "2024-01-03", 0, 3)]
-    for method in ("literal", "distributed"):
-        out = assign_episodes(_tie(spark, rows), "k", "t", "y", "id",
-                              outputs=("brk", "prev_label", "case_id"), method=method)
+    for form in FORMS:
+        out = form(_tie(spark, rows), "k", "t", "y", "id", outputs=("brk", "prev_label", "case_id"))
         got = {r.id: (r.brk, r.prev_label, r.case_id) for r in out.collect()}
         # first row: lag default 0; NULL previous label never breaks
-        assert got == {1: (0, 0, 1), 2: (0, None, 1), 3: (1, 1, 2)}, method
+        assert got == {1: (0, 0, 1), 2: (0, None, 1), 3: (1, 1, 2)}
 
 
-@pytest.mark.parametrize("kw", [{}, {"scan_buckets": 4}, {"max_block_rows": 25, "scan_buckets": 3}])
-def test_distributed_matches_literal_on_events(spark, kw):
+@pytest.mark.parametrize("ranges", [None, 3, 97])
+def test_ranges_match_plain_form_on_events(spark, ranges):
     ev = events_view(spark, SF01)
-    lit = assign_episodes(ev, "entity", "ts_hour", "label", "event_id", OUTPUTS, "literal")
-    dis = assign_episodes(ev, "entity", "ts_hour", "label", "event_id", OUTPUTS, **kw)
-    assert same_rows(lit, dis)
+    names = ("entity", "ts_hour", "label", "event_id", OUTPUTS)
+    assert same_rows(plain_episodes(ev, *names), assign_episodes(ev, *names, ranges=ranges))
 
 
-def test_hot_entity_is_split(spark):
-    # one entity holding most rows, with ties, is cut into several blocks
+def _one_hot_entity():
     base = dt.datetime(2024, 1, 1)
     rows = [("hot", (base + dt.timedelta(hours=i // 3)).isoformat(), int(i % 7 == 0), i)
             for i in range(300)]
-    rows += [("cold", base.isoformat(), 1, 1000), (None, base.isoformat(), 1, 1001)]
-    df = _tie(spark, rows)
-    lit = assign_episodes(df, "k", "t", "y", "id", OUTPUTS, "literal")
-    dis = assign_episodes(df, "k", "t", "y", "id", OUTPUTS, max_block_rows=40, scan_buckets=2)
-    assert same_rows(lit, dis)
+    return rows + [("cold", base.isoformat(), 1, 1000), (None, base.isoformat(), 1, 1001)]
+
+
+HOT_CASES = {
+    "one entity": _one_hot_entity(),
+    "no times": [("hot", None, int(i % 5 == 0), i) for i in range(200)],
+    "one tie": [("a", "1", 1, 900), ("b", "2", 0, 901)] + [
+        ("hot", "2024", int(i % 50 == 0), i) for i in range(200)] + [("z", "1", 0, 902)],
+    "a tie inside an entity": [("hot", str(1 if 20 < i < 180 else i), int(i % 40 == 0), i)
+                               for i in range(200)],
+    "no entity": [(None, str(i % 9), None if i % 4 else 1, i) for i in range(120)],
+}
+
+
+@pytest.mark.parametrize("case", sorted(HOT_CASES))
+def test_hot_groups_spread_over_ranges(spark, case):
+    df = _tie(spark, HOT_CASES[case]).repartition(3)
+    plain = plain_episodes(df, "k", "t", "y", "id", OUTPUTS)
+    for ranges in (2, 7, 40):
+        assert same_rows(plain, assign_episodes(df, "k", "t", "y", "id", OUTPUTS, ranges=ranges))
+    used = df.repartitionByRange(7, "k", "t", "id").groupBy(F.spark_partition_id()).count()
+    assert used.agg(F.max("count")).first()[0] < df.count() / 3
+
+
+def test_empty_input(spark):
+    out = assign_episodes(_tie(spark, []), "k", "t", "y", "id", OUTPUTS)
+    assert out.count() == 0 and out.columns[-6:] == list(OUTPUTS)
 
 
 def test_time_polynomial(spark):
@@ -94,10 +118,7 @@ def _single_partition_inputs(df):
 
 def test_no_row_level_single_partition_exchange(spark):
     ev = events_view(spark, SF01)
-    dis = assign_episodes(ev, "entity", "ts_hour", "label", "event_id", ("case_id", "time"),
-                          scan_buckets=4)
-    # only the per-bucket totals (at most 4 rows) may meet in one task
-    assert all("event_id" not in b for b in _single_partition_inputs(dis))
-    lit = assign_episodes(ev, "entity", "ts_hour", "label", "event_id", ("case_id", "time"),
-                          method="literal")
-    assert any("event_id" in b for b in _single_partition_inputs(lit))
+    ours = assign_episodes(ev, "entity", "ts_hour", "label", "event_id", ranges=4)
+    assert all("event_id" not in b for b in _single_partition_inputs(ours))
+    plain = plain_episodes(ev, "entity", "ts_hour", "label", "event_id")
+    assert any("event_id" in b for b in _single_partition_inputs(plain))

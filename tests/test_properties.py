@@ -1,4 +1,4 @@
-"""Property tests: random small inputs, distributed forms vs literal forms."""
+"""Property tests: random small inputs, the library against the plain forms."""
 
 import datetime as dt
 
@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from chronofeat.operators import split
 from chronofeat.operators.episodes import OUTPUTS, assign_episodes
+from tools.plain_forms import plain_episodes, plain_time_split
 from conftest import same_rows
 
 SETTINGS = settings(max_examples=10, deadline=None,
@@ -20,15 +21,12 @@ rows_strategy = st.lists(
 
 
 @SETTINGS
-@given(rows=rows_strategy, block=st.integers(min_value=1, max_value=6),
-       buckets=st.sampled_from([1, 2, 3]))
-def test_episodes_distributed_equals_literal(spark, rows, block, buckets):
+@given(rows=rows_strategy, ranges=st.integers(min_value=1, max_value=9))
+def test_episodes_over_ranges_equal_plain_form(spark, rows, ranges):
     data = [(e, t, y, i) for i, (e, t, y) in enumerate(rows)]
     df = spark.createDataFrame(data, "k string, t int, y int, id int")
-    lit = assign_episodes(df, "k", "t", "y", "id", OUTPUTS, method="literal")
-    dis = assign_episodes(df, "k", "t", "y", "id", OUTPUTS, max_block_rows=block,
-                          scan_buckets=buckets)
-    assert same_rows(lit, dis)
+    plain = plain_episodes(df, "k", "t", "y", "id", OUTPUTS)
+    assert same_rows(plain, assign_episodes(df, "k", "t", "y", "id", OUTPUTS, ranges=ranges))
 
 
 @SETTINGS
@@ -38,6 +36,6 @@ def test_split_methods_agree(spark, times):
     base = dt.datetime(2024, 1, 1)
     data = [(i, None if t is None else base + dt.timedelta(minutes=t)) for i, t in enumerate(times)]
     df = spark.createDataFrame(data, "id int, t timestamp_ntz")
-    lit = split.time_split_literal(df, "t")
+    lit = plain_time_split(df, "t")
     assert same_rows(lit, split.time_split(df, "t", method="counts"))
     assert same_rows(lit, split.time_split(df, "t", method="rank", width=3))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from chronofeat.operators import split
 from chronofeat.operators.scan import ordered_scan
 from chronofeat.sources.views import sales_view
+from tools.plain_forms import plain_time_split
 from conftest import SF001, SF01, same_rows
 
 
@@ -31,7 +32,7 @@ EDGE_CASES = {
 @pytest.mark.parametrize("buckets", [None, 3])
 def test_cut_split_equals_percent_rank(spark, name, buckets):
     df = _ts_frame(spark, EDGE_CASES[name])
-    lit = split.time_split_literal(df, "t")
+    lit = plain_time_split(df, "t")
     cut = split.time_split(df, "t", scan_buckets=buckets)
     assert same_rows(lit, cut)
 
@@ -87,7 +88,7 @@ def test_ordered_scan_sums_max_lag(spark, buckets):
 @pytest.mark.parametrize("name", sorted(EDGE_CASES))
 def test_split_frames_equal_literal(spark, name):
     df = _ts_frame(spark, EDGE_CASES[name])
-    lit = split.time_split_literal(df, "t")
+    lit = plain_time_split(df, "t")
     frames = split.split_frames(df, "t")
     for label, frame in zip(("train", "val", "test"), frames):
         assert same_rows(frame, lit.where(F.col("split") == label).drop("split"))
@@ -128,7 +129,7 @@ def test_wide_integer_keys(spark):
         for width in (7, 16384):
             assert split.time_cuts(df, "t", width=width) == split.time_cuts(df, "t",
                                                                            method="counts")
-        assert same_rows(split.time_split_literal(df, "t"), split.time_split(df, "t"))
+        assert same_rows(plain_time_split(df, "t"), split.time_split(df, "t"))
 
 
 def test_cuts_inside_a_repeated_hour(spark, monkeypatch):
@@ -139,7 +140,7 @@ def test_cuts_inside_a_repeated_hour(spark, monkeypatch):
     try:
         df = spark.range(100).selectExpr(
             "timestamp_micros(1730606400000000 + id * 600000000) as t")  # 2024-11-03 04:00Z on
-        assert same_rows(split.time_split_literal(df, "t"), split.time_split(df, "t"))
+        assert same_rows(plain_time_split(df, "t"), split.time_split(df, "t"))
         counts = {r.split: r.n for r in split.split_counts(split.time_split(df, "t")).collect()}
         assert counts == {"train": 80, "val": 10, "test": 10}
     finally:
@@ -150,7 +151,7 @@ def test_cuts_inside_a_repeated_hour(spark, monkeypatch):
 def test_strings_and_doubles_split_by_counts(spark):
     df = spark.range(200).selectExpr("cast(id % 61 as double) / 7 as d", "concat('k', id % 50) as s")
     for col in ("d", "s"):
-        assert same_rows(split.time_split_literal(df, col), split.time_split(df, col))
+        assert same_rows(plain_time_split(df, col), split.time_split(df, col))
 
 
 def test_label_counts_do_not_shuffle_by_time(spark):
