@@ -59,6 +59,42 @@ def test_shards_disjoint_and_exhaustive(spark, prepared):
     assert union.exceptAll(whole).count() == 0 and whole.exceptAll(union).count() == 0
 
 
+def test_no_reader_is_left_without_a_file(spark, prepared):
+    for n in range(3):
+        path = parquet.write_shards(prepared.split("train"), shared_path(spark, "even"), 10)
+        files = parquet.shard_files(spark, path, 10)
+        assert [len(f) for f in files] == [1] * 10
+        assert len({x for f in parquet.shard_files(spark, path, 4) for x in f}) == 10
+
+
+def test_history_and_versions(spark, prepared):
+    cats = [c + "_cat" for c in prepared.spec.categories]
+    model = learn.train_weighted(prepared.split("train"), cats, "scaledFeatures", "label", max_iter=3)
+    loss = [r.loss for r in learn.history(spark, model).orderBy("iteration").collect()]
+    assert len(loss) >= 2 and loss[-1] < loss[0]
+    base = shared_path(spark, "versions")
+    for v in (3, 12):
+        learn.save(model, base, version=v)
+    assert learn.versions(spark, base) == [3, 12]
+    assert learn.load(base, version=12).stages[-1].coefficients == model.stages[-1].coefficients
+
+
+def test_full_preparation_with_episodes_and_limit(spark):
+    from chronofeat.sources.views import events_view
+    spec = prep.PrepSpec(label="label", time="ts_hour", string_categories=["event_type"],
+                         int_categories=[], continuous=["value"], required=["label", "key"],
+                         entity_parts=["entity", "event_type"], entity="key",
+                         threshold_col="value", threshold=5, episodes=True, tiebreak="event_id",
+                         fit_index_on="train")
+    events = events_view(spark, SF001)
+    p = prep.prepare(events, spec)
+    rows = events.where("value >= 5 and entity is not null and label is not null")
+    assert p.frame.count() == rows.count()
+    assert {"case_id", "time", "time2", "time3", "event_type_cat"} <= set(p.frame.columns)
+    spec.limit = 50
+    assert prep.clean_frame(events, spec).count() <= 50
+
+
 def test_shard_column_hash_and_mod(spark):
     df = spark.range(100)
     h = parquet.shard_column(df, "id", 4)

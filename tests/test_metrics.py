@@ -98,3 +98,31 @@ def test_accuracy_and_shard_mean(df):
         accs.append(sum(t == p for t, p in part) / len(part))
     got = metrics.shard_mean_accuracy(sh, "y", "p", "shard").first()
     assert got.mean_accuracy == pytest.approx(sum(accs) / 2) and got.shards == 2
+
+
+def test_confusion_is_complete(spark):
+    """Three labels, a class without rows, and values that are no class."""
+    df = spark.createDataFrame([(0, 0), (0, 2), (2, 2), (2, 0), (7, 0), (2, 9), (None, 1)],
+                               "y int, p int")
+    got = {r.truth: (r.pred_0, r.pred_1, r.pred_2, r.pred_other)
+           for r in metrics.confusion(df, "y", "p", (0, 1, 2)).collect()}
+    assert got == {0: (1, 0, 1, 0), 1: (0, 0, 0, 0), 2: (1, 0, 1, 1), None: (1, 0, 0, 0)}
+    own = metrics.confusion(df, "y", "p")
+    assert own.columns == ["truth", "pred_0", "pred_2", "pred_7", "pred_9", "pred_other"]
+    assert own.agg(F.sum(sum(F.col(c) for c in own.columns[1:]))).first()[0] == 6
+
+
+def test_report_averages_over_the_classes_of_the_data(spark):
+    df = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 2), (2, 2)], "y int, p int")
+    rep = {r["class"]: r for r in metrics.report(df, "y", "p").collect()}
+    assert set(rep) == {"0", "1", "2", "accuracy", "macro avg", "weighted avg"}
+    assert rep["weighted avg"].support == sum(rep[c].support for c in "012") == 5
+    assert rep["weighted avg"].recall == pytest.approx(0.8) == rep["accuracy"].f1
+
+
+def test_auc_from_counts_beyond_64_bits(spark):
+    n = 4_000_000_000
+    per = spark.createDataFrame([(0.1, n, 3 * n), (0.5, n, n), (0.9, 2 * n, 0)],
+                                "_s double, _p long, _q long")
+    # of 4n positives x 4n negatives: n*1.5n + n*3.5n + 2n*4n
+    assert metrics.auc_from_counts(per).first().auc == pytest.approx(13 / 16)
