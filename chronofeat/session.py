@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -73,30 +74,14 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(base, "chronofeat", *parts, uuid.uuid4().hex)
 
 
-_EXPENSIVE_NODES = ("Join", "Aggregate", "Window", "Sort", "Generate", "Repartition")
-
-
-def is_expensive(df: DataFrame) -> bool:
-    """True when recomputing ``df`` means more than a pruned file scan.
-
-    Looks at the optimized logical plan only (no job): joins, aggregates,
-    windows, sorts, explodes and repartitions make a re-run cost a shuffle.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return any(node in plan for node in _EXPENSIVE_NODES)
-
-
 def reuse(df: DataFrame) -> DataFrame:
-    """Prepare ``df`` for several passes.
+    """Keep ``df`` (memory, spilling to disk) for several passes; the caller unpersists it.
 
-    A plain (filtered, projected) file scan is returned as is: each pass
-    re-reads only its own columns from Parquet, which beats storing a copy.
-    Anything with a shuffle in it is persisted (memory, spilling to disk), so
-    later passes do not redo the join; lost blocks are recomputed from lineage.
+    Worth it where a pass would repeat a join or a window; a plain scan is better
+    read again, column by column. Lost blocks are recomputed from lineage.
     """
-    if df.storageLevel.useMemory or df.storageLevel.useDisk or not is_expensive(df):
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
         return df
-    from pyspark import StorageLevel
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
