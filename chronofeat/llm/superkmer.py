@@ -12,6 +12,12 @@ in them are known to repeat, so their places are settled on the spot and one
 string stands for any number of copies. Packed strings are sent as compressed
 blocks, one per bucket and flush.
 
+A minimiser that very many different strings share (a passage quoted in very
+many surroundings) would fill one bucket. A first pass finds those with more
+strings than an average bucket holds (Misra-Gries counters per task, added up,
+at most one minimiser per bucket); their windows travel singly, by the hash of
+the whole window, so equal windows still meet and different ones spread.
+
 Each word that a repeated window covers is removed; windows are judged on the
 input. Null texts have no words; texts shorter than a window lose nothing. Very
 long texts are worked off in overlapping pieces. Repeated rows (same id and
@@ -22,23 +28,30 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, stored
 
 WINDOW = 35
-MER = 8
+MER = 4
 SUB_BUCKETS = 8
+HOT_FLOOR = 1000
 PIECE_WORDS = 1 << 17
 GROUP_BYTES = 1 << 20
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 32 << 20
+HASH_BYTES = (1 << 20) - 1
+LEVEL = 3
+#: A place: 96 bits that name the document, and a word number; spans add a number of windows.
+PLACE = np.dtype([("k1", "<i8"), ("k2", "<i4"), ("lo", "<i4")])
+SPAN = np.dtype([*PLACE.descr, ("n", "<i4")])
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so its powers have inverses modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -89,9 +102,20 @@ class Words:
         self.buf = buf
         self.starts = np.r_[0, gaps + 1]
         self.ends = np.r_[gaps, len(raw)]
-        self.hashes = _spans(_sums(raw), self.starts, self.ends)
+        self.hashes = self._hash(raw)
         self.prefix = _sums(self.hashes)
 
+    def _hash(self, raw: np.ndarray) -> np.ndarray:
+        """Hashes of the words, worked off in bounded stretches of bytes."""
+        out, at = np.empty(len(self.starts), _U), 0
+        while at < len(out):
+            lo = self.starts[at]
+            stop = max(at + 1, int(np.searchsorted(self.ends, lo + HASH_BYTES, side="right")))
+            out[at:stop] = _spans(_sums(raw[lo:self.ends[stop - 1]]), self.starts[at:stop] - lo,
+                                  self.ends[at:stop] - lo)
+            at = stop
+        return out
+
     def runs(self, size: int) -> np.ndarray:
         """Hash of each run of ``size`` words, by first word."""
         lo = np.arange(len(self.hashes) - size + 1)
@@ -107,11 +131,13 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:len(x) - rest], x[rest:]) if rest else x
 
 
-def super_kmers(pieces: list[bytes], counts: list[int], window: int, mer: int):
-    """(piece, first word, windows, minimiser, packed words) of pieces of space-joined words."""
+def _runs(pieces: list[bytes], counts: list[int], window: int, mer: int):
+    """Runs of windows that share a minimiser, in pieces of space-joined words.
+
+    (words, used pieces, their first words, owner of each run, its first and last window,
+    its minimiser)
+    """
     use = [i for i, n in enumerate(counts) if n >= window]
-    if not use:
-        return
     w = Words(b" ".join([pieces[i] for i in use]))
     sizes = np.array([counts[i] for i in use])
     first = np.cumsum(sizes) - sizes
@@ -121,10 +147,17 @@ def super_kmers(pieces: list[bytes], counts: list[int], window: int, mer: int):
     fresh = np.r_[True, (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])]
     lo = np.flatnonzero(inside & fresh)
     stop = np.flatnonzero(inside & np.r_[fresh[1:] | ~inside[1:], True])
-    place = owner[lo]
+    return w, use, first, owner[lo], lo, stop, least[lo]
+
+
+def super_kmers(pieces: list[bytes], counts: list[int], window: int, mer: int):
+    """(piece, first word, windows, minimiser, packed words) of pieces of space-joined words."""
+    if max(counts, default=0) < window:
+        return
+    w, use, first, place, lo, stop, least = _runs(pieces, counts, window, mer)
     at, end = w.starts[lo].tolist(), w.ends[stop + window - 1].tolist()
     yield from zip([use[p] for p in place.tolist()], (lo - first[place]).tolist(),
-                   (stop - lo + 1).tolist(), least[lo].tolist(),
+                   (stop - lo + 1).tolist(), least.tolist(),
                    [w.buf[a:b] for a, b in zip(at, end)])
 
 
@@ -142,12 +175,62 @@ _SENT = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("places", p
                    ("settled", pa.binary())])
 
 
+class _Frequent:
+    """Misra-Gries counters of the minimisers of a task's runs."""
+
+    def __init__(self, size: int, window: int, mer: int):
+        self.size, self.window, self.mer = size, window, mer
+        self.counts, self.total = Counter(), 0
+
+    def add(self, pieces, counts):
+        if max(counts, default=0) < self.window:
+            return
+        found, times = np.unique(_runs(pieces, counts, self.window, self.mer)[-1],
+                                 return_counts=True)
+        self.total += int(times.sum())
+        self.counts.update(dict(zip(found.tolist(), times.tolist())))
+        if len(self.counts) > 8 * self.size:
+            cut = sorted(self.counts.values(), reverse=True)[self.size]
+            self.counts = Counter({m: n - cut for m, n in self.counts.items() if n > cut})
+
+
+def hot_minimisers(rows: DataFrame, buckets: int, window: int, mer: int) -> frozenset:
+    """Minimisers with more runs than an average bucket (at most ``buckets`` of them)."""
+    def count(batches):
+        seen = _Frequent(buckets, window, mer)
+        pieces, counts, held = [], [], 0
+        for b in batches:
+            for t in b.column("text"):
+                for _, joined, n in _pieces(t.as_py(), window):
+                    pieces.append(joined)
+                    counts.append(n)
+                    held += len(joined)
+                    if held >= GROUP_BYTES:
+                        seen.add(pieces, counts)
+                        pieces, counts, held = [], [], 0
+        seen.add(pieces, counts)
+        top = seen.counts.most_common(buckets)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.array([m for m, _ in top], np.uint64).view(np.int64)),
+             pa.array([n for _, n in top], pa.int64()),
+             pa.array([seen.total] + [0] * (len(top) - 1) if top else [], pa.int64())],
+            names=["m", "n", "total"])
+
+    found = stored(rows.select("text").mapInArrow(count, "m long, n long, total long"),
+                   "minimisers")
+    total = found.agg(F.sum("total")).first()[0] or 0
+    most = max(HOT_FLOOR, total // buckets)
+    hot = (found.groupBy("m").agg(F.sum("n").alias("n")).where(F.col("n") >= most)
+           .orderBy(F.desc("n"), "m").limit(buckets).collect())
+    return frozenset(r.m % (1 << 64) for r in hot)
+
+
 class _Sender:
     """Collects super-k-mers of a task and sends them by bucket in compressed blocks."""
 
-    def __init__(self, buckets: int, window: int, mer: int):
-        self.buckets, self.window, self.mer = buckets, window, mer
-        self.zip = zstandard.ZstdCompressor(level=1)
+    def __init__(self, buckets: int, window: int, mer: int, hot=frozenset()):
+        self.buckets, self.window, self.mer, self.hot = buckets, window, mer, hot
+        self.zip = zstandard.ZstdCompressor(level=LEVEL)
         self.pieces, self.counts, self.ids, self.group = [], [], [], 0
         self.seen, self.held = defaultdict(list), 0
 
@@ -163,16 +246,25 @@ class _Sender:
     def work(self):
         for p, lo, n, least, packed in super_kmers(self.pieces, self.counts, self.window, self.mer):
             k1, k2, at = self.ids[p]
-            known = self.seen[packed]
-            if not known:
-                self.held += len(packed) + 120
-                known.append((least % self.buckets, n))
-            known.append((k1, k2, at + lo))
-            self.held += 100
+            if least in self.hot:
+                words = packed.split()
+                for i in range(n):
+                    one = b" ".join(words[i:i + self.window])
+                    self.keep(one, xxhash.xxh64_intdigest(one), 1, (k1, k2, at + lo + i))
+            else:
+                self.keep(packed, least, n, (k1, k2, at + lo))
         self.pieces, self.counts, self.ids, self.group = [], [], [], 0
         if self.held >= FLUSH_BYTES:
             yield from self.flush()
 
+    def keep(self, packed: bytes, hashed: int, n: int, place: tuple):
+        known = self.seen[packed]
+        if not known:
+            self.held += len(packed) + 120
+            known.append((hashed % self.buckets, n))
+        known.append(place)
+        self.held += 100
+
     def flush(self):
         packed, places, settled = defaultdict(list), defaultdict(list), defaultdict(set)
         for words, ((bucket, n), *at) in self.seen.items():
@@ -187,8 +279,8 @@ class _Sender:
         rows = []
         for b in sorted(set(packed) | set(settled)):
             rows.append((b, self.zip.compress(b"\n".join(packed[b])) if packed[b] else None,
-                         np.array(places[b], "<i8").tobytes() if packed[b] else None,
-                         np.array(sorted(settled[b]), "<i8").tobytes() if settled[b] else None))
+                         np.array(places[b], PLACE).tobytes() if packed[b] else None,
+                         np.array(sorted(settled[b]), SPAN).tobytes() if settled[b] else None))
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
@@ -224,14 +316,14 @@ def _bucket_intervals(blocks, window: int):
     meet, out = {}, []
     for packed, places, settled in blocks:
         if settled is not None:
-            out.append(np.frombuffer(settled, "<i8").reshape(-1, 4))
+            out.append(np.frombuffer(settled, SPAN))
         if packed is None:
             continue
-        at = np.frombuffer(places, "<i8").reshape(-1, 3).tolist()
+        at = np.frombuffer(places, PLACE).tolist()
         for words, place in zip(unzip.decompress(packed).split(b"\n"), at):
             meet.setdefault(words, []).append(place)
     strings = list(meet)
-    found = []
+    found = set()
     for words, twice in zip(strings, repeated_windows(strings, window) if strings else ()):
         places = meet[words]
         if len(places) > 1 or places[0][2] < 0:
@@ -242,24 +334,25 @@ def _bucket_intervals(blocks, window: int):
         else:
             continue
         spans = list(spans)
-        found += {(k1, k2, lo + a, n) for k1, k2, lo in map(tuple, places) if lo >= 0
+        found |= {(k1, k2, lo + a, n) for k1, k2, lo in places if lo >= 0
                   for a, n in spans}
     if found:
-        out.append(np.array(found, "<i8"))
-    return np.concatenate(out) if out else np.empty((0, 4), np.int64)
+        out.append(np.array(sorted(found), SPAN))
+    return np.concatenate(out) if out else np.empty(0, SPAN)
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, mer: int = MER,
                    sub_buckets: int = SUB_BUCKETS) -> DataFrame:
     """(k1, k2, lo, n): the n windows from word lo on of document (k1, k2) occur elsewhere too.
 
-    ``rows`` has (k1, k2, text as binary).
+    ``rows`` has (k1 long, k2 int, text as binary).
     """
     tasks = partitions(rows.sparkSession)
     buckets = tasks * sub_buckets
+    hot = hot_minimisers(rows, buckets, window, mer)
 
     def send(batches):
-        sender = _Sender(buckets, window, mer)
+        sender = _Sender(buckets, window, mer, hot)
         for b in batches:
             for k1, k2, t in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(),
                                  b.column("text")):
@@ -274,8 +367,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, mer: int = MER,
             got = _bucket_intervals(blocks, window)
             for at in range(0, len(got), 1 << 16):
                 part = got[at:at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, i]) for i in range(4)],
-                                                 names=["k1", "k2", "lo", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[c]) for c in SPAN.names],
+                                                 names=list(SPAN.names))
         for b in batches:
             for bucket, *block in zip(*(b.column(c).to_pylist() for c in _SENT.names)):
                 if bucket != current:
@@ -288,7 +381,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, mer: int = MER,
 
     sent = rows.mapInArrow(send, "bucket int, packed binary, places binary, settled binary")
     return (sent.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(count, "k1 long, k2 long, lo long, n long"))
+            .mapInArrow(count, "k1 long, k2 int, lo int, n int"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
@@ -296,17 +389,26 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """One row per row of ``docs``: (key, n_words, n_removed, kept_text)."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias(key), F.xxhash64(F.col(key), t).alias("k1"),
-                       F.xxhash64(t, F.lit(1), F.col(key)).alias("k2"),
-                       t.cast("binary").alias("text"))
+                       F.hash(F.col(key), t).alias("k2"), t.cast("binary").alias("text"))
     spans = repeated_spans(rows.select("k1", "k2", "text"), window, mer)
     spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
-    joined = rows.join(spans, ["k1", "k2"], "left").select(key, "text", "spans")
+
+    def pack(batches):  # words travel to their spans compressed
+        squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
+        for b in batches:
+            words = [squeeze(b" ".join(x.as_py().split())) for x in b.column("text")]
+            yield b.set_column(b.schema.get_field_index("text"), "text",
+                               pa.array(words, pa.binary()))
+
+    joined = rows.mapInArrow(pack, rows.schema).join(spans, ["k1", "k2"], "left").select(
+        key, "text", "spans")
 
     def run(batches):
+        unzip = zstandard.ZstdDecompressor()
         for b in batches:
             size, gone, kept = [], [], []
             for text_, spans_ in zip(b.column("text"), b.column("spans")):
-                words, cut = text_.as_py().split(), spans_.as_py()
+                words, cut = unzip.decompress(text_.as_py()).split(), spans_.as_py()
                 size.append(len(words))
                 if cut:
                     edge = np.zeros(len(words) + 1, np.int64)

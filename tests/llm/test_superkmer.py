@@ -40,16 +40,17 @@ def texts():
     return [*out, *out[:3], None, "", " "]
 
 
+@pytest.mark.parametrize("every_second_hot", [False, True])
 @pytest.mark.parametrize("flush,piece", [(1 << 26, 1 << 17), (4000, 100)])
-def test_matches_brute_force(spark, texts, monkeypatch, flush, piece):
-    # small buffers force flushes and pieces; patched before the tasks' closures are made
-    sent = superkmer._Sender.__init__
-
-    def init(self, *args):
-        sent(self, *args)
+def test_matches_brute_force(texts, monkeypatch, flush, piece, every_second_hot):
+    # small buffers force flushes and pieces
     monkeypatch.setattr(superkmer, "FLUSH_BYTES", flush)
     monkeypatch.setattr(superkmer, "PIECE_WORDS", piece)
-    sender, blocks = superkmer._Sender(6, 12, 4), {}
+    monkeypatch.setattr(superkmer, "HASH_BYTES", piece)
+    class Even:
+        def __contains__(self, minimiser):
+            return every_second_hot and minimiser % 2 == 0
+    sender, blocks = superkmer._Sender(6, 12, 4, Even()), {}
     out = [b for i, t in enumerate(texts) for b in sender.add(i + 1, -i, (t or "").encode())]
     for b in [*out, *sender.work(), *sender.flush()]:
         for r in b.to_pylist():
@@ -61,13 +62,26 @@ def test_matches_brute_force(spark, texts, monkeypatch, flush, piece):
     assert [int(g.sum()) for g in gone] == [r[1] for r in brute(texts, 12)]
 
 
-def test_query_form(spark, texts):
+@pytest.mark.parametrize("floor", [1000, 1])
+def test_query_form(spark, texts, monkeypatch, floor):
+    monkeypatch.setattr(superkmer, "HOT_FLOOR", floor)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text)
            for r in superkmer.remove_repeats(docs, window=12, mer=4).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, 12)
 
 
+def test_hot_minimisers_are_found(spark, monkeypatch):
+    monkeypatch.setattr(superkmer, "HOT_FLOOR", 50)
+    quoted = " ".join(f"q{i}" for i in range(40))
+    docs = spark.range(400).selectExpr(
+        f"array_join(transform(sequence(1, 60), i -> concat('w', id, '_', i)), ' ') || "
+        f"if(id % 2 = 0, ' {quoted}', '') as text").selectExpr("cast(text as binary) as text")
+    hot = superkmer.hot_minimisers(docs.repartition(3), 200, 35, 4)
+    words = superkmer.Words(quoted.encode()).runs(4).tolist()
+    assert 0 < len(hot) <= 200 and hot <= set(words)
+
+
 def test_odd_rows(odd_docs):
     got = superkmer.remove_repeats(odd_docs).collect()
     rows = odd_docs.collect()
