@@ -66,7 +66,7 @@ def test_odd_rows(spark, odd_docs):
         assert len(rows) == n and all(0 <= r.score <= 1 for r in rows)
     empty = {r.score for r in quality_knn.score(odd_docs, labels).collect()
              if r.doc_id in (3, 4, 5)}
-    assert len(empty) == 1 and empty.pop() == pytest.approx(3 / 5)
+    assert len(empty) == 1 and empty.pop() == pytest.approx(4 / 6)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd_docs).collect()}
     assert len(got) == 11 and got[3] == got[4] == got[5] == ("und", 0.0)
     assert got[9][0] in ("en", "fr", "de")
