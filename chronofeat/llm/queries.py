@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (arc_warc, decontaminate, exact_dedup, langid, mixing, quality_knn, simhash_dedup,
-               superkmer, token_counts, toxicity)
+from . import (arc_warc, decontaminate, exact_dedup, langid, mixing, quality_knn,
+               sentencepiece_spans, simhash_dedup, superkmer, token_counts, toxicity,
+               vector_codes)
 from .common import table
 
 
@@ -64,6 +65,26 @@ def q_op10(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def q_op12(spark, sf_dir):
+    import public_tokenizers
+
+    done = sentencepiece_spans.encode_documents(table(spark, sf_dir, "documents"),
+                                                public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    covered = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"),
+                          lambda n, s: n + s["ends"] - s["starts"])
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                       covered.alias("span_bytes"))
+
+
+def q_op13(spark, sf_dir):
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select(F.col("id").alias("vec_id"), "code", "error", "label_error",
+                        F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_arc_to_warc": q_op1,
     "op2_quality_knn": q_op2,
@@ -75,8 +96,54 @@ QUERIES = {
     "op8_simhash_dedup": q_op8,
     "op9_decontamination": q_op9,
     "op10_exact_dedup": q_op10,
+    "op12_sentencepiece": q_op12,
+    "op13_vector_codes": q_op13,
 }
 
+def _vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """The codes in plain SQL: every part against every entry, round by round."""
+    nearest = """near{r} AS (
+            SELECT row, part, min(struct_pack(d := d, entry := entry)) AS best FROM (
+                SELECT x.row, x.part, b.entry, sum((x.v - b.v) * (x.v - b.v))::BIGINT AS d
+                FROM x JOIN book{r} b ON b.part = x.part AND b.pos = x.pos
+                GROUP BY x.row, x.part, b.entry) GROUP BY row, part)"""
+    move = """mean{r} AS (
+            SELECT n.part, n.best.entry AS entry, x.pos,
+                   sum(x.v)::HUGEINT AS s, count(*)::HUGEINT AS c
+            FROM near{q} n JOIN x ON x.row = n.row AND x.part = n.part GROUP BY ALL),
+        book{r} AS (
+            SELECT b.part, b.entry, b.pos, coalesce(
+                (m.s - ((m.s % m.c) + m.c) % m.c) // m.c, b.v)::BIGINT AS v
+            FROM book{q} b LEFT JOIN mean{r} m
+              ON m.part = b.part AND m.entry = b.entry AND m.pos = b.pos)"""
+    steps = [nearest.format(r=0)]
+    for r in range(1, rounds + 1):
+        steps += [move.format(q=r - 1, r=r), nearest.format(r=r)]
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) AS row
+            FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding,
+                  lambda z: z IS NULL OR NOT isfinite(z))) = 0),
+        x AS (
+            SELECT row, (i - 1) // (n // {parts}) AS part, (i - 1) % (n // {parts}) AS pos,
+                   floor(256 * z::DOUBLE)::BIGINT AS v
+            FROM (SELECT row, len(embedding) AS n, unnest(embedding) AS z,
+                         generate_subscripts(embedding, 1) AS i FROM kept)),
+        book0 AS (SELECT part, (row - 1)::BIGINT AS entry, pos, v FROM x WHERE row <= {entries}),
+        {", ".join(steps)},
+        coded AS (
+            SELECT row, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code,
+                   sum(best.d)::BIGINT AS error FROM near{rounds} GROUP BY row),
+        said AS (
+            SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) AS h
+            FROM book{rounds})
+        SELECT k.vec_id, c.code, c.error,
+               (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error,
+               said.h AS codebooks_sha256
+        FROM kept k JOIN coded c ON c.row = k.row CROSS JOIN said"""
+
+
 ORACLE_SQL = {
     "op1_arc_to_warc": """
         WITH p AS (
@@ -97,4 +164,5 @@ ORACLE_SQL = {
                count(*) OVER (PARTITION BY h) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
         FROM d""",
+    "op13_vector_codes": _vector_codes_sql(),
 }
