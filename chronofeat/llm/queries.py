@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import (arc_warc, decontaminate, exact_dedup, langid, mixing, quality_knn,
-               sentencepiece_spans, simhash_dedup, superkmer, token_counts, toxicity,
-               vector_codes)
+               sentencepiece_spans, simhash_dedup, spelling, superkmer, token_counts,
+               toxicity, vector_codes)
 from .common import table
 
 
@@ -65,6 +65,10 @@ def q_op10(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def q_op11(spark, sf_dir):
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
 def q_op12(spark, sf_dir):
     import public_tokenizers
 
@@ -96,6 +100,7 @@ QUERIES = {
     "op8_simhash_dedup": q_op8,
     "op9_decontamination": q_op9,
     "op10_exact_dedup": q_op10,
+    "op11_spelling_variants": q_op11,
     "op12_sentencepiece": q_op12,
     "op13_vector_codes": q_op13,
 }
