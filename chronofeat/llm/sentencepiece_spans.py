@@ -8,10 +8,11 @@
 2. Pieces. The normalised text is cut before each run of the space mark (exact
    where no piece holds the mark after another character, which is read off the
    vocabulary; otherwise a text is one stretch), and between letters and other
-   characters where no piece joins them. In a stretch the adjacent pair
-   that makes the best-scored piece is joined, leftmost first, until none is
-   left; characters outside the vocabulary become byte pieces. Every worker
-   keeps the stretches it has met in a table of bounded size.
+   characters where no piece joins them. In a stretch the adjacent pair that
+   makes the best-scored piece is joined, leftmost first, until none is left;
+   characters outside the vocabulary become byte pieces. New stretches of a group
+   of texts are joined together in ragged arrays; every worker keeps those it has
+   met in a table of bounded size.
 3. Spans. Pieces tile the normalised text, so prefix sums of their lengths,
    looked up in the alignment, give each piece its span of source bytes. Of the
    byte pieces of one character the last has its span, the others are empty, as
@@ -31,7 +32,6 @@ from __future__ import annotations
 
 import codecs
 import heapq
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -43,10 +43,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
-TABLE_ENTRIES = 400_000
-OUT_BYTES = 4 << 20
+TABLE_ENTRIES = 800_000
+GROUP_BYTES = 1 << 20
 _SHORT = 256
-_NEVER = float("inf")
+_BATCH_CHARS = 1 << 18
+_ID_BITS = 21
+_ID_MASK = np.uint32((1 << _ID_BITS) - 1)
 #: Stretches that no merge crosses if every piece of a vocabulary lies in one, finest first. A text
 #: is cut by its neighbouring characters alone: before marks, between letters and other characters.
 STRETCHES = (rf"{MARK}+(?:[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}{MARK}]+)?|[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}{MARK}]+",
@@ -190,9 +192,8 @@ class Pieces:
         self.normalise = Normaliser(proto.normalizer_spec,
                                     proto.trainer_spec.treat_whitespace_as_suffix)
         self.leading = self.normalise.prefix or self.normalise.squeeze
-        self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
-        self.scores = {p.piece: -p.score for p in proto.pieces if p.type == NORMAL}
-        self.bytes, self.surface = [0] * 256, []
+        normal = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
+        self.bytes, self.surface = np.zeros(256, np.int64), []
         for i, p in enumerate(proto.pieces):
             if p.type == BYTE:
                 value = int(p.piece[3:5], 16)
@@ -207,86 +208,169 @@ class Pieces:
         self.marked = [p.type == NORMAL and p.piece.startswith(MARK) for p in proto.pieces]
         self.end = proto.trainer_spec.eos_id
         cuts = map(regex.compile, STRETCHES)
-        self.stretches = next(c for c in cuts if all(c.fullmatch(p) for p in self.ids))
-
-    def _merge(self, stretch: str) -> list[str]:
-        parts, score = list(stretch), self.scores.get
-        if len(parts) > _SHORT:
-            return self._merge_long(parts)
-        ranks = [score(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
-        while ranks and (best := min(ranks)) != _NEVER:
-            i = ranks.index(best)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = score(parts[i - 1] + parts[i], _NEVER)
-            if i < len(ranks):
-                ranks[i] = score(parts[i] + parts[i + 1], _NEVER)
-        return parts
-
-    def _merge_long(self, parts: list[str]) -> list[str]:
-        score, n = self.scores.get, len(parts)
+        self.stretches = next(c for c in cuts if all(c.fullmatch(p) for p in normal))
+        self._pairs(normal, [-p.score for p in proto.pieces])
+
+    def _pairs(self, normal: dict[str, int], cost: list[float]) -> None:
+        """Which two symbols make which piece, by sorted keys; characters as symbols.
+
+        Characters that occur in pieces without being one get numbers after the
+        vocabulary's; all other unknown characters share the last number.
+        """
+        self.size = len(cost)
+        if self.size >= 1 << _ID_BITS or max(map(len, normal), default=0) * 4 >= 1 << 32 - _ID_BITS:
+            raise ValueError("vocabulary or pieces too large for packed pieces")
+        symbols = dict(normal)
+        for char in sorted({c for p in normal for c in p} - set(normal)):
+            symbols[char] = self.size + len(symbols) - len(normal)
+        self.base = self.size + len(symbols) - len(normal) + 1
+        self.chars = np.full(0x110000, self.base - 1, np.int32)
+        for piece, i in symbols.items():
+            if len(piece) == 1:
+                self.chars[ord(piece)] = i
+        keys, made = [], []
+        for piece, i in normal.items():
+            for k in range(1, len(piece)):
+                x, y = symbols.get(piece[:k]), symbols.get(piece[k:])
+                if x is not None and y is not None:
+                    keys.append(x * self.base + y)
+                    made.append(i)
+        order = np.argsort(np.array(keys, np.int64))
+        made = np.array(made, np.int64)[order]
+        self.keys, self.made = np.array([*np.array(keys, np.int64)[order], -1]), np.r_[made, 0]
+        _, rank = np.unique(np.array(cost)[made], return_inverse=True)
+        self.ranks = np.r_[rank, 0].astype(np.int64)
+
+    def _joined(self, sym: np.ndarray, seq: np.ndarray, at: np.ndarray):
+        """Symbols and first characters of all sequences once no adjacent pair makes a piece.
+
+        Each round joins the best pair of every sequence, the leftmost of equals;
+        sequences without one leave the arrays.
+        """
+        none, last, done = 1 << 40, len(self.keys) - 1, []
+        while len(sym):
+            pair = sym[:-1] * self.base + sym[1:]
+            place = np.searchsorted(self.keys[:last], pair)
+            rank = np.where((self.keys[place] == pair) & (seq[:-1] == seq[1:]), self.ranks[place],
+                            none)
+            rank = np.r_[rank, none]
+            starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
+            size = np.diff(np.r_[starts, len(seq)])
+            lowest = np.minimum.reduceat(rank, starts)
+            idx = np.flatnonzero((rank == np.repeat(lowest, size)) & (rank < none))
+            idx = idx[np.r_[True, seq[idx[1:]] != seq[idx[:-1]]]] if len(idx) else idx
+            stay = np.repeat(lowest < none, size)
+            done.append((sym[~stay], at[~stay]))
+            sym[idx] = self.made[place[idx]]
+            stay[idx + 1] = False
+            sym, seq, at = sym[stay], seq[stay], at[stay]
+        sym, at = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(at)
+        return sym[order], at[order]
+
+    def _joined_long(self, sym: list[int], at: int):
+        """The same for one long sequence, by a heap."""
+        n, queue = len(sym), []
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
 
-        def offer(i, j):
-            s = score(parts[i] + parts[j])
-            if s is not None:
-                queue.append((s, i, j, len(parts[i]) + len(parts[j])))
-                return True
+        def offer(pairs):
+            pair = np.array([sym[i] * self.base + sym[j] for i, j in pairs])
+            place = np.searchsorted(self.keys[:-1], pair)
+            for (i, j), p, q in zip(pairs, place.tolist(), (self.keys[place] == pair).tolist()):
+                if q:
+                    heapq.heappush(queue, (int(self.ranks[p]), i, j, sym[i], sym[j], p))
 
-        for i in range(n - 1):
-            offer(i, i + 1)
-        heapq.heapify(queue)
+        offer([(i, i + 1) for i in range(n - 1)])
         while queue:
-            _, i, j, size = heapq.heappop(queue)
-            if not parts[i] or not parts[j] or len(parts[i]) + len(parts[j]) != size:
+            _, i, j, a, b, p = heapq.heappop(queue)
+            if sym[i] != a or sym[j] != b or after[i] != j:
                 continue  # one of the two has been joined since
-            parts[i] += parts[j]
-            parts[j] = ""
+            sym[i], sym[j] = int(self.made[p]), None
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and offer(a, b):
-                    heapq.heappush(queue, queue.pop())
-        return [p for p in parts if p]
-
-    def _learn(self, stretch: str) -> tuple[bytes, bytes]:
-        """Ids and normalised lengths of the pieces of one stretch, as packed integers."""
-        ids, sizes = [], []
-        for part in self._merge(stretch):
-            raw = part.encode()
-            if part in self.ids:
-                ids.append(self.ids[part])
-                sizes.append(len(raw))
+            offer([x for x in ((before[i], i), (i, after[i])) if x[0] >= 0 and x[1] < n])
+        left = [i for i in range(n) if sym[i] is not None]
+        return np.array([sym[i] for i in left]), np.array(left) + at
+
+    def _learn(self, fresh: list[str]) -> dict[str, bytes]:
+        """Packed pieces (id and normalised length) of new stretches."""
+        text = "".join(fresh)
+        code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        lens = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        first = np.cumsum(lens) - lens
+        sym, at = self.chars[code].astype(np.int64), np.arange(len(code))
+        seq = np.repeat(np.arange(len(fresh)), lens)
+        short = (lens <= _SHORT)[seq]
+        found = [self._joined(sym[short], seq[short], at[short])] if short.any() else []
+        found += [self._joined_long(sym[f:f + n].tolist(), f) for f, n in
+                  zip(first[lens > _SHORT].tolist(), lens[lens > _SHORT].tolist())]
+        sym, at = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(at)
+        sym, at = sym[order], at[order]
+        width = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        offset = np.r_[0, np.cumsum(width)]
+        size = np.diff(offset[np.r_[at, len(code)]])
+        # characters that are no piece become byte pieces; the last has the character's length
+        plain = sym < self.size
+        many = np.where(plain, 1, size)
+        source = np.repeat(np.arange(len(sym)), many)
+        nth = np.arange(len(source)) - np.repeat(np.cumsum(many) - many, many)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ids = np.where(plain[source], sym[source], self.bytes[raw[offset[at[source]] + nth]])
+        size = np.where(nth == many[source] - 1, size[source], 0)
+        packed = (ids | size << _ID_BITS).astype(np.uint32).tobytes()
+        ends = 4 * np.searchsorted(at[source], first + lens)
+        return {s: packed[a:b] for s, a, b in zip(fresh, [0, *ends[:-1].tolist()], ends.tolist())}
+
+    def _look_up(self, wanted: set[str]) -> dict[str, bytes]:
+        """The pieces of all ``wanted`` stretches, from the young table, the old one or anew."""
+        known, old, fresh = self.known, self.old, []
+        out = {}
+        for s in wanted.difference(known):
+            got = old.get(s)
+            if got is None:
+                fresh.append(s)
             else:
-                ids += [self.bytes[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(raw)]
-        return array("i", ids).tobytes(), array("i", sizes).tobytes()
-
-    def _look_up(self, stretch: str) -> tuple[bytes, bytes]:
-        """What is not in the young table, from the old one or by merging; it becomes young."""
-        got = self.old.get(stretch) or self._learn(stretch)
-        if len(stretch) <= 256:
-            if len(self.known) >= self.entries // 2:
-                self.known, self.old = {}, self.known
-            self.known[stretch] = got
-        return got
+                out[s] = got
+        held = 0
+        for lo, hi in self._batches(fresh):
+            out |= self._learn(fresh[lo:hi])
+            held = hi
+        assert held == len(fresh)
+        if len(known) + len(out) > self.entries // 2:
+            out |= {s: known[s] for s in wanted.intersection(known)}
+            self.known, self.old = {}, known
+        self.known |= {s: p for s, p in out.items() if len(s) <= _SHORT}
+        return out if len(out) == len(wanted) else self.known | out
+
+    @staticmethod
+    def _batches(fresh: list[str]):
+        lo = size = 0
+        for i, s in enumerate(fresh):
+            size += len(s)
+            if size >= _BATCH_CHARS or i + 1 == len(fresh):
+                yield lo, i + 1
+                lo, size = i + 1, 0
+
+    def encode_many(self, texts: list[bytes], end: bool = True):
+        """(ids, first source bytes, ends of source bytes) of each UTF-8 text."""
+        normal = [self.normalise(t) for t in texts]
+        cut = [self.stretches.findall(n.decode("utf-8")) for n, _ in normal]
+        pieces = self._look_up(set().union(*cut)).__getitem__
+        for c, (_, align) in zip(cut, normal):
+            packed = np.frombuffer(b"".join(map(pieces, c)), np.uint32)
+            ids = (packed & _ID_MASK).astype(np.int32)
+            ends = np.cumsum(packed >> _ID_BITS, dtype=np.int64)
+            to = align[ends]
+            start = align[np.r_[0, ends[:-1]]] if len(ends) else to
+            if end:
+                ids, last = np.r_[ids, np.int32(self.end)], align[-1:]
+                start, to = np.r_[start, last], np.r_[to, last]
+            yield ids, start.astype(np.int32), to.astype(np.int32)
 
     def encode(self, text: bytes, end: bool = True):
-        """(ids, first source bytes, ends of source bytes) of a UTF-8 text."""
-        norm, align = self.normalise(text)
-        packed = [self.known.get(s) or self._look_up(s)
-                  for s in self.stretches.findall(norm.decode("utf-8"))]
-        ids = np.frombuffer(b"".join([p[0] for p in packed]), np.int32)
-        ends = np.cumsum(np.frombuffer(b"".join([p[1] for p in packed]), np.int32), dtype=np.int64)
-        to = align[ends]
-        start = align[np.r_[0, ends[:-1]]] if len(ends) else to
-        if end:
-            ids, last = np.r_[ids, np.int32(self.end)], align[-1:]
-            start, to = np.r_[start, last], np.r_[to, last]
-        return ids, start.astype(np.int32), to.astype(np.int32)
+        return next(self.encode_many([text], end))
 
     def decode(self, ids) -> str:
         """The text of ids: one leading space mark goes, invalid bytes become U+FFFD."""
@@ -328,17 +412,20 @@ def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str
                 [keys, *lists, pa.array(decoded, pa.string())],
                 names=["k", "ids", "starts", "ends", "decoded"])
 
+        def worked(keys, texts):
+            made = [(*got, pieces.decode(got[0])) for got in pieces.encode_many(texts, end)]
+            return block(keys, made)
+
         for b in batches:
-            first, made, held = 0, [], 0
+            first, texts, held = 0, [], 0
             for i, t in enumerate(b.column("t")):
-                got = pieces.encode(t.as_py(), end)
-                made.append((*got, pieces.decode(got[0])))
-                held += 12 * len(got[0]) + len(made[-1][3])
-                if held >= OUT_BYTES:
-                    yield block(b.column("k")[first:i + 1], made)
-                    first, made, held = i + 1, [], 0
-            if made:
-                yield block(b.column("k")[first:], made)
+                texts.append(t.as_py())
+                held += len(texts[-1])
+                if held >= GROUP_BYTES:
+                    yield worked(b.column("k")[first:i + 1], texts)
+                    first, texts, held = i + 1, [], 0
+            if texts:
+                yield worked(b.column("k")[first:], texts)
 
     ints = ArrayType(IntegerType())
     schema = StructType([rows.schema["k"], StructField("ids", ints), StructField("starts", ints),

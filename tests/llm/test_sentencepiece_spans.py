@@ -32,7 +32,7 @@ def same(library, pieces, texts):
         assert list(zip(starts.tolist(), ends.tolist()))[:-1] == spans, t
 
 
-@pytest.mark.parametrize("entries", [400_000, 8])
+@pytest.mark.parametrize("entries", [800_000, 8])
 def test_ids_spans_and_text_equal_the_library(library, entries):
     same(library, sp.Pieces(PATH, entries), ODD)
 
