@@ -32,11 +32,11 @@ from __future__ import annotations
 
 import codecs
 import heapq
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -49,10 +49,6 @@ _SHORT = 256
 _BATCH_CHARS = 1 << 18
 _ID_BITS = 21
 _ID_MASK = np.uint32((1 << _ID_BITS) - 1)
-#: Stretches that no merge crosses if every piece of a vocabulary lies in one, finest first. A text
-#: is cut by its neighbouring characters alone: before marks, between letters and other characters.
-STRETCHES = (rf"{MARK}+(?:[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}{MARK}]+)?|[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}{MARK}]+",
-             rf"{MARK}+[^{MARK}]*|[^{MARK}]+", r"(?s:.+)")
 #: Piece types and the BPE model type of the model file format.
 NORMAL, UNKNOWN, CONTROL, BYTE, BPE = 1, 2, 3, 6, 2
 
@@ -164,6 +160,34 @@ class Normaliser:
         return bytes(out), np.array([*align, at])
 
 
+def _stretches(pieces) -> str:
+    """A pattern of stretches that no merge crosses, read off the vocabulary.
+
+    Characters that stand side by side in a piece belong together; a text is cut
+    between characters that do not, and before marks. If a piece holds a mark
+    after another character, a whole text is one stretch.
+    """
+    if any(MARK in p.lstrip(MARK) for p in pieces):
+        return r"(?s:.+)"
+    group = {}
+
+    def find(c):
+        while group.setdefault(c, c) != c:
+            group[c] = c = group[group[c]]
+        return c
+
+    for p in pieces:
+        chars = p.lstrip(MARK)
+        for x, y in zip(chars, chars[1:]):
+            group[find(x)] = find(y)
+    together = {}
+    for c in group:
+        together.setdefault(find(c), []).append(c)
+    some = ["[" + "".join(map(re.escape, sorted(g))) + "]++" for g in
+            sorted(together.values(), key=len, reverse=True)]
+    return rf"{MARK}*+(?:{'|'.join([*some, f'[^{MARK}]'])})|{MARK}+"
+
+
 class Pieces:
     """Vocabulary, merging and decoding of one model file."""
 
@@ -207,8 +231,7 @@ class Pieces:
                 self.surface.append(p.piece.replace(MARK, " ").encode())
         self.marked = [p.type == NORMAL and p.piece.startswith(MARK) for p in proto.pieces]
         self.end = proto.trainer_spec.eos_id
-        cuts = map(regex.compile, STRETCHES)
-        self.stretches = next(c for c in cuts if all(c.fullmatch(p) for p in normal))
+        self.stretches = re.compile(_stretches(normal))
         self._pairs(normal, [-p.score for p in proto.pieces])
 
     def _pairs(self, normal: dict[str, int], cost: list[float]) -> None:
