@@ -12,11 +12,16 @@ in them are known to repeat, so their places are settled on the spot and one
 string stands for any number of copies. Packed strings are sent as compressed
 blocks, one per bucket and flush.
 
-A minimiser that very many different strings share (a passage quoted in very
-many surroundings) would fill one bucket. A first pass finds those with more
-strings than an average bucket holds (Misra-Gries counters per task, added up,
-at most one minimiser per bucket); their windows travel singly, by the hash of
-the whole window, so equal windows still meet and different ones spread.
+Runs of words that are very frequent (a passage quoted in very many
+surroundings) would fill their bucket. A first pass counts all runs of ``mer``
+words (lossy counting: a run below an eighth of the limit's share of a stretch of
+text is left out there) and finds those with a share of more than a quarter of a
+bucket's; they rank after all others as minimisers. So a window that holds any
+other run meets its like elsewhere, and only windows made of frequent runs alone
+are left: these are few different ones, whose copies a task joins before they
+travel singly, by the hash of the whole window. Touching spans of a document are
+merged before they leave a task, so a passage gives a document few rows however
+often it occurs.
 
 Each word that a repeated window covers is removed; windows are judged on the
 input. Null texts have no words; texts shorter than a window lose nothing. Very
@@ -131,17 +136,44 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:len(x) - rest], x[rest:]) if rest else x
 
 
-def _runs(pieces: list[bytes], counts: list[int], window: int, mer: int):
+_FREQUENT = _U(1 << 63)
+_NONE = np.empty(0, _U)
+
+
+def _ranked(mers: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Ranks of runs of words: their hashes, the frequent ones (``hot``, sorted) after the others."""
+    ranks = mers >> _U(1)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, mers), len(hot) - 1)
+        ranks[hot[at] == mers] |= _FREQUENT
+    return ranks
+
+
+def _merged(spans: np.ndarray) -> np.ndarray:
+    """Spans with those of a document that touch or overlap made one."""
+    if not len(spans):
+        return spans
+    spans = np.sort(spans, order=("k1", "k2", "lo"))
+    new = np.r_[True, (spans["k1"][1:] != spans["k1"][:-1]) | (spans["k2"][1:] != spans["k2"][:-1])]
+    base = np.cumsum(new) << 33
+    end = np.maximum.accumulate(base + spans["lo"] + spans["n"])
+    start = np.flatnonzero(np.r_[True, base[1:] + spans["lo"][1:] > end[:-1]])
+    out = spans[start].copy()
+    out["n"] = end[np.r_[start[1:], len(spans)] - 1] - base[start] - out["lo"]
+    return out
+
+
+def _runs(pieces: list[bytes], counts: list[int], window: int, mer: int, hot: np.ndarray):
     """Runs of windows that share a minimiser, in pieces of space-joined words.
 
     (words, used pieces, their first words, owner of each run, its first and last window,
-    its minimiser)
+    its minimiser's rank)
     """
     use = [i for i, n in enumerate(counts) if n >= window]
     w = Words(b" ".join([pieces[i] for i in use]))
     sizes = np.array([counts[i] for i in use])
     first = np.cumsum(sizes) - sizes
-    least = _sliding_min(w.runs(mer), window - mer + 1)
+    least = _sliding_min(_ranked(w.runs(mer), hot), window - mer + 1)
     owner = np.repeat(np.arange(len(use)), sizes)[:len(least)]
     inside = np.arange(len(least)) <= (first + sizes - window)[owner]
     fresh = np.r_[True, (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])]
@@ -150,11 +182,12 @@ def _runs(pieces: list[bytes], counts: list[int], window: int, mer: int):
     return w, use, first, owner[lo], lo, stop, least[lo]
 
 
-def super_kmers(pieces: list[bytes], counts: list[int], window: int, mer: int):
-    """(piece, first word, windows, minimiser, packed words) of pieces of space-joined words."""
+def super_kmers(pieces: list[bytes], counts: list[int], window: int, mer: int,
+                hot: np.ndarray = _NONE):
+    """(piece, first word, windows, minimiser's rank, packed words) of pieces of space-joined words."""
     if max(counts, default=0) < window:
         return
-    w, use, first, place, lo, stop, least = _runs(pieces, counts, window, mer)
+    w, use, first, place, lo, stop, least = _runs(pieces, counts, window, mer, hot)
     at, end = w.starts[lo].tolist(), w.ends[stop + window - 1].tolist()
     yield from zip([use[p] for p in place.tolist()], (lo - first[place]).tolist(),
                    (stop - lo + 1).tolist(), least.tolist(),
@@ -176,28 +209,40 @@ _SENT = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("places", p
 
 
 class _Frequent:
-    """Misra-Gries counters of the minimisers of a task's runs."""
+    """Lossy counters of the runs of ``mer`` words of a task."""
 
-    def __init__(self, size: int, window: int, mer: int):
-        self.size, self.window, self.mer = size, window, mer
+    def __init__(self, limit: int, window: int, mer: int):
+        self.limit, self.window, self.mer = limit, window, mer
         self.counts, self.total = Counter(), 0
 
     def add(self, pieces, counts):
-        if max(counts, default=0) < self.window:
+        use = [i for i, n in enumerate(counts) if n >= self.window]
+        if not use:
             return
-        found, times = np.unique(_runs(pieces, counts, self.window, self.mer)[-1],
-                                 return_counts=True)
-        self.total += int(times.sum())
-        self.counts.update(dict(zip(found.tolist(), times.tolist())))
-        if len(self.counts) > 8 * self.size:
-            cut = sorted(self.counts.values(), reverse=True)[self.size]
+        mers = Words(b" ".join([pieces[i] for i in use])).runs(self.mer)
+        sizes = np.array([counts[i] for i in use])
+        inside = np.ones(len(mers), bool)
+        for back in range(1, self.mer):  # runs across the end of a piece
+            inside[np.cumsum(sizes)[:-1] - back] = False
+        mers = mers[inside]
+        self.total += len(mers)
+        found, times = np.unique(mers, return_counts=True)
+        often = times * 8 * self.limit >= len(mers)
+        self.counts.update(dict(zip(found[often].tolist(), times[often].tolist())))
+        if len(self.counts) > 16 * self.limit:
+            cut = sorted(self.counts.values(), reverse=True)[8 * self.limit]
             self.counts = Counter({m: n - cut for m, n in self.counts.items() if n > cut})
 
 
-def hot_minimisers(rows: DataFrame, buckets: int, window: int, mer: int) -> frozenset:
-    """Minimisers with more runs than an average bucket (at most ``buckets`` of them)."""
+def hot_minimisers(rows: DataFrame, buckets: int, window: int, mer: int) -> np.ndarray:
+    """Sorted hashes of the runs of ``mer`` words that make up a share of 1 / (4 * buckets) or more.
+
+    There are at most 4 * ``buckets`` of them.
+    """
+    limit = 4 * buckets
+
     def count(batches):
-        seen = _Frequent(buckets, window, mer)
+        seen = _Frequent(limit, window, mer)
         pieces, counts, held = [], [], 0
         for b in batches:
             for t in b.column("text"):
@@ -209,30 +254,30 @@ def hot_minimisers(rows: DataFrame, buckets: int, window: int, mer: int) -> froz
                         seen.add(pieces, counts)
                         pieces, counts, held = [], [], 0
         seen.add(pieces, counts)
-        top = seen.counts.most_common(buckets)
+        top = seen.counts.most_common(8 * limit) or [(0, 0)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.array([m for m, _ in top], np.uint64).view(np.int64)),
              pa.array([n for _, n in top], pa.int64()),
-             pa.array([seen.total] + [0] * (len(top) - 1) if top else [], pa.int64())],
+             pa.array([seen.total] + [0] * (len(top) - 1), pa.int64())],
             names=["m", "n", "total"])
 
     found = stored(rows.select("text").mapInArrow(count, "m long, n long, total long"),
                    "minimisers")
     total = found.agg(F.sum("total")).first()[0] or 0
-    most = max(HOT_FLOOR, total // buckets)
-    hot = (found.groupBy("m").agg(F.sum("n").alias("n")).where(F.col("n") >= most)
-           .orderBy(F.desc("n"), "m").limit(buckets).collect())
-    return frozenset(r.m % (1 << 64) for r in hot)
+    most = max(HOT_FLOOR, total // limit)
+    hot = found.groupBy("m").agg(F.sum("n").alias("n")).where(F.col("n") >= most).collect()
+    return np.sort(np.array([r.m for r in hot], np.int64).view(_U))
 
 
 class _Sender:
     """Collects super-k-mers of a task and sends them by bucket in compressed blocks."""
 
-    def __init__(self, buckets: int, window: int, mer: int, hot=frozenset()):
+    def __init__(self, buckets: int, window: int, mer: int, hot: np.ndarray = _NONE):
         self.buckets, self.window, self.mer, self.hot = buckets, window, mer, hot
         self.zip = zstandard.ZstdCompressor(level=LEVEL)
         self.pieces, self.counts, self.ids, self.group = [], [], [], 0
         self.seen, self.held = defaultdict(list), 0
+        self.frequent, self.spans = Counter(), []
 
     def add(self, k1: int, k2: int, text: bytes):
         for at, joined, n in _pieces(text, self.window):
@@ -244,15 +289,21 @@ class _Sender:
                 yield from self.work()
 
     def work(self):
-        for p, lo, n, least, packed in super_kmers(self.pieces, self.counts, self.window, self.mer):
+        for p, lo, n, least, packed in super_kmers(self.pieces, self.counts, self.window, self.mer,
+                                                   self.hot):
             k1, k2, at = self.ids[p]
-            if least in self.hot:
+            if least >> 63 == 0:
+                self.keep(packed, least, n, (k1, k2, at + lo))
+            elif self.frequent[packed] > 1:  # its windows have been kept twice, so they are settled
+                self.spans.append((k1, k2, at + lo, n))
+                self.held += 100
+            else:
+                self.frequent[packed] += 1
+                self.held += len(packed) + 120
                 words = packed.split()
                 for i in range(n):
                     one = b" ".join(words[i:i + self.window])
                     self.keep(one, xxhash.xxh64_intdigest(one), 1, (k1, k2, at + lo + i))
-            else:
-                self.keep(packed, least, n, (k1, k2, at + lo))
         self.pieces, self.counts, self.ids, self.group = [], [], [], 0
         if self.held >= FLUSH_BYTES:
             yield from self.flush()
@@ -266,21 +317,27 @@ class _Sender:
         self.held += 100
 
     def flush(self):
-        packed, places, settled = defaultdict(list), defaultdict(list), defaultdict(set)
+        packed, places, spans = defaultdict(list), defaultdict(list), self.spans
         for words, ((bucket, n), *at) in self.seen.items():
             packed[bucket].append(words)
             if len(at) == 1:
                 places[bucket].append(at[0])
             else:  # repeats: settled here, spread by document
                 places[bucket].append((0, 0, -1))
-                for k1, k2, lo in at:
-                    settled[k1 % self.buckets].add((k1, k2, lo, n))
+                spans += [(k1, k2, lo, n) for k1, k2, lo in at]
+        spans, settled = _merged(np.array(spans, SPAN)), {}
+        if len(spans):
+            to = spans["k1"] % self.buckets
+            order = np.argsort(to, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                settled[int(to[part[0]])] = spans[part].tobytes()
         self.seen, self.held = defaultdict(list), 0
+        self.frequent, self.spans = Counter(), []
         rows = []
         for b in sorted(set(packed) | set(settled)):
             rows.append((b, self.zip.compress(b"\n".join(packed[b])) if packed[b] else None,
                          np.array(places[b], PLACE).tobytes() if packed[b] else None,
-                         np.array(sorted(settled[b]), SPAN).tobytes() if settled[b] else None))
+                         settled.get(b)))
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
@@ -338,7 +395,7 @@ def _bucket_intervals(blocks, window: int):
                   for a, n in spans}
     if found:
         out.append(np.array(sorted(found), SPAN))
-    return np.concatenate(out) if out else np.empty(0, SPAN)
+    return _merged(np.concatenate(out)) if out else np.empty(0, SPAN)
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, mer: int = MER,
@@ -349,10 +406,10 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, mer: int = MER,
     """
     tasks = partitions(rows.sparkSession)
     buckets = tasks * sub_buckets
-    hot = hot_minimisers(rows, buckets, window, mer)
+    hot = rows.sparkSession.sparkContext.broadcast(hot_minimisers(rows, buckets, window, mer))
 
     def send(batches):
-        sender = _Sender(buckets, window, mer, hot)
+        sender = _Sender(buckets, window, mer, hot.value)
         for b in batches:
             for k1, k2, t in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(),
                                  b.column("text")):

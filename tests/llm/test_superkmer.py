@@ -47,10 +47,9 @@ def test_matches_brute_force(texts, monkeypatch, flush, piece, every_second_hot)
     monkeypatch.setattr(superkmer, "FLUSH_BYTES", flush)
     monkeypatch.setattr(superkmer, "PIECE_WORDS", piece)
     monkeypatch.setattr(superkmer, "HASH_BYTES", piece)
-    class Even:
-        def __contains__(self, minimiser):
-            return every_second_hot and minimiser % 2 == 0
-    sender, blocks = superkmer._Sender(6, 12, 4, Even()), {}
+    mers = superkmer.Words(" ".join(" ".join((t or "").split()) for t in texts).encode()).runs(4)
+    hot = np.unique(mers[mers % 2 == 0]) if every_second_hot else superkmer._NONE
+    sender, blocks = superkmer._Sender(6, 12, 4, hot), {}
     out = [b for i, t in enumerate(texts) for b in sender.add(i + 1, -i, (t or "").encode())]
     for b in [*out, *sender.work(), *sender.flush()]:
         for r in b.to_pylist():
@@ -79,7 +78,32 @@ def test_hot_minimisers_are_found(spark, monkeypatch):
         f"if(id % 2 = 0, ' {quoted}', '') as text").selectExpr("cast(text as binary) as text")
     hot = superkmer.hot_minimisers(docs.repartition(3), 200, 35, 4)
     words = superkmer.Words(quoted.encode()).runs(4).tolist()
-    assert 0 < len(hot) <= 200 and hot <= set(words)
+    assert 0 < len(hot) <= 800 and set(hot.tolist()) <= set(words)
+
+
+@pytest.mark.parametrize("flush", [1 << 26, 30_000])
+def test_a_common_passage_gives_a_document_few_spans(spark, monkeypatch, flush):
+    monkeypatch.setattr(superkmer, "HOT_FLOOR", 50)
+    monkeypatch.setattr(superkmer, "FLUSH_BYTES", flush)
+    quoted = " ".join(f"q{i}" for i in range(60))
+    docs = spark.range(1200).selectExpr(
+        "id as k1", "cast(id as int) as k2", "cast(array_join(transform(sequence(1, 40), i -> "
+        f"concat('w', id, '_', i)), ' ') || ' {quoted} ' || array_join(transform(sequence(1, 40), "
+        "i -> concat('v', id, '_', i)), ' ') as binary) as text").repartition(4)
+    hot = superkmer.hot_minimisers(docs, 64, 35, 4)
+    assert len(hot) >= 50
+    spans = superkmer.repeated_spans(docs).collect()
+    assert {r.k1 for r in spans} == set(range(1200)) and len(spans) <= 8 * 1200
+    for i in (0, 7, 1199):
+        covered = {w for r in spans if r.k1 == i for w in range(r.lo, r.lo + r.n)}
+        assert covered == set(range(40, 66))
+
+
+def test_merged_spans():
+    spans = np.array([(1, 0, 5, 2), (1, 0, 0, 3), (1, 0, 3, 2), (1, 1, 7, 1), (2, 0, 0, 9),
+                      (2, 0, 4, 1), (2, 0, 10, 1), (-3, 0, 1, 1), (1, 0, 5, 2)], superkmer.SPAN)
+    assert superkmer._merged(spans).tolist() == [(-3, 0, 1, 1), (1, 0, 0, 7), (1, 1, 7, 1),
+                                                 (2, 0, 0, 9), (2, 0, 10, 1)]
 
 
 def test_odd_rows(odd_docs):
