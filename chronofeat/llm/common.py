@@ -41,5 +41,17 @@ def text_key(key: Column, text: Column) -> list[Column]:
     return [key.alias("doc_key"), F.xxhash64(key, F.coalesce(text, F.lit(""))).alias("doc_hash")]
 
 
+def row_name(key: Column, text: Column) -> Column:
+    """A 128-bit name (hex MD5) of a document's id and text; rows that share it are repeats."""
+    return F.md5(F.concat_ws("\0", F.when(key.isNull(), "0").otherwise("1"),
+                             F.coalesce(key.cast("string"), F.lit("")),
+                             F.coalesce(text, F.lit(""))).cast("binary"))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns c0, c1, ..., so scratch columns of other names cannot clash; its names."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), docs.columns
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

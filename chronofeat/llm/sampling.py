@@ -46,7 +46,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: in
                         & (remainder(F.col("k"), folds) != held_out))
     picked = _first(known, "y", "h", per_class).select("k", "y")  # 2 * per_class rows
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
-    taken = rows.join(F.broadcast(picked), "k").dropDuplicates(["k", "y"])
+    taken = rows.join(F.broadcast(picked), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
     return sorted((r.t, r.y) for r in taken.select("t", "y").collect())
 
 

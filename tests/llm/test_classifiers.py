@@ -66,7 +66,8 @@ def test_odd_rows(spark, odd_docs):
         assert len(rows) == n and all(0 <= r.score <= 1 for r in rows)
     empty = {r.score for r in quality_knn.score(odd_docs, labels).collect()
              if r.doc_id in (3, 4, 5)}
-    assert len(empty) == 1 and empty.pop() == pytest.approx(4 / 6)
+    taught = [y for i, y in ((1, 1), (2, 0), (6, 1), (10, 0), (77, 1)) if crc(i, 3) != 1]
+    assert len(empty) == 1 and empty.pop() == pytest.approx(np.mean(taught))
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd_docs).collect()}
     assert len(got) == 11 and got[3] == got[4] == got[5] == ("und", 0.0)
     assert got[9][0] in ("en", "fr", "de")
@@ -74,6 +75,48 @@ def test_odd_rows(spark, odd_docs):
     assert kept.schema == odd_docs.schema
 
 
+def test_held_out_labels_teach_nothing(spark, odd_docs):
+    ids = [i for i in range(1, 200) if crc(i, 3) == 1]
+    labels = spark.createDataFrame([(i, 1, 1) for i in ids], "doc_id long, quality int, toxic int")
+    assert {r.score for r in quality_knn.score(odd_docs, labels).collect()} == {0.5}
+
+
+def test_quality_vote_equals_brute_force(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").collect()
+    labels = table(spark, "/root/testdata/sf0.01", "labels")
+    own = {r.doc_id: r.quality for r in labels.collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs}
+    sample = sorted((t, own[i]) for i, t in texts.items()
+                    if own.get(i) is not None and crc(i, 3) != 1)
+    sample += sample[:5]  # equal vectors
+    space = quality_knn.Space(sample)
+    known = space.known.astype(np.float64)
+    for t in list(texts.values())[:60]:
+        counts = quality_knn.term_counts(t)[None]
+        x = space._unit(space._weigh(counts) @ space.basis)[0].astype(np.float64)
+        cosine = [float(sum(a * b for a, b in zip(x, k))) for k in known]
+        near = sorted(range(len(known)), key=lambda i: (-round(cosine[i], 6), i))[:7]
+        votes = [(max(0.0, cosine[i]), sample[i][1]) for i in near]
+        total = sum(w for w, _ in votes)
+        want = sum(w * y for w, y in votes) / total if total > 1e-6 else 0.25
+        got = space.scores(counts, 7, 0.25)[0]
+        last, after = sorted((-c for c in cosine))[6:8]
+        if after - last > 1e-5:  # else rounding decides which vector is the seventh
+            assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_nearest_takes_the_first_of_equals():
+    x = np.array([[1, 3, 3, 2, 3], [0, 0, 0, 0, 0], [5, 4, 3, 2, 1]], np.float32)
+    got = [sorted(r.tolist()) for r in quality_knn._nearest(x, 2)]
+    assert got == [[1, 2], [0, 1], [0, 1]]
+
+
+def test_words_tell_sentences_apart():
+    a, b = (quality_knn.term_counts(t) for t in (b"The cat sat on the warm mat, and purred.",
+                                                 b"Xqz vvk jjw pp qqq zxcv bnm, kkl wwwwww."))
+    assert np.abs(a - b)[:2 * quality_knn.HASHED].sum() > 40
+
+
 def test_without_labels(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality_knn.score(odd_docs, none).collect()} == {0.5}
@@ -98,4 +141,4 @@ def test_long_texts_are_counted_whole():
     a = langid.features([text.encode()])
     b = langid.features([text[:2000].encode()])
     assert float((a * b).sum()) == pytest.approx(1.0, abs=0.01)
-    assert quality_knn.term_counts(text.encode())[:-6].sum() == len(text) - 1
+    assert quality_knn.term_counts(text.encode())[quality_knn.KINDS[2][0]][:-6].sum() == len(text) - 1
