@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import numbered, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TRACKED = 1024
@@ -71,7 +71,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
     The row with the largest ``key`` of each group of equal texts stays. An
     empty table gives no rows.
     """
-    rows = stored(docs.select(F.col(key).alias("id"), text_digest(F.col(text)).alias("digest"))
+    rows = stored(docs.select(F.col(f"`{key}`").alias("id"), text_digest(F.col(f"`{text}`")).alias("digest"))
                   .withColumn("row", F.monotonically_increasing_id()), "exact-dedup")
     winners = stored(_winners(rows, "digest", ["id", "row"], tracked), "exact-dedup")
     marked = rows.join(F.broadcast(winners), "digest", "left")
@@ -94,15 +94,13 @@ def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
     Frequent groups lose their copies before the shuffle; in the shuffle of the
     rest each task forwards at most one row per digest (group limit).
     """
-    mark, big, win = "__dedup_digest", "__dedup_n", "__dedup_win"
-    rows = stored(docs.select(F.col(key).alias("id"), text_digest(F.col(text)).alias("digest")),
-                  "exact-dedup")
-    winners = stored(_winners(rows, "digest", ["id"], tracked).select(
-        F.col("digest").alias(mark), F.col("heavy_n").alias(big), F.col("heavy_win.id").alias(win)),
-        "exact-dedup")
-    left = (docs.withColumn(mark, text_digest(F.col(text)))
-            .join(F.broadcast(winners), mark, "left")
-            .where(F.col(big).isNull() | F.col(win).eqNullSafe(F.col(key))))
-    w = Window.partitionBy(mark).orderBy(F.col(key).desc_nulls_last())
-    return (left.withColumn("__dedup_rank", F.row_number().over(w))
-            .where(F.col("__dedup_rank") == 1).select(*[docs[c] for c in docs.columns]))
+    wide, names = numbered(docs)
+    id_, text_ = (F.col(f"c{names.index(c)}") for c in (key, text))
+    digest = text_digest(text_)
+    rows = stored(wide.select(id_.alias("id"), digest.alias("digest")), "exact-dedup")
+    winners = stored(_winners(rows, "digest", ["id"], tracked), "exact-dedup")
+    left = (wide.withColumn("digest", digest).join(F.broadcast(winners), "digest", "left")
+            .where(F.col("heavy_n").isNull() | F.col("heavy_win.id").eqNullSafe(id_)))
+    w = Window.partitionBy("digest").orderBy(id_.desc_nulls_last())
+    return (left.withColumn("rank", F.row_number().over(w)).where("rank = 1")
+            .select(*wide.columns).toDF(*names))

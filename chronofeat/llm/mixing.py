@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scan import ordered_scan
-from .common import stored, word_count
+from .common import partitions, stored, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 LEAF_ROWS = 1024
@@ -117,17 +117,34 @@ def source_targets(sizes: DataFrame, share: float = 1.5, weights=WEIGHTS,
     return marked.select("source", "n", "source_size", target.alias("target"))
 
 
+def _told_apart(rows: DataFrame, block: int = 4096) -> DataFrame:
+    """Rows (id, source, size) with ``repeat``: 0, 1, ... over rows that agree in all three.
+
+    Such rows are interchangeable, so they are counted and made again from the
+    count, in blocks; however many there are, they spread over tasks and leaves.
+    """
+    groups = rows.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    few = groups.where(F.col("n") <= block).withColumn("first", F.lit(0).cast("long"))
+    many = groups.where(F.col("n") > block).withColumn(
+        "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))))
+    many = many.repartition(partitions(rows.sparkSession), "id", "source", "size", "first")
+    last = F.least(F.col("first") + block, F.col("n")) - 1
+    return few.unionByName(many).select(
+        "id", "source", "size", F.explode(F.sequence("first", last)).alias("repeat"))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
         share: float = 1.5, weights=WEIGHTS, max_copies: float = 2.0, seed: int = 7,
         leaf_rows: int = LEAF_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """One row per document: (key, size, source_size, target, taken, copies)."""
-    rows = stored(docs.select(F.col(key).alias("id"), F.col(source).alias("source"),
-                              word_count(F.col(text)).alias("size")), "mix-sizes")
+    rows = stored(_told_apart(docs.select(
+        F.col(f"`{key}`").alias("id"), F.col(f"`{source}`").alias("source"),
+        word_count(F.col(f"`{text}`")).alias("size"))), "mix-sizes")
     goals = stored(source_targets(rows, share, weights, max_copies), "mix-goals")
     most = goals.agg(F.max("n")).first()[0] or 0
     levels = max(0, math.ceil(math.log2(max(1.0, most / leaf_rows))))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    mark = F.xxhash64(F.lit(seed), "id", "size")
+    mark = F.xxhash64(F.lit(seed), "id", "size", "repeat")
     leaves = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(
         F.col("n") / F.lit(float(leaf_rows)))))).cast("long")
     planned = (rows.alias("r").join(goals.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))

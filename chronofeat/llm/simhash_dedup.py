@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, text_key
+from .common import numbered, partitions, row_name, stored
 
 BITS = 64
 BUCKET_ROWS = 4096
@@ -274,11 +274,16 @@ def _classes(rows: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
     return named.join(best, "root").select("fp", F.col("best").alias("first"))
 
 
+def _named(docs: DataFrame, key: Column, text: Column, shingle: int, seed: int) -> DataFrame:
+    """(doc_key, doc_hash, fp) of every row; the hash names id and text in 128 bits."""
+    return with_fingerprints(docs, [key.alias("doc_key"), row_name(key, text).alias("doc_hash")],
+                             text, shingle, seed)
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
                 radius: int = 2, seed: int = 42, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per row of ``docs``: (key, fingerprint, component_id)."""
-    rows = stored(with_fingerprints(docs, text_key(F.col(key), F.col(text)), F.col(text), shingle,
-                                    seed), "simhash")
+    rows = stored(_named(docs, F.col(f"`{key}`"), F.col(f"`{text}`"), shingle, seed), "simhash")
     classes = _classes(rows, radius, bucket_rows)
     return rows.join(classes, "fp").select(
         F.col("doc_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -292,10 +297,9 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     Repeats of that row (same id and text) stay as one.
     """
-    rows = stored(with_fingerprints(docs, text_key(F.col(key), F.col(text)), F.col(text), shingle,
-                                    seed), "simhash")
-    kept = _classes(rows, radius, bucket_rows).select(
-        F.col("first.doc_hash").alias("__near_hash")).distinct()
-    wide = docs.withColumn("__near_hash", text_key(F.col(key), F.col(text))[1])
-    return (wide.join(kept, "__near_hash", "left_semi").dropDuplicates(["__near_hash"])
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    wide, names = numbered(docs)
+    id_, text_ = (F.col(f"c{names.index(c)}") for c in (key, text))
+    rows = stored(_named(wide, id_, text_, shingle, seed), "simhash")
+    kept = _classes(rows, radius, bucket_rows).select("first.doc_hash").distinct()
+    return (wide.withColumn("doc_hash", row_name(id_, text_)).join(kept, "doc_hash", "left_semi")
+            .dropDuplicates(["doc_hash"]).select(*wide.columns).toDF(*names))

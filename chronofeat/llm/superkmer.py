@@ -14,8 +14,8 @@ blocks, one per bucket and flush.
 
 Runs of words that are very frequent (a passage quoted in very many
 surroundings) would fill their bucket. A first pass counts all runs of ``mer``
-words (lossy counting: a run below an eighth of the limit's share of a stretch of
-text is left out there) and finds those with a share of more than a quarter of a
+words (lossy counting: a run below an eighth of the limit's share of a stretch or
+of a task is left out there) and finds those with a share of more than a quarter of a
 bucket's; they rank after all others as minimisers. So a window that holds any
 other run meets its like elsewhere, and only windows made of frequent runs alone
 are left: these are few different ones, whose copies a task joins before they
@@ -254,7 +254,7 @@ def hot_minimisers(rows: DataFrame, buckets: int, window: int, mer: int) -> np.n
                         seen.add(pieces, counts)
                         pieces, counts, held = [], [], 0
         seen.add(pieces, counts)
-        top = seen.counts.most_common(8 * limit) or [(0, 0)]
+        top = [(m, n) for m, n in seen.counts.items() if n * 8 * limit >= seen.total] or [(0, 0)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.array([m for m, _ in top], np.uint64).view(np.int64)),
              pa.array([n for _, n in top], pa.int64()),
@@ -444,9 +444,9 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, mer: int = MER,
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
                    mer: int = MER) -> DataFrame:
     """One row per row of ``docs``: (key, n_words, n_removed, kept_text)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias(key), F.xxhash64(F.col(key), t).alias("k1"),
-                       F.hash(F.col(key), t).alias("k2"), t.cast("binary").alias("text"))
+    id_, t = F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(id_.alias("id"), F.xxhash64(id_, t).alias("k1"),
+                       F.hash(id_, t).alias("k2"), t.cast("binary").alias("text"))
     spans = repeated_spans(rows.select("k1", "k2", "text"), window, mer)
     spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
 
@@ -458,7 +458,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                                pa.array(words, pa.binary()))
 
     joined = rows.mapInArrow(pack, rows.schema).join(spans, ["k1", "k2"], "left").select(
-        key, "text", "spans")
+        "id", "text", "spans")
 
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
@@ -478,11 +478,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 kept.append(b" ".join(words))
             kept = pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [b.column(key), pa.array(size, pa.int64()), pa.array(gone, pa.int64()),
+                [b.column("id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()),
                  pa.StringArray.from_buffers(len(kept), kept.buffers()[1], kept.buffers()[2])],
-                names=[key, "n_words", "n_removed", "kept_text"])
+                names=["id", "n_words", "n_removed", "kept_text"])
 
-    schema = docs.select(F.col(key), F.lit(0).cast("long").alias("n_words"),
+    schema = docs.select(id_.alias("id"), F.lit(0).cast("long").alias("n_words"),
                          F.lit(0).cast("long").alias("n_removed"),
                          F.lit("").alias("kept_text")).schema
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).toDF(key, "n_words", "n_removed", "kept_text")
