@@ -22,11 +22,28 @@ def _valid(df, *cols):
     return df.where(cond)
 
 
-def class_values(df: DataFrame, truth: str, pred: str) -> list:
-    """The distinct classes among truths and predictions, in order (a matrix side, not rows)."""
+#: More classes than this make no matrix; :func:`confusion_counts` has no limit.
+MAX_CLASSES = 1000
+
+
+def class_values(df: DataFrame, truth: str, pred: str, most: int = MAX_CLASSES) -> list:
+    """The distinct classes among truths and predictions, in order (a matrix side, not rows).
+
+    More than ``most`` raise a ValueError; no more than that many reach the driver.
+    """
     d = _valid(df, truth, pred)
     both = d.select(F.col(truth).alias("c")).unionByName(d.select(F.col(pred).alias("c")))
-    return sorted(r["c"] for r in both.distinct().collect())
+    found = both.distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} classes in {truth!r} and {pred!r}; "
+                         "list the classes, or use confusion_counts")
+    return sorted(r["c"] for r in found)
+
+
+def confusion_counts(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """(truth, pred, n): the confusion matrix in long form, for any number of classes."""
+    return _valid(df, truth, pred).groupBy(F.col(truth).alias("truth"), F.col(pred).alias("pred")).agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 def confusion(df: DataFrame, truth: str, pred: str, classes=None) -> DataFrame:
@@ -96,12 +113,12 @@ def report(df: DataFrame, truth: str, pred: str, classes=None) -> DataFrame:
     Columns: ``class`` (string), ``precision``, ``recall``, ``f1``, ``support``.
     The accuracy row carries the accuracy in ``f1`` and NULL precision/recall;
     it is over all rows. The averages are over the listed classes (by default
-    those of the data) and their support.
+    those of the data) and their support. An empty frame has the three last rows, zero.
     """
     classes = list(class_values(df, truth, pred) if classes is None else classes)
     counts = _class_counts(df, truth, pred, classes)
     pc = _per_class(classes)
-    k = float(len(classes))
+    k = float(max(1, len(classes)))
     total, listed = F.col("total"), sum((F.col(f"sup_{c}") for c in classes), F.lit(0))
     acc = _ratio(sum((F.col(f"tp_{c}") for c in classes), F.lit(0)), total)
 
@@ -120,10 +137,15 @@ def report(df: DataFrame, truth: str, pred: str, classes=None) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-def weighted_f1(df: DataFrame, truth: str, pred: str, classes=(0, 1)) -> DataFrame:
-    """Class F1 averaged with weights = support of ``truth`` (sklearn ``average='weighted'``)."""
+def weighted_f1(df: DataFrame, truth: str, pred: str, classes=None) -> DataFrame:
+    """Class F1 averaged with weights = support of ``truth`` (sklearn ``average='weighted'``).
+
+    ``classes`` are those of the data by default; the average is over their support.
+    """
+    classes = list(class_values(df, truth, pred) if classes is None else classes)
     pc = _per_class(classes)
-    val = _ratio(sum((pc[c][2] * pc[c][3] for c in classes), F.lit(0.0)), F.col("total"))
+    listed = sum((pc[c][3] for c in classes), F.lit(0))
+    val = _ratio(sum((pc[c][2] * pc[c][3] for c in classes), F.lit(0.0)), listed)
     return _class_counts(df, truth, pred, classes).select(val.alias("weighted_f1"))
 
 
@@ -157,6 +179,31 @@ def auc_from_counts(per: DataFrame, scan_buckets: int | None = None) -> DataFram
     return scanned.agg(F.when(den > 0, num / den).alias("auc"))
 
 
+def _log_loss_terms(truth: str, p1: str, weight: str | None, eps: float):
+    p = F.least(F.greatest(F.col(p1).cast("double"), F.lit(eps)), F.lit(1.0 - eps))
+    p_true = F.when(F.col(truth) == 1, p).otherwise(1.0 - p)
+    return F.col(weight).cast("double") if weight else F.lit(1.0), F.log(p_true)
+
+
+def batch_log_loss(df: DataFrame, truth: str, p1: str, batch: str, weight: str | None = None,
+                   eps: float = 1e-15) -> DataFrame:
+    """(batch, log_loss, n, weight): the weighted log loss of every batch, one row a batch."""
+    w, ln = _log_loss_terms(truth, p1, weight, eps)
+    return _valid(df, truth, p1).groupBy(F.col(batch).alias("batch")).agg(
+        (-F.sum(w * ln) / F.sum(w)).alias("log_loss"), F.count(F.lit(1)).alias("n"),
+        F.sum(w).alias("weight"))
+
+
+def mean_batch_log_loss(df: DataFrame, truth: str, p1: str, batch: str, weight: str | None = None,
+                        eps: float = 1e-15) -> DataFrame:
+    """(mean_batch_loss, global_loss, batches, n): every batch counted once, and all rows at once."""
+    per = batch_log_loss(df, truth, p1, batch, weight, eps)
+    return per.agg(F.avg("log_loss").alias("mean_batch_loss"),
+                   (F.sum(F.col("log_loss") * F.col("weight")) / F.sum("weight"))
+                   .alias("global_loss"),
+                   F.count(F.lit(1)).alias("batches"), F.sum("n").alias("n"))
+
+
 def weighted_log_loss(df: DataFrame, truth: str, p1: str, weight: str | None = None,
                       eps: float = 1e-15) -> DataFrame:
     """``-sum(w * ln p_truth) / sum(w)`` for a binary truth and P(class 1) in ``p1``.
@@ -164,9 +211,6 @@ def weighted_log_loss(df: DataFrame, truth: str, p1: str, weight: str | None = N
     Probabilities are clipped to [eps, 1 - eps] as Spark's log-loss evaluator
     does. ``weight=None`` gives every row weight 1.
     """
-    d = _valid(df, truth, p1)
-    p = F.least(F.greatest(F.col(p1).cast("double"), F.lit(eps)), F.lit(1.0 - eps))
-    p_true = F.when(F.col(truth) == 1, p).otherwise(1.0 - p)
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    return d.agg((-F.sum(w * F.log(p_true)) / F.sum(w)).alias("log_loss"),
-                 F.count(F.lit(1)).alias("n"))
+    w, ln = _log_loss_terms(truth, p1, weight, eps)
+    return _valid(df, truth, p1).agg((-F.sum(w * ln) / F.sum(w)).alias("log_loss"),
+                                     F.count(F.lit(1)).alias("n"))

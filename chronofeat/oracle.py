@@ -6,6 +6,7 @@ rebuilt here as CTEs with the same definitions as ``sources/views.py``.
 
 from __future__ import annotations
 
+from .operators.batches import PRIME, EpochOrder
 from .sources.views import SALES_CATEGORIES, SALES_CONTINUOUS
 
 SALES = """sales_view AS (
@@ -131,6 +132,56 @@ EVALUATED = """scored AS (
   FROM sales_split s JOIN brand b USING (p_brand) JOIN tw ON tw.label = s.label
   WHERE s.split = 'test')"""
 
+VALIDATED = EVALUATED.replace("'test'", "'val'").replace("ROUND(b.p1, 6)", "b.p1")
+VAL_LOSS = ("ROUND(-SUM(weight * LN(CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END)) / SUM(weight), 6)")
+
+KEY_ORDER = "entity_key NULLS FIRST, ts_hour NULLS FIRST"
+PREPARED_EVENTS = f"""kept AS (
+  SELECT *, entity || ' ' || event_type AS entity_key FROM events_view WHERE value >= 5),
+lagged AS (
+  SELECT *, lag(entity_key) OVER w AS prev_key, lag(label, 1, 0) OVER w AS prev_label
+  FROM kept WINDOW w AS (ORDER BY {KEY_ORDER}, event_id)),
+flags AS (
+  SELECT *, CASE WHEN NOT (entity_key = prev_key) OR prev_label = 1 THEN 1 ELSE 0 END AS brk
+  FROM lagged),
+cases AS (
+  SELECT *, CAST(SUM(brk) OVER (ORDER BY {KEY_ORDER}) + 1 AS BIGINT) AS case_id FROM flags),
+timed AS (
+  SELECT *, CAST(COUNT(*) OVER (PARTITION BY case_id ORDER BY {KEY_ORDER}) - 1 AS BIGINT) AS time
+  FROM cases),
+split_events AS (
+  SELECT *, CASE WHEN pr <= 0.8 THEN 'train' WHEN pr < 0.9 THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT *, percent_rank() OVER (ORDER BY ts_hour NULLS FIRST) AS pr FROM timed
+        WHERE label IS NOT NULL AND entity_key IS NOT NULL)),
+idx AS (
+  SELECT event_type, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, event_type) - 1 AS DOUBLE) AS idx
+  FROM (SELECT event_type, COUNT(*) AS n FROM split_events GROUP BY 1)),
+st AS (SELECT AVG(value) AS m, STDDEV_SAMP(value) AS d FROM split_events WHERE split = 'train')"""
+
+BATCH_ROWS, EPOCH_SEED = 1000, 3
+NUMBERED = """numbered AS (
+  SELECT event_id, ROW_NUMBER() OVER (ORDER BY event_id) - 1 AS x, COUNT(*) OVER () AS n
+  FROM events_view),
+grid AS (
+  SELECT *, CAST((n + a - 1) // a AS BIGINT) AS b FROM (
+    SELECT *, CAST(CEIL(SQRT(n)) AS BIGINT) AS a FROM numbered))"""
+
+
+def _placed(epoch: int, walks: int = 4) -> str:
+    """(event_id, place) of an epoch: the rounds of the permutation as nested selects."""
+    keys, rows = EpochOrder(1, epoch, EPOCH_SEED).keys, "SELECT event_id, n, a, b, x FROM grid"
+    for walk in range(walks):
+        rows = f"SELECT *, x // b AS l, x % b AS r FROM ({rows})"
+        for i, (j, k) in enumerate(keys):
+            v = "l" if i % 2 else "r"
+            f = f"(({v} + {j}) % {PRIME}) * (({v} + {k}) % {PRIME}) % {PRIME}"
+            new = f"l, (r + {f}) % b AS r" if i % 2 else f"(l + {f}) % a AS l, r"
+            rows = f"SELECT event_id, n, a, b, x, {new} FROM ({rows})"
+        new = "l * b + r" if walk == 0 else "CASE WHEN x < n THEN x ELSE l * b + r END"
+        rows = f"SELECT event_id, n, a, b, {new} AS x FROM ({rows})"
+    return f"SELECT event_id, x AS place FROM ({rows})"
+
+
 SCORE_RANKS = """per AS (
   SELECT p1 AS s, SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
          SUM(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS neg FROM scored GROUP BY p1),
@@ -167,11 +218,32 @@ def oracle_sql() -> dict[str, str]:
         "model_reload_scores": _with(s, SPLIT) +
             "SELECT COUNT(*) AS rows, COUNT(*) AS same FROM sales_split "
             "WHERE split = 'test' AND label IS NOT NULL",
-        "artifact_listing": "SELECT folder, TRUE AS has_files FROM (VALUES ('metadata'), "
-            "('stages/0_OneHotEncoder'), ('stages/1_VectorAssembler'), "
-            "('stages/2_LogisticRegression')) t(folder)",
-        "param_search": "SELECT 3 AS candidates, 1 AS best, TRUE AS best_is_lowest, "
-            "TRUE AS in_range",
+        "artifact_listing": _with(s, SPLIT) +
+            "SELECT DISTINCT 'split=' || split AS folder, TRUE AS has_files FROM sales_split "
+            "WHERE label IS NOT NULL",
+        "param_search": _with(s, SPLIT, BRAND, VALIDATED) +
+            f"SELECT 4 AS candidates, CAST(0.0 AS DOUBLE) AS reg_param, {VAL_LOSS} "
+            "AS val_log_loss FROM scored",
+        "validation_history": _with(s, SPLIT, BRAND, VALIDATED) +
+            f"SELECT {VAL_LOSS} AS val_loss, ROUND(AVG(CAST(label = pred AS DOUBLE)), 6) "
+            "AS val_accuracy FROM scored",
+        "prepare_events": _with(e, PREPARED_EVENTS) + """
+SELECT s.label, i.idx AS event_type_cat, s.case_id, s.time, POW(s.time, 2) AS time2,
+       POW(s.time, 3) AS time3, ROUND(CAST(CAST((s.value - st.m) / st.d AS FLOAT) AS DOUBLE), 3) AS scaled, s.split
+FROM split_events s JOIN idx i USING (event_type), st""",
+        "epoch_batches": _with(e, NUMBERED) + "\nUNION ALL\n".join(
+            f"SELECT {epoch} AS epoch, place // {BATCH_ROWS} AS batch, COUNT(*) AS n, "
+            f"CAST(SUM(event_id) AS BIGINT) AS events, CAST(SUM(event_id * place) AS BIGINT) AS "
+            f"places FROM ({_placed(epoch)}) GROUP BY 1, 2" for epoch in (0, 1)),
+        "batch_log_loss": _with(e, SCORED, f"""b AS (
+  SELECT *, (ROW_NUMBER() OVER (ORDER BY event_id) - 1) // {BATCH_ROWS} AS batch FROM scored),
+per AS (
+  SELECT batch, -AVG(LN(CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END)) AS loss, COUNT(*) AS n
+  FROM b WHERE label IS NOT NULL AND p1 IS NOT NULL GROUP BY batch)""") + """
+SELECT batch, ROUND(loss, 8) AS log_loss, n, CAST(NULL AS DOUBLE) AS mean_batch_loss FROM per
+UNION ALL
+SELECT -1, ROUND(SUM(loss * n) / SUM(n), 8), CAST(SUM(n) AS BIGINT), ROUND(AVG(loss), 8)
+FROM per""",
         "evaluate_model": _with(s, SPLIT, BRAND, EVALUATED, _class_counts(), SCORE_RANKS) + """
 SELECT 'log_loss' AS metric, ROUND(-SUM(weight * LN(CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END))
                                    / SUM(weight), 4) AS value FROM scored

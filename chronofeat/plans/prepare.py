@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, encode, episodes, scale, split
 from ..operators.balance import class_weights
-from ..session import reuse
+from ..session import reliable_checkpoint, reuse
 from ..sources.parquet import write_shards
 
 
@@ -49,7 +49,8 @@ class PrepSpec:
     fit_index_on: str = "all"             # "all" (as the reference) or "train"
     handle_invalid: str = "error"
     features_col: str = "scaledFeatures"
-    limit: int | None = None              # at most so many input rows (trial exports)
+    limit: int | None = None              # at most so many input rows (trial exports), any
+                                          # of them, but the same in every pass
 
     @property
     def categories(self) -> list:
@@ -87,9 +88,10 @@ class Prepared:
 
 
 def clean_frame(df: DataFrame, spec: PrepSpec) -> DataFrame:
-    """Row limit, filter, entity key, optional episodes, NULL drop - all lazy."""
+    """Row limit (checkpointed, so all passes see the same rows), filter, entity key, optional
+    episodes, NULL drop; lazy but for the limit and the episodes."""
     if spec.limit is not None:
-        df = df.limit(spec.limit)
+        df = reliable_checkpoint(df.limit(spec.limit))
     if spec.threshold_col is not None:
         df = clean.filter_threshold(df, spec.threshold_col, spec.threshold)
     if spec.entity_parts:

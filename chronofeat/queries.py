@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import balance, clean, encode, episodes, metrics, scale, split
+from .operators import balance, batches, clean, encode, episodes, metrics, scale, split
 from .plans import learn, prepare as prep
 from .session import reliable_checkpoint, shared_path
 from .sources import parquet, views
@@ -403,23 +403,87 @@ def q_model_reload_scores(spark, d):
 
 
 def q_artifact_listing(spark, d):
-    """(folder, files): the stage folders of a saved model, without their random suffix."""
-    path = learn.save(_brand_model(_brand_export(spark, d)), shared_path(spark, "models"))
-    folder = F.regexp_extract("path", r"/(metadata|stages/\d+_[A-Za-z]+)[^/]*/", 1)
+    """(folder, has_files): the split folders of an export that hold data files."""
+    path = prep.export(_prepared(spark, d), shared_path(spark, "export"))
+    folder = F.regexp_extract("path", r"/(split=[^/]*)/[^/]*\.parquet$", 1)
     return parquet.artifacts(spark, path).where(F.col("length") > 0).groupBy(
         folder.alias("folder")).agg((F.count(F.lit(1)) > 0).alias("has_files"))
 
 
 def q_param_search(spark, d):
-    """(candidates, best, best_is_lowest, in_range) of a search over the exported table."""
+    """(candidates, reg_param, val_log_loss) of the candidate without regularisation, among
+    seeded draws: a model of one category to convergence, whose loss has a closed form."""
+    rows = _brand_export(spark, d)
+    draws = learn.log_uniform_draws(-10.0, -4.0, 3, 11)
+    found = learn.param_search(rows.where("split = 'train'"), rows.where("split = 'val'"),
+                               ["p_brand_cat"], None, "label", reg_params=[*draws, 0.0],
+                               max_iter=200, tol=1e-12)
+    return found.groupBy().agg(
+        F.count(F.lit(1)).alias("candidates"),
+        F.max(F.when(F.col("reg_param") == 0, F.col("reg_param"))).alias("reg_param"),
+        F.round(F.max(F.when(F.col("reg_param") == 0, F.col("val_log_loss"))), 6)
+        .alias("val_log_loss"))
+
+
+def q_halving_search(spark, d):
+    """Every rung of a successive halving over the exported table."""
     p = _prepared(spark, d)
-    found = learn.param_search(p.split("train"), p.split("val"), _cat_idx(), "scaledFeatures",
-                               "label", n_draws=3, seed=11)
-    return found.agg(
-        F.count(F.lit(1)).alias("candidates"), F.sum(F.col("best").cast("long")).alias("best"),
-        (F.min("val_log_loss") == F.min(F.when(F.col("best"), F.col("val_log_loss"))))
-        .alias("best_is_lowest"),
-        (F.sum(F.col("reg_param").between(4.5e-5, 1.9e-2).cast("long")) == 3).alias("in_range"))
+    return learn.halving_search(p.split("train"), p.split("val"), _cat_idx(), "scaledFeatures",
+                                "label", learn.log_uniform_draws(-10.0, -4.0, 4, 11))
+
+
+def q_validation_history(spark, d):
+    """(val_loss, val_accuracy) after the last iteration of a model with a closed form."""
+    rows = _brand_export(spark, d)
+    found = learn.validation_history(rows.where("split = 'train'"), rows.where("split = 'val'"),
+                                     ["p_brand_cat"], None, "label", max_iter=12, tol=1e-12)
+    last = found.orderBy(F.desc("iteration")).limit(1)
+    return last.select(_r("val_loss", 6), _r("val_accuracy", 6))
+
+
+def q_prepare_events(spark, d):
+    """The whole preparation of the events: threshold, entity key, episodes, null drop, split,
+    index and scaling, one row per kept event."""
+    spec = prep.PrepSpec(label="label", time="ts_hour", string_categories=["event_type"],
+                         int_categories=[], continuous=["value"],
+                         entity_parts=["entity", "event_type"], entity="entity_key",
+                         threshold_col="value", threshold=5, required=["label", "entity_key"],
+                         episodes=True, tiebreak="event_id")
+    rows = prep.prepare(_events(spark, d), spec).frame
+    return rows.withColumn("scaled", F.round(F.col("scaledFeatures")[0].cast("double"), 3)).drop(
+        "scaledFeatures")
+
+
+BATCH_ROWS = 1000
+EPOCH_SEED = 3
+
+
+def _numbered_events(spark, d):
+    rows = batches.number_rows(_scored_events(spark, d), ["event_id"])
+    return rows, rows.count()
+
+
+def q_epoch_batches(spark, d):
+    """Per epoch and batch: rows, and sums that tell which rows they are."""
+    rows, n = _numbered_events(spark, d)
+    both = [batches.epoch_batches(rows, "position", n, BATCH_ROWS, epoch, EPOCH_SEED)
+            for epoch in (0, 1)]
+    return both[0].unionByName(both[1]).groupBy("epoch", "batch").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("events"),
+        F.sum(F.col("event_id") * F.col("place")).alias("places"))
+
+
+def q_batch_log_loss(spark, d):
+    """Log loss of every batch of rows in order, and (batch -1) the mean of these and the global."""
+    rows, _ = _numbered_events(spark, d)
+    rows = rows.withColumn("batch", F.call_function(
+        "div", F.col("position"), F.lit(BATCH_ROWS).cast("long")))
+    per = metrics.batch_log_loss(rows, "label", "p1", "batch").select(
+        "batch", _r("log_loss", 8), "n", F.lit(None).cast("double").alias("mean_batch_loss"))
+    total = metrics.mean_batch_log_loss(rows, "label", "p1", "batch").select(
+        F.lit(-1).cast("long").alias("batch"), F.round("global_loss", 8).alias("log_loss"), "n",
+        _r("mean_batch_loss", 8))
+    return per.unionByName(total)
 
 
 def q_evaluate_model(spark, d):
@@ -498,5 +562,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_reload_scores": q_model_reload_scores,
     "artifact_listing": q_artifact_listing,
     "param_search": q_param_search,
+    "halving_search": q_halving_search,
+    "validation_history": q_validation_history,
+    "prepare_events": q_prepare_events,
+    "epoch_batches": q_epoch_batches,
+    "batch_log_loss": q_batch_log_loss,
     "evaluate_model": q_evaluate_model,
 }
