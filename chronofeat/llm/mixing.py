@@ -123,7 +123,8 @@ def _told_apart(rows: DataFrame, block: int = 4096) -> DataFrame:
     Such rows are interchangeable, so they are counted and made again from the
     count, in blocks; however many there are, they spread over tasks and leaves.
     """
-    groups = rows.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    groups = stored(rows.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n")),
+                    "mix-groups")
     few = groups.where(F.col("n") <= block).withColumn("first", F.lit(0).cast("long"))
     many = groups.where(F.col("n") > block).withColumn(
         "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))))
