@@ -224,6 +224,9 @@ def oracle_sql() -> dict[str, str]:
         "param_search": _with(s, SPLIT, BRAND, VALIDATED) +
             f"SELECT 4 AS candidates, CAST(0.0 AS DOUBLE) AS reg_param, {VAL_LOSS} "
             "AS val_log_loss FROM scored",
+        "halving_search": _with(s, SPLIT, BRAND, VALIDATED) +
+            f"SELECT 2 AS rungs, 6 AS fits, LEAST({VAL_LOSS}, ROUND(LN(2), 6)) AS val_log_loss "
+            "FROM scored",
         "validation_history": _with(s, SPLIT, BRAND, VALIDATED) +
             f"SELECT {VAL_LOSS} AS val_loss, ROUND(AVG(CAST(label = pred AS DOUBLE)), 6) "
             "AS val_accuracy FROM scored",
