@@ -7,12 +7,14 @@ equal ``ts`` share ``pr`` and therefore a split; NULL ``ts`` sorts first.
 Because ``pr`` only depends on how many rows have a smaller ``ts``, the split
 is decided by two *cut values*: ``hi`` = largest ``ts`` with ``pr <= .8`` and
 ``lo`` = smallest ``ts`` with ``pr >= .9``. For integers, dates and timestamps
-they come from exact order statistics of the time column alone
-(:mod:`chronofeat.operators.select`), for other types from a per-value count
-table scanned in order; both are the same at every input size. Cuts travel as
-integer keys, so no time zone can move them. Each row is then labelled with
-plain comparisons against two literals, which Parquet can use for row-group
-pruning:
+two passes over the time column find them: a mergeable quantile sketch brackets
+both, then values inside a bracket are counted one by one and all others per
+gap between the brackets, which gives exact ranks whatever the sketch's error.
+A cut outside its bracket would show in the counts; exact order statistics
+(:mod:`chronofeat.operators.select`) answer then. Other types use a per-value
+count table scanned in order. Cuts travel as integer keys, so no time zone can
+move them. Each row is then labelled with plain comparisons against two
+literals, which Parquet can use for row-group pruning:
 
     ts IS NULL OR ts <= hi -> train;  ts >= lo -> test;  otherwise -> val
 
@@ -34,6 +36,10 @@ from .scan import ordered_scan
 
 TRAIN, VAL, TEST = "train", "val", "test"
 
+#: The sketch's rank error is at most rows / ACCURACY; each bracket holds four times that.
+ACCURACY = 10_000
+_KEY_MIN, _KEY_MAX = -2**63, 2**63 - 1
+
 
 def cut_literal(cut, dtype: T.DataType) -> Column:
     """A cut (an integer key where the type has one) as a literal of exactly ``dtype``."""
@@ -114,6 +120,56 @@ def _cuts_by_rank(df, ts, bounds, width):
         keys.unpersist()
 
 
+def _brackets(keys, bounds, accuracy):
+    """Row count and disjoint ascending key ranges around the cuts, from one pass with a sketch."""
+    shares = [min(1.0, max(0.0, b + side * 2.0 / accuracy)) for b in bounds for side in (-1, 1)]
+    # NULL sorts first, so it takes the smallest key here; the counts tell it apart
+    n, ends = keys.agg(F.count(F.lit(1)), F.percentile_approx(
+        F.coalesce("_k", F.lit(_KEY_MIN)), shares, accuracy)).first()
+    if ends is None:
+        return n, []
+    pad = [(abs(e) >> 52) + 1 for e in ends]  # the sketch rounds keys to doubles
+    ranges = sorted((max(_KEY_MIN, ends[i] - pad[i]), min(_KEY_MAX, ends[i + 1] + pad[i + 1]))
+                    for i in (0, 2))
+    if ranges[1][0] <= ranges[0][1]:
+        return n, [(ranges[0][0], max(ranges[0][1], ranges[1][1]))]
+    return n, ranges
+
+
+def _bracketed_counts(keys, ranges):
+    """(_t, _c, _e): a row per key inside a range (_e), one per gap with its smallest key, one for
+    NULL; partial counts, so a task emits no more."""
+    zone, inside = F.lit(0), F.lit(False)
+    for lo, hi in ranges:
+        zone = zone + (F.col("_k") >= F.lit(lo)).cast("int") + (F.col("_k") > F.lit(hi)).cast("int")
+        inside = inside | F.col("_k").between(F.lit(lo), F.lit(hi))
+    counts = (keys.groupBy(zone.alias("_z"), F.when(inside, F.col("_k")).alias("_v"))
+              .agg(F.min("_k").alias("_t"), F.count(F.lit(1)).alias("_c")))
+    return counts.select("_t", "_c", (F.col("_v").isNotNull() | F.col("_t").isNull()).alias("_e"))
+
+
+def _cuts_by_sketch(df, ts, bounds, accuracy, scan_buckets):
+    """Cut keys from a sketch and one exact count, or None if a cut left its bracket."""
+    keys = df.select(select.order_key(F.col(ts), df.schema[ts].dataType).alias("_k"))
+    n, ranges = _brackets(keys, bounds, accuracy)
+    counts = _bracketed_counts(keys, ranges).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        scanned = ordered_scan(counts, [F.col("_t")], sums={"_before": F.col("_c")},
+                               lags={"_prev": F.col("_e")}, buckets=scan_buckets)
+        pr = F.col("_before").cast("double") / F.lit(float(max(n - 1, 1)))
+        at = F.struct(F.col("_t").alias("t"), F.col("_e").alias("e"),
+                      F.coalesce("_prev", F.lit(True)).alias("p"))
+        hi, lo, end = scanned.where(F.col("_t").isNotNull()).agg(
+            F.max(F.when(pr <= F.lit(bounds[0]), at)), F.min(F.when(pr >= F.lit(bounds[1]), at)),
+            F.max(at)).first()
+    finally:
+        counts.unpersist()
+    # a gap's later keys are not known: it can be no last key, and the key after it no first one
+    if (hi and not hi["e"]) or (lo and not lo["p"]) or (end and not lo and not end["e"]):
+        return None
+    return hi and hi["t"], lo and lo["t"], n
+
+
 def _cuts_by_counts(df, ts, bounds, scan_buckets):
     """Cuts from a per-value count table scanned in order, for any orderable type."""
     train_upto, test_from = bounds
@@ -132,14 +188,21 @@ def _cuts_by_counts(df, ts, bounds, scan_buckets):
 
 
 def time_cuts(df: DataFrame, ts: str, bounds=(0.8, 0.9), scan_buckets: int | None = None,
-              method: str | None = None,
-              width: int = select.DEFAULT_WIDTH) -> tuple[object, object, int]:
+              method: str | None = None, width: int = select.DEFAULT_WIDTH,
+              accuracy: int = ACCURACY) -> tuple[object, object, int]:
     """Return ``(hi, lo, n)``: the two cuts (see :func:`cut_literal`) and the row count.
 
-    ``method`` follows from the type of ``ts`` alone: ``rank`` where it has an
-    integer key, ``counts`` otherwise. Both are exact; naming one is for tests.
+    ``method`` follows from the type of ``ts`` alone: ``sketch`` where it has an
+    integer key, ``counts`` otherwise. All are exact; naming one is for tests.
+    ``rank`` needs no sketch and reads the keys once a level of ``width`` buckets;
+    it also answers if a cut is not in its bracket.
     """
-    method = method or ("rank" if select.supports(df.schema[ts].dataType) else "counts")
+    method = method or ("sketch" if select.supports(df.schema[ts].dataType) else "counts")
+    if method == "sketch":
+        found = _cuts_by_sketch(df, ts, bounds, accuracy, scan_buckets)
+        if found is not None:
+            return found
+        method = "rank"
     if method == "rank":
         return _cuts_by_rank(df, ts, bounds, width)
     if method == "counts":

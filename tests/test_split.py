@@ -111,6 +111,38 @@ def test_rank_cuts_on_tables(spark, sf, col, table):
     assert split.time_cuts(df, col, width=16) == expect == split.time_cuts(df, col)
 
 
+@pytest.mark.parametrize("accuracy", [3, 20, 10_000])
+@pytest.mark.parametrize("name", sorted(EDGE_CASES))
+def test_sketch_cuts_equal_count_cuts(spark, name, accuracy):
+    """Also where the sketch is so coarse that its brackets cover everything or miss."""
+    df = _ts_frame(spark, EDGE_CASES[name])
+    expect = split.time_cuts(df, "t", method="counts")
+    assert split.time_cuts(df, "t", method="sketch", accuracy=accuracy) == expect
+
+
+@pytest.mark.parametrize("shift", [-400, -30, 0, 30, 400])
+def test_a_cut_outside_its_bracket_is_still_exact(spark, monkeypatch, shift):
+    df = _ts_frame(spark, [None] * 5 + [i // 2 for i in range(1000)])
+    expect = split.time_cuts(df, "t", method="counts")
+    monkeypatch.setattr(split, "_brackets", lambda *a: (1005, [(390 + shift, 410 + shift),
+                                                               (440 + shift, 460 + shift)]))
+    assert split.time_cuts(df, "t") == expect
+
+
+def test_sketch_counts_few_rows_outside_brackets(spark, monkeypatch):
+    """Two million times: counted singly only inside the brackets, and no other method asked."""
+    df = spark.range(2_000_000).selectExpr("timestamp_micros(id * 7919 % 2000003 * 1000000) as t")
+    sizes = []
+    scan = split.ordered_scan
+    monkeypatch.setattr(split, "ordered_scan",
+                        lambda d, *a, **k: sizes.append(d.count()) or scan(d, *a, **k))
+    monkeypatch.setattr(split, "_cuts_by_rank", None)
+    found = split.time_cuts(df, "t")
+    assert sizes[0] < 2_000_000 * 10 / split.ACCURACY
+    monkeypatch.undo()
+    assert found == split.time_cuts(df, "t", method="rank")
+
+
 def test_rank_cuts_with_nulls_and_dates(spark):
     import datetime as dt
     rows = [(i, None if i % 4 == 0 else dt.date(2020, 1, 1) + dt.timedelta(days=i // 3))
