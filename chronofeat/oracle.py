@@ -361,6 +361,7 @@ SELECT 'score', ROUND(CAST(SUM(pos * (nb + 0.5 * neg)) AS DOUBLE)
     }
     # the scale-path variants must give exactly the base query's rows
     sql["episodes_split_blocks"] = sql["episodes"]
+    sql["episodes_appended"] = sql["episodes"]
     sql["time_split_refined"] = sql["time_split"]
     sql["category_index_joined"] = sql["category_index"]
     sql["scaled_features_f32"] = _with(s, SPLIT, f"""st AS (

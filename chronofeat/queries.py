@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import balance, batches, clean, encode, episodes, metrics, scale, split
+from .operators import appended, balance, batches, clean, encode, episodes, metrics, scale, split
 from .plans import learn, prepare as prep
 from .session import reliable_checkpoint, shared_path
 from .sources import parquet, views
@@ -193,6 +193,18 @@ def q_episodes_split_blocks(spark, d):
     return out.select("event_id", "entity", "ts_hour", "label", "case_id", "time")
 
 
+def q_episodes_appended(spark, d):
+    """Episodes of three batches in time order, each from its own rows and the state before it."""
+    events = _events(spark, d).select("event_id", "entity", "ts_hour", "label")
+    state, parts = appended.empty_state(spark, events, "entity", "ts_hour", "label"), []
+    for batch in split.split_frames(events, "ts_hour", (0.4, 0.7)):
+        rows, state, _ = appended.append_episodes(batch, state, "entity", "ts_hour", "label",
+                                                  "event_id")
+        parts.append(rows)
+    return appended.global_episodes(parts[0].unionByName(parts[1]).unionByName(parts[2]), state,
+                                    "entity")
+
+
 def q_time_polynomial(spark, d):
     ep = episodes.time_polynomial(_episodes(spark, d, ("time",)))
     return ep.select("event_id", "time", "time2", "time3")
@@ -537,6 +549,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "case_time": q_case_time,
     "episodes": q_episodes,
     "episodes_split_blocks": q_episodes_split_blocks,
+    "episodes_appended": q_episodes_appended,
     "time_polynomial": q_time_polynomial,
     "time_percent_rank": q_time_percent_rank,
     "time_split": q_time_split,
