@@ -190,6 +190,22 @@ sc AS (
                                      AND 1 PRECEDING), 0) AS nb FROM per)"""
 
 
+def _embedding_cells() -> str:
+    """Positive mutual information of the labels of every two embedded columns, in SQL."""
+    cols = ["o_orderpriority", "c_mktsegment", "p_brand", "p_size"]
+    counts = " UNION ALL ".join(
+        f"""SELECT '{a}' AS "column", CAST({a} AS VARCHAR) AS value, '{b}' AS context,
+        CAST({b} AS VARCHAR) AS other, COUNT(*) AS n
+        FROM sales_split WHERE split = 'train' AND {a} IS NOT NULL AND {b} IS NOT NULL
+        GROUP BY {a}, {b}""" for a in cols for b in cols if a != b)
+    return _with(SALES, SPLIT, f"""cells AS ({counts}), informed AS (
+  SELECT "column", value, context, other, ln(CAST(n AS DOUBLE)
+         * SUM(n) OVER (PARTITION BY "column", context)
+         / (CAST(SUM(n) OVER (PARTITION BY "column", value, context) AS DOUBLE)
+            * SUM(n) OVER (PARTITION BY "column", context, other))) AS x FROM cells)""") + """
+SELECT "column", value, context, other, ROUND(x, 6) AS x FROM informed WHERE x > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     s, e = SALES, EVENTS
     cat_idx = ", ".join(f"r_{c}.idx AS {c}_cat" for c in CATS)
@@ -299,6 +315,7 @@ UNION ALL SELECT 'true_1', CAST(tp_1 AS DOUBLE) FROM f""",
   CAST(SUM(n) OVER (PARTITION BY split) AS DOUBLE)
     / CAST(COUNT(*) OVER (PARTITION BY split) * n AS DOUBLE) AS weight FROM cw""",
         "categorical_cardinality": _with(s) + _cardinality_union(),
+        "category_embedding": _embedding_cells(),
         "embedding_width": _with(s) +
             "SELECT \"column\", cardinality, CAST(LEAST(50, (cardinality + 2) // 2) AS INTEGER) "
             f"AS width FROM ({_cardinality_union()})",

@@ -34,7 +34,7 @@ from ..sources.parquet import artifacts
 def _features_stages(cat_cols, cont_col):
     onehot = [c + "_oh" for c in cat_cols]
     stages = [OneHotEncoder(inputCols=list(cat_cols), outputCols=onehot,
-                            handleInvalid="keep", dropLast=True)]
+                            handleInvalid="keep", dropLast=True)] if onehot else []
     stages.append(VectorAssembler(inputCols=onehot + ([cont_col] if cont_col else []),
                                   outputCol="_x", handleInvalid="error"))
     return stages
@@ -67,7 +67,8 @@ def train_weighted(train: DataFrame, cat_cols, cont_col: str, label: str,
                    weights: DataFrame | None = None, tol: float = 1e-6) -> PipelineModel:
     """Fit a class-weighted classifier; weights default to "balanced" on ``train``.
 
-    ``cont_col=None`` trains on the categories alone.
+    ``cont_col=None`` trains on the categories alone; no ``cat_cols`` on ``cont_col`` alone,
+    as with learned embeddings (:meth:`..operators.embed.CategoryEmbedding.features`).
     """
     train = as_vector(train, cont_col).withColumn(label, F.col(label).cast("double"))
     if weights is None:

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import appended, balance, batches, clean, encode, episodes, metrics, scale, split
+from .operators import (appended, balance, batches, clean, embed, encode, episodes, metrics, scale,
+                        split)
 from .plans import learn, prepare as prep
 from .session import reliable_checkpoint, shared_path
 from .sources import parquet, views
@@ -26,6 +27,8 @@ from .sources import parquet, views
 
 CONT = views.SALES_CONTINUOUS
 CATS = views.SALES_CATEGORIES
+#: Embedded columns and their numbers of labels.
+EMBEDDED = {"o_orderpriority": 5, "c_mktsegment": 5, "p_brand": 25, "p_size": 50}
 MODEL_COLS = ["label"] + CONT + ["o_orderdate"] + CATS
 
 
@@ -528,6 +531,14 @@ def q_evaluate_model(spark, d):
     return out.select("metric", _r("value", 4))
 
 
+def q_category_embedding(spark, d):
+    """Cells given back by embeddings as wide as a column has labels, on the training rows."""
+    train = _split_sales(spark, d).where(F.col("split") == "train")
+    model = embed.fit_category_embedding(train, EMBEDDED, widths=EMBEDDED)
+    cells = embed.positive_information(embed.cooccurrence(train, EMBEDDED))
+    return model.reconstruct(cells).select("column", "value", "context", "other", _r("x", 6))
+
+
 # ---------------------------------------------------------------------------
 # registry
 
@@ -583,6 +594,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "halving_search": q_halving_search,
     "validation_history": q_validation_history,
     "prepare_events": q_prepare_events,
+    "category_embedding": q_category_embedding,
     "epoch_batches": q_epoch_batches,
     "batch_log_loss": q_batch_log_loss,
     "evaluate_model": q_evaluate_model,
