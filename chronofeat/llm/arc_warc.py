@@ -16,6 +16,12 @@ any Hadoop file system works and a lost executor only repeats its tasks. Files
 are read whole by ``binaryFile`` and unpacked as a stream, record by record;
 ``write_arc`` keeps them small by Spark's input splits.
 
+A header line without the fields, date and length its version asks for is set
+aside: reading goes on at the next line that is a header, and ``arc_faults``
+lists file, offset and reason of every such place, of records that end before
+their declared length and of unknown versions. Blanks in a url are no fault (the
+other fields are counted from the right); they are percent-encoded.
+
 Nulls: a null payload is empty, a null url is written ``-``, a null id is kept
 as null and sorts below every id. Repeated rows get a record each, all but one
 of them revisits if large enough. White space and control characters in urls
@@ -59,7 +65,11 @@ def _http_block(page_id, payload: bytes) -> bytes:
 def _arc_url(url) -> bytes:
     if not url:
         return b"-"
-    return re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0], url.encode("utf-8", "replace"))
+    return _arc_blanks(url.encode("utf-8", "replace"))
+
+
+def _arc_blanks(url: bytes) -> bytes:
+    return re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0], url)
 
 
 def arc_record(version: int, url, page_id, payload: bytes, date: str = ARC_DATE) -> bytes:
@@ -165,9 +175,32 @@ class _Stream:
         return b"".join(parts)
 
 
-def read_arc_records(content: bytes):
-    """Yield (offset, fields, block) of every document record, by the file's own version."""
-    s, version = _Stream(content), 1
+def _document(line: bytes, version: int):
+    """The fields of a document record's header line; ValueError says what is wrong with it."""
+    fields = line.rsplit(b" ", 9 if version == 2 else 4)
+    if len(fields) != (10 if version == 2 else 5):
+        raise ValueError(f"bad ARC version {version} header: {line[:200]!r}")
+    _length(fields, line)
+    try:
+        _iso(fields[2])
+    except ValueError:
+        raise ValueError(f"bad date in header: {line[:200]!r}") from None
+    return [_arc_blanks(fields[0]), *fields[1:]]
+
+
+def _length(fields: list[bytes], line: bytes) -> int:
+    if not fields[-1].isdigit():
+        raise ValueError(f"bad length in header: {line[:200]!r}")
+    return int(fields[-1])
+
+
+def read_arc_records(content: bytes, fault=None):
+    """Yield (offset, fields, block) of every document record, by the file's own version.
+
+    ``fault(offset, reason)`` is called for what cannot be read, once per
+    stretch of lines that are no headers; without it the first one raises.
+    """
+    s, version, lost = _Stream(content), 1, False
     while True:
         at = s.offset
         line = s.line()
@@ -175,16 +208,25 @@ def read_arc_records(content: bytes):
             return
         if not line:
             continue
-        fields = line.split(b" ")
-        if fields[0].startswith(b"filedesc:"):
-            block = s.take(int(fields[-1]))
-            version = int(block.split(b" ", 1)[0])
-            if version not in (1, 2):
-                raise ValueError(f"unknown ARC version {version}")
+        try:
+            if line.startswith(b"filedesc:"):
+                block = s.take(_length(line.split(b" "), line))
+                named = block.split(b" ", 1)[0]
+                if named not in (b"1", b"2"):
+                    raise ValueError(f"unknown ARC version {named[:20]!r}")
+                version, lost = int(named), False
+                continue
+            fields = _document(line, version)
+            found = at, fields, s.take(int(fields[-1]))
+        except ValueError as e:
+            if fault is None:
+                raise
+            if not lost:
+                fault(at, str(e))
+            lost = True
             continue
-        if len(fields) != (10 if version == 2 else 5):
-            raise ValueError(f"bad ARC version {version} header: {line[:200]!r}")
-        yield at, fields, s.take(int(fields[-1]))
+        lost = False
+        yield found
 
 
 def _split_http(block: bytes):
@@ -242,10 +284,26 @@ def _map_files(files: DataFrame, records, schema: str, batch_bytes: int = 8 << 2
     return files.mapInArrow(run, schema)
 
 
+def _set_aside(offset: int, reason: str) -> None:
+    """Faults are listed by :func:`arc_faults`; the converter goes on without them."""
+
+
+def arc_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, reason) of everything in the ARC files that is not converted."""
+    def records(file, content):
+        found = []
+        for _ in read_arc_records(content, lambda at, why: found.append((at, why))):
+            while found:
+                yield (file, *found.pop(0)), 300
+        for at, why in found:
+            yield (file, at, why), 300
+    return _map_files(_files(spark, path), records, "file string, offset long, reason string")
+
+
 def arc_index(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, page_id, payload_bytes, digest, record_id, uri, date) per ARC record."""
     def records(file, content):
-        for at, f, block in read_arc_records(content):
+        for at, f, block in read_arc_records(content, _set_aside):
             head, payload = _split_http(block)
             page = _header(head, b"X-Page-Id")
             yield (file, at, int(page) if page else None, len(payload), _sha1(payload),
@@ -317,7 +375,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str,
                 refers = {r["offset"]: (r["refers_id"], r["refers_page"], r["refers_uri"],
                                         r["refers_date"]) for r in again or ()}
                 out, held = [], 0
-                for at, f, block in read_arc_records(content.as_py()):
+                for at, f, block in read_arc_records(content.as_py(), _set_aside):
                     head, payload = _split_http(block)
                     kind = "revisit" if at in refers else "response" if head else "resource"
                     of = "application/http;msgtype=response" if head else f[3].decode()

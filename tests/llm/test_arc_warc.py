@@ -66,3 +66,30 @@ def test_other_records_become_resources(spark, tmp_path):
     out = arc_warc.convert(spark, str(tmp_path), shared_path(spark, "warc-test"))
     r = arc_warc.read_warc(spark, out).first()
     assert (r.record_type, r.payload_bytes, r.date) == ("resource", 4, "2020-01-01T00:00:00Z")
+
+
+def test_malformed_lines_are_set_aside_and_listed(spark, tmp_path):
+    good = [arc_warc.arc_record(1, f"http://h/{i}", i, b"payload %d" % i) for i in range(4)]
+    bad = [b"http://h/x 0.0.0.0 20240101000000 text/html many\nlost body\nmore of it",
+           b"http://h/y 0.0.0.0 20241301000000 text/html 3\nabc"]
+    data = b"\n".join([arc_warc.arc_filedesc(1), good[0], bad[0], good[1], bad[1], good[2],
+                       b"http://h/a b 0.0.0.0 20240101000000 text/html 2\nhi", good[3][:-2]])
+    (tmp_path / "part-0.gz").write_bytes(gzip.compress(data))
+    (tmp_path / "part-1.gz").write_bytes(gzip.compress(b"\n".join(
+        [arc_warc.arc_filedesc(1).replace(b"1 0 chrono", b"7 0 chrono"), good[0]])))
+    faults = arc_warc.arc_faults(spark, str(tmp_path)).orderBy("file", "offset").collect()
+    assert [r.offset for r in faults] == [data.index(bad[0]), data.index(bad[1]),
+                                          data.rindex(b"http://h/3"), 0]
+    for r, reason in zip(faults, ("bad length", "bad date", "declared length", "unknown ARC")):
+        assert reason in r.reason
+    out = arc_warc.convert(spark, str(tmp_path), shared_path(spark, "warc-faults"))
+    read = arc_warc.read_warc(spark, out).collect()
+    assert sorted(r.uri for r in read) == ["http://h/0", "http://h/0", "http://h/1", "http://h/2",
+                                           "http://h/a%20b"]
+    assert sorted(r.page_id for r in read if r.page_id is not None) == [0, 0, 1, 2]
+    assert arc_warc.arc_faults(spark, str(tmp_path / "part-1.gz")).count() == 1
+
+
+def test_whole_archives_have_no_faults(spark, pages):
+    path = arc_warc.write_arc(pages, shared_path(spark, "arc-whole"))
+    assert arc_warc.arc_faults(spark, path).count() == 0
