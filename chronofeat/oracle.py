@@ -316,6 +316,11 @@ UNION ALL SELECT 'true_1', CAST(tp_1 AS DOUBLE) FROM f""",
     / CAST(COUNT(*) OVER (PARTITION BY split) * n AS DOUBLE) AS weight FROM cw""",
         "categorical_cardinality": _with(s) + _cardinality_union(),
         "category_embedding": _embedding_cells(),
+        "sized_export": _with(SALES, SPLIT) + """
+SELECT split, COUNT(*) AS n, CAST(MIN(o_orderdate) AS DATE) AS first_date,
+       CAST(MAX(o_orderdate) AS DATE) AS last_date, CAST(SUM(label) AS BIGINT) AS n_label,
+       COUNT(DISTINCT p_brand) AS n_brands, ROUND(SUM(l_quantity), 2) AS quantity
+FROM sales_split GROUP BY split""",
         "embedding_width": _with(s) +
             "SELECT \"column\", cardinality, CAST(LEAST(50, (cardinality + 2) // 2) AS INTEGER) "
             f"AS width FROM ({_cardinality_union()})",

@@ -531,6 +531,19 @@ def q_evaluate_model(spark, d):
     return out.select("metric", _r("value", 4))
 
 
+def q_sized_export(spark, d):
+    """Rows of every split read back from files of the production size, clustered by time."""
+    path, scratch = shared_path(spark, "sized"), shared_path(spark, "sized-sample")
+    rows = reliable_checkpoint(_split_sales(spark, d).select(
+        "o_orderdate", "l_quantity", "p_brand", "label", "split"))
+    parquet.write_sized(rows, path, scratch, partition_by="split", cluster_by="o_orderdate")
+    return spark.read.parquet(path).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.min("o_orderdate").cast("date").alias("first_date"),
+        F.max("o_orderdate").cast("date").alias("last_date"),
+        F.sum("label").alias("n_label"), F.countDistinct("p_brand").alias("n_brands"),
+        F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
 def q_category_embedding(spark, d):
     """Cells given back by embeddings as wide as a column has labels, on the training rows."""
     train = _split_sales(spark, d).where(F.col("split") == "train")
@@ -595,6 +608,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validation_history": q_validation_history,
     "prepare_events": q_prepare_events,
     "category_embedding": q_category_embedding,
+    "sized_export": q_sized_export,
     "epoch_batches": q_epoch_batches,
     "batch_log_loss": q_batch_log_loss,
     "evaluate_model": q_evaluate_model,

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Files of this size suit scans of a large table.
+TARGET_BYTES = 128 * 1024 * 1024
+
 #: Fixed value: the small row group that gives many readers a group each.
 ROW_GROUP_BYTES = 1024 * 1024
 
@@ -36,6 +41,56 @@ def write_shards(df: DataFrame, path: str, num_files: int | None = None,
     return path
 
 
+def bytes_per_row(df: DataFrame, scratch: str, rows: int, sample_rows: int = 50_000) -> float:
+    """Parquet bytes a row of ``df`` takes, measured on at most about ``sample_rows`` rows.
+
+    The sample is written as one file under ``scratch``; it plans a layout and
+    never decides which rows are written.
+    """
+    if rows == 0:
+        return 0.0
+    share = min(1.0, sample_rows / rows)
+    some = df if share == 1.0 else df.sample(share, seed=7)
+    some.repartition(1).write.mode("overwrite").parquet(scratch)
+    written = df.sparkSession.read.parquet(scratch).count()
+    if written == 0:
+        return 0.0
+    files = artifacts(df.sparkSession, scratch).where(F.col("path").endswith(".parquet"))
+    return files.agg(F.sum("length")).first()[0] / written
+
+
+def write_sized(df: DataFrame, path: str, scratch: str, target_bytes: int = TARGET_BYTES,
+                partition_by=(), cluster_by=(), block_size: int | None = None,
+                mode: str = "overwrite") -> int:
+    """Write ``df`` as Parquet files near ``target_bytes``, clustered; returns the planned files.
+
+    Rows are counted, a row's size is measured (:func:`bytes_per_row`), and one
+    range exchange on (``partition_by``, ``cluster_by``, a hash of the row) deals
+    them evenly, so a value that very many rows share spreads over files. Files
+    and row groups hold narrow ranges of ``cluster_by`` and a filter on it skips
+    the others. Only equal rows cannot be told apart by ranges; a limit of rows
+    per file, one and a half times the plan, cuts them (and any error of the
+    sampled bounds). Each value of ``partition_by`` may add one smaller file.
+
+    ``df`` is read three times (count, sample and bounds, write): give a stored
+    or cheap one, whose rows do not change between the passes.
+    """
+    by = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    cluster = [cluster_by] if isinstance(cluster_by, str) else list(cluster_by)
+    rows = df.count()
+    size = bytes_per_row(df, scratch, rows)
+    files = max(1, math.ceil(rows * size / target_bytes))
+    keys = [F.col(f"`{c}`") for c in by + cluster]
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields
+              if "map<" not in f.dataType.simpleString()]
+    out = df.repartitionByRange(files, *keys, F.xxhash64(*hashed)) if files > 1 else df.repartition(1)
+    if keys:
+        out = out.sortWithinPartitions(*keys)
+    most = math.ceil(1.5 * target_bytes / size) if size else None
+    write_shards(out, path, None, block_size, by, most, mode)
+    return files
+
+
 def shard_column(df: DataFrame, key: str | None, num_shards: int, out: str = "shard",
                  method: str = "hash") -> DataFrame:
     """A stable shard number in ``[0, num_shards)`` for every row.
