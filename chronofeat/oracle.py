@@ -236,7 +236,10 @@ def oracle_sql() -> dict[str, str]:
             "WHERE split = 'test' AND label IS NOT NULL",
         "artifact_listing": _with(s, SPLIT) +
             "SELECT DISTINCT 'split=' || split AS folder, TRUE AS has_files FROM sales_split "
-            "WHERE label IS NOT NULL",
+            "WHERE label IS NOT NULL UNION ALL "
+            "SELECT folder, TRUE AS has_files FROM (VALUES ('metadata'), "
+            "('stages/0_OneHotEncoder'), ('stages/1_VectorAssembler'), "
+            "('stages/2_LogisticRegression')) t(folder)",
         "param_search": _with(s, SPLIT, BRAND, VALIDATED) +
             f"SELECT 4 AS candidates, CAST(0.0 AS DOUBLE) AS reg_param, {VAL_LOSS} "
             "AS val_log_loss FROM scored",

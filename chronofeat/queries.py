@@ -418,11 +418,18 @@ def q_model_reload_scores(spark, d):
 
 
 def q_artifact_listing(spark, d):
-    """(folder, has_files): the split folders of an export that hold data files."""
+    """(folder, has_files): the folders that hold files, of an export (by split) and of the model
+    trained on it and saved (its metadata and stages, without their random suffix)."""
     path = prep.export(_prepared(spark, d), shared_path(spark, "export"))
-    folder = F.regexp_extract("path", r"/(split=[^/]*)/[^/]*\.parquet$", 1)
-    return parquet.artifacts(spark, path).where(F.col("length") > 0).groupBy(
-        folder.alias("folder")).agg((F.count(F.lit(1)) > 0).alias("has_files"))
+    train = spark.read.parquet(path).where(F.col("split") == "train")
+    model = learn.save(learn.train_weighted(train, _cat_idx(), "scaledFeatures", "label"),
+                       shared_path(spark, "models"))
+    parts = [(path, r"/(split=[^/]*)/[^/]*\.parquet$"),
+             (model, r"/(metadata|stages/\d+_[A-Za-z]+)[^/]*/")]
+    found = [parquet.artifacts(spark, p).where(F.col("length") > 0).select(
+        F.regexp_extract("path", folder, 1).alias("folder")) for p, folder in parts]
+    return found[0].union(found[1]).groupBy("folder").agg(
+        (F.count(F.lit(1)) > 0).alias("has_files"))
 
 
 def q_param_search(spark, d):

@@ -160,3 +160,11 @@ def test_summaries_match_direct_counts(spark, prepared):
     w = {r.label: r.weight for r in out["class_weights"].collect()}
     n0, n1 = counts[("train", 0)], counts[("train", 1)]
     assert w[0] == pytest.approx((n0 + n1) / (2 * n0)) and w[1] == pytest.approx((n0 + n1) / (2 * n1))
+
+
+def test_artifacts_of_the_export_and_of_the_saved_model_are_listed(spark):
+    from chronofeat.queries import QUERIES
+    got = {r.folder: r.has_files for r in QUERIES["artifact_listing"](spark, SF001).collect()}
+    assert got == dict.fromkeys(
+        ["split=train", "split=val", "split=test", "metadata", "stages/0_OneHotEncoder",
+         "stages/1_VectorAssembler", "stages/2_LogisticRegression"], True)
