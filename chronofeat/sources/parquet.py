@@ -6,10 +6,17 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Files of this size suit scans of a large table.
 TARGET_BYTES = 128 * 1024 * 1024
 
+#: At most about so many bytes of rows are sorted by one task, whatever they take as Parquet.
+SORT_BYTES = 512 * 1024 * 1024
+
+#: Unions of more frames than this take long to plan.
+MERGED_AT_ONCE = 64
+
 #: Fixed value: the small row group that gives many readers a group each.
 ROW_GROUP_BYTES = 1024 * 1024
 
@@ -59,9 +66,58 @@ def bytes_per_row(df: DataFrame, scratch: str, rows: int, sample_rows: int = 50_
     return files.agg(F.sum("length")).first()[0] / written
 
 
+def _row_bytes(df: DataFrame, rows: int, sample_rows: int = 50_000) -> float:
+    """Bytes a row of ``df`` takes in a sort at most, by its JSON form, on at most about
+    ``sample_rows`` rows; like :func:`bytes_per_row` it only plans."""
+    some = df.sample(min(1.0, sample_rows / rows), seed=7) if rows > sample_rows else df
+    text = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    return 40 + 8 * len(df.columns) + (some.agg(F.avg(text)).first()[0] or 0.0)
+
+
+def _merge_files(df: DataFrame, path: str, sorted_path: str, target_bytes: int, by: list,
+                 block_size: int | None, rows: int, mode: str) -> int:
+    """Write the sorted files under ``sorted_path`` again as files near ``target_bytes``;
+    returns the planned files.
+
+    Files of a folder follow each other in the order of their names; neighbours that
+    make up two files are read by one frame of two tasks, and no task sorts.
+    """
+    spark = df.sparkSession
+    schema = T.StructType([f for f in df.schema.fields if f.name not in by])
+    folders: dict[str, list] = {}
+    for r in artifacts(spark, sorted_path).where(F.col("path").endswith(".parquet")).collect():
+        folders.setdefault(r["path"].rpartition("/")[0], []).append((r["path"], r["length"]))
+    size = sum(n for files in folders.values() for _, n in files) / rows
+    most, planned = math.ceil(3 * target_bytes / size), 0  # folders compress unlike each other
+    if by:
+        write_shards(df.where(F.lit(False)), path, partition_by=by, mode=mode)
+        mode = "append"
+    for folder, files in sorted(folders.items()):
+        # .../sorted/a=1/b=2 -> a=1/b=2
+        to = "/".join([path, *folder.split("/")[-len(by):]]) if by else path
+        total = sum(n for _, n in files)
+        wanted = max(1, round(total / target_bytes))
+        planned += wanted
+        pairs: list[list[str]] = [[] for _ in range((wanted + 1) // 2)]
+        before = 0
+        for name, n in sorted(files):
+            pairs[min(len(pairs) - 1, int((before + n / 2) / total * wanted) // 2)].append(name)
+            before += n
+        # a pair is two tasks: a union of frames of one task each would be one task
+        frames = [spark.read.schema(schema).parquet(*p).coalesce(
+            1 if wanted % 2 and i == len(pairs) - 1 else 2) for i, p in enumerate(pairs) if p]
+        for i in range(0, len(frames), MERGED_AT_ONCE):
+            out = frames[i]
+            for f in frames[i + 1:i + MERGED_AT_ONCE]:
+                out = out.union(f)
+            write_shards(out, to, None, block_size, None, most, mode)
+            mode = "append"
+    return planned
+
+
 def write_sized(df: DataFrame, path: str, scratch: str, target_bytes: int = TARGET_BYTES,
                 partition_by=(), cluster_by=(), block_size: int | None = None,
-                mode: str = "overwrite") -> int:
+                mode: str = "overwrite", sort_bytes: int = SORT_BYTES) -> int:
     """Write ``df`` as Parquet files near ``target_bytes``, clustered; returns the planned files.
 
     Rows are counted, a row's size is measured (:func:`bytes_per_row`), and one
@@ -72,20 +128,31 @@ def write_sized(df: DataFrame, path: str, scratch: str, target_bytes: int = TARG
     per file, one and a half times the plan, cuts them (and any error of the
     sampled bounds). Each value of ``partition_by`` may add one smaller file.
 
-    ``df`` is read three times (count, sample and bounds, write): give a stored
+    Rows that compress well take far more memory in a sort than in a file. If a
+    file's rows take more than ``sort_bytes``, narrower ranges are sorted and written
+    under ``scratch`` first, and neighbouring ones merged into files without a sort.
+
+    ``df`` is read four times (count, two samples, bounds and write): give a stored
     or cheap one, whose rows do not change between the passes.
     """
     by = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     cluster = [cluster_by] if isinstance(cluster_by, str) else list(cluster_by)
     rows = df.count()
-    size = bytes_per_row(df, scratch, rows)
+    size = bytes_per_row(df, f"{scratch}/sample", rows)
     files = max(1, math.ceil(rows * size / target_bytes))
     keys = [F.col(f"`{c}`") for c in by + cluster]
     hashed = [F.col(f"`{f.name}`") for f in df.schema.fields
               if "map<" not in f.dataType.simpleString()]
-    out = df.repartitionByRange(files, *keys, F.xxhash64(*hashed)) if files > 1 else df.repartition(1)
+    ranges = files
+    if keys and mode != "ignore":  # which is one write or none
+        ranges = max(files, math.ceil(rows * _row_bytes(df, rows) / sort_bytes))
+    out = df.repartitionByRange(ranges, *keys, F.xxhash64(*hashed)) if ranges > 1 else \
+        df.repartition(1)
     if keys:
         out = out.sortWithinPartitions(*keys)
+    if ranges > files:
+        write_shards(out, f"{scratch}/sorted", partition_by=by)
+        return _merge_files(df, path, f"{scratch}/sorted", target_bytes, by, block_size, rows, mode)
     most = math.ceil(1.5 * target_bytes / size) if size else None
     write_shards(out, path, None, block_size, by, most, mode)
     return files

@@ -65,3 +65,36 @@ def test_empty_table_and_one_file(spark, rows, tmp_path):
     one = str(tmp_path / "one")
     assert parquet.write_sized(rows, one, str(tmp_path / "s2")) == 1
     assert len(files_of(spark, one)) == 1
+
+
+def test_rows_that_compress_are_sorted_in_small_tasks_and_merged(spark, tmp_path):
+    rows = spark.range(200_000).select(
+        F.pmod(F.xxhash64("id"), F.lit(5000)).alias("t"), F.pmod("id", F.lit(4)).alias("v"),
+        F.lit("a long text that is the same in every row").alias("same"),
+        F.when(F.col("id") % 10 < 8, "tr ain").when(F.col("id") % 10 < 9, "val").alias("split"))
+    path, scratch, target = str(tmp_path / "out"), str(tmp_path / "s"), 40_000
+    for mode in ("overwrite", "overwrite", "append"):
+        planned = parquet.write_sized(rows, path, scratch, target, "split", "t", mode=mode,
+                                      sort_bytes=500_000)
+        if mode == "append":
+            break
+        assert spark.read.parquet(path).exceptAll(rows.select("t", "v", "same", "split")).count() == 0
+        assert spark.read.parquet(path).count() == 200_000
+        files = files_of(spark, path)
+        big = [f for f in files if "tr%20ain" in f["path"] or "tr ain" in f["path"]]
+        assert len(big) >= 3 and abs(len(files) - planned) <= 1
+        assert all(target / 3 <= f["length"] <= target * 2 for f in big)
+    assert spark.read.parquet(path).count() == 400_000
+    parts = files_of(spark, scratch + "/sorted")
+    assert len(parts) > 2 * planned  # no task sorted more than its share
+    assert max(pq.ParquetFile(f["path"].removeprefix("file:")).metadata.num_rows
+               for f in parts) < 30_000
+    spans = []
+    for f in big:
+        t = spark.read.parquet(f["path"]).agg(F.min("t"), F.max("t")).first()
+        spans.append(t[1] - t[0])
+    assert max(spans) < 5000 * 3 / len(big)  # two files of neighbours at most
+    alone = str(tmp_path / "alone")
+    parquet.write_sized(rows, alone, scratch, target, cluster_by="t", sort_bytes=500_000)
+    assert spark.read.parquet(alone).exceptAll(rows).count() == 0
+    assert spark.read.parquet(alone).count() == 200_000
