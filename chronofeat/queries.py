@@ -19,7 +19,7 @@ from .functions import scalar
 from .operators import (appended, balance, batches, clean, embed, encode, episodes, metrics, scale,
                         split)
 from .plans import learn, prepare as prep
-from .session import reliable_checkpoint, shared_path
+from .session import reliable_checkpoint, shared_path, stored
 from .sources import parquet, views
 
 # ---------------------------------------------------------------------------
@@ -55,8 +55,13 @@ def _episodes(spark, d, outputs):
                                     "event_id", outputs=outputs)
 
 
-def _split_sales(spark, d):
-    return split.time_split(_sales(spark, d), "o_orderdate")
+def _stored_sales(spark, d, cols):
+    """Columns of the sales view, joined once for all passes of a split or preparation."""
+    return stored(_sales(spark, d).select(*cols), "sales")
+
+
+def _split_sales(spark, d, cols):
+    return split.time_split(_stored_sales(spark, d, ["o_orderdate", *cols]), "o_orderdate")
 
 
 def _scored_events(spark, d):
@@ -72,7 +77,7 @@ def _sales_spec():
 
 
 def _prepared(spark, d):
-    return prep.prepare(_sales(spark, d), _sales_spec())
+    return prep.prepare(_stored_sales(spark, d, MODEL_COLS), _sales_spec())
 
 
 def _r(col, digits):
@@ -223,17 +228,19 @@ def q_time_percent_rank(spark, d):
 
 
 def q_time_split(spark, d):
-    return _split_sales(spark, d).select("o_orderdate", "label", "split")
+    return _split_sales(spark, d, ["label"]).select("o_orderdate", "label", "split")
 
 
 def _split_label_counts(spark, d):
     """(split, label, n) from one pass over the sales view."""
-    return split.split_label_counts(_sales(spark, d), "o_orderdate", "label")
+    return split.split_label_counts(_stored_sales(spark, d, ["o_orderdate", "label"]),
+                                    "o_orderdate", "label")
 
 
 def q_time_split_refined(spark, d):
     """Split from order statistics with narrow ranges, several levels deep."""
-    out = split.time_split(_sales(spark, d), "o_orderdate", method="rank", width=16)
+    out = split.time_split(_stored_sales(spark, d, ["o_orderdate", "label"]), "o_orderdate",
+                           method="rank", width=16)
     return out.select("o_orderdate", "label", "split")
 
 
@@ -299,7 +306,7 @@ def q_assembled_array(spark, d):
 
 
 def q_scaled_features(spark, d):
-    s = _split_sales(spark, d)
+    s = _split_sales(spark, d, CONT)
     model = scale.fit_scaler(s.where(F.col("split") == "train"), CONT, "scaled")
     out = scale.apply_scaler(model, s, CONT, "scaled", as_array="float64")
     return out.select("split", *[F.round(F.col("scaled")[i], 4).alias(f"s_{c}")
@@ -308,7 +315,7 @@ def q_scaled_features(spark, d):
 
 def q_scaled_features_f32(spark, d):
     """Export form: scaled vector as ``array<float>`` (compared after widening, rounded)."""
-    s = _split_sales(spark, d)
+    s = _split_sales(spark, d, CONT)
     model = scale.fit_scaler(s.where(F.col("split") == "train"), CONT, "scaled")
     out = scale.apply_scaler(model, s, CONT, "scaled", as_array="float32")
     return out.select("split", *[F.round(F.col("scaled")[i].cast("double"), 4).alias(f"s_{c}")
@@ -541,8 +548,7 @@ def q_evaluate_model(spark, d):
 def q_sized_export(spark, d):
     """Rows of every split read back from files of the production size, clustered by time."""
     path, scratch = shared_path(spark, "sized"), shared_path(spark, "sized-sample")
-    rows = reliable_checkpoint(_split_sales(spark, d).select(
-        "o_orderdate", "l_quantity", "p_brand", "label", "split"))
+    rows = _split_sales(spark, d, ["l_quantity", "p_brand", "label"])
     parquet.write_sized(rows, path, scratch, partition_by="split", cluster_by="o_orderdate")
     return spark.read.parquet(path).groupBy("split").agg(
         F.count(F.lit(1)).alias("n"), F.min("o_orderdate").cast("date").alias("first_date"),
@@ -553,7 +559,7 @@ def q_sized_export(spark, d):
 
 def q_category_embedding(spark, d):
     """Cells given back by embeddings as wide as a column has labels, on the training rows."""
-    train = _split_sales(spark, d).where(F.col("split") == "train")
+    train = _split_sales(spark, d, EMBEDDED).where(F.col("split") == "train")
     model = embed.fit_category_embedding(train, EMBEDDED, widths=EMBEDDED)
     cells = embed.positive_information(embed.cooccurrence(train, EMBEDDED))
     return model.reconstruct(cells).select("column", "value", "context", "other", _r("x", 6))

@@ -45,8 +45,9 @@ def sales_view(spark: SparkSession, data_dir: str) -> DataFrame:
     od = read_table(spark, data_dir, "orders")
     cu = read_table(spark, data_dir, "customer")
     pa = read_table(spark, data_dir, "part")
-    joined = (li.join(od, li.l_orderkey == od.o_orderkey)
-              .join(cu, od.o_custkey == cu.c_custkey)
+    # customers meet the fewer orders first, so line items cross two exchanges and not three
+    ordered = od.join(cu, od.o_custkey == cu.c_custkey)
+    joined = (li.join(ordered, li.l_orderkey == F.col("o_orderkey"))
               .join(pa, li.l_partkey == pa.p_partkey))
     d = F.col("o_orderdate")
     return joined.select(

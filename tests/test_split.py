@@ -198,3 +198,13 @@ def test_nothing_stays_cached(spark):
     split.time_split(_ts_frame(spark, list(range(50))), "t").count()
     split.time_percent_rank(_ts_frame(spark, list(range(50))), "t").count()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+@pytest.mark.parametrize("name", ["scaled_features", "scaled_features_f32", "time_split"])
+def test_the_sales_view_is_joined_once(spark, monkeypatch, name):
+    from chronofeat import queries
+    joined, store = [], queries.stored
+    monkeypatch.setattr(queries, "stored", lambda df, to: joined.append(to) or store(df, to))
+    out = queries.QUERIES[name](spark, SF001)
+    assert joined == ["sales"]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
