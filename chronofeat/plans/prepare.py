@@ -126,8 +126,9 @@ def prepare(df: DataFrame, spec: PrepSpec, persist_input: bool = False) -> Prepa
         index_model = encode.fit_category_index(labelled.where(F.col("split") == "train"),
                                                 spec.categories, "_cat", "keep")
         card = encode.cardinality(df, spec.categories)
-    indexed = index_model.transform(labelled).drop(*spec.categories)
-    train = indexed.where(F.col("split") == "train")
+    # only "skip" drops rows; otherwise the moments need no index joins
+    kept = index_model.transform(labelled) if index_model.handle_invalid == "skip" else labelled
+    train = kept.where(F.col("split") == "train")
     scaler_model = scale.fit_scaler(train, spec.continuous, spec.features_col)
     prepared = Prepared(None, hi, lo, index_model, scaler_model, spec,
                         label_counts, encode.embedding_width(card), labelled)

@@ -412,12 +412,14 @@ def q_score_rows(spark, d):
 
 def q_model_reload_scores(spark, d):
     """(rows, same): test rows, and those that the saved and loaded model scores alike."""
-    p = _prepared(spark, d)
-    model = learn.train_weighted(p.split("train"), _cat_idx(), "scaledFeatures", "label")
+    rows = _brand_export(spark, d)
+    test = rows.where(F.col("split") == "test")
+    model = learn.train_weighted(rows.where(F.col("split") == "train"), _cat_idx(),
+                                 "scaledFeatures", "label")
     path = shared_path(spark, "models")
     learn.save(model, path, version=1)
     reloaded = learn.load(path, version=learn.versions(spark, path)[-1])
-    first = learn.score(model, p.split("test"), "scaledFeatures").withColumnsRenamed(
+    first = learn.score(model, test, "scaledFeatures").withColumnsRenamed(
         {"prediction": "prediction_1", "p1": "p1_1"})
     both = learn.score(reloaded, first, "scaledFeatures")
     same = (F.col("prediction") == F.col("prediction_1")) & (F.col("p1") == F.col("p1_1"))
