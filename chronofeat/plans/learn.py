@@ -176,13 +176,15 @@ def _feature_frames(train: DataFrame, val: DataFrame, cat_cols, cont_col, label:
         va.unpersist()
 
 
-def _fit_all(train: DataFrame, label: str, settings: list[dict], parallelism: int) -> list:
-    """One logistic model for each of ``settings``, some at a time; outputs are numbered."""
+def _fit_all(train: DataFrame, label: str, settings: list[dict], parallelism: int,
+             first: int = 0) -> list:
+    """One logistic model for each of ``settings``, some at a time; outputs are numbered from
+    ``first``."""
     def fit(i):
         return LogisticRegression(
             featuresCol="_x", labelCol=label, weightCol="weight", family="binomial",
-            predictionCol=f"_pred{i}", rawPredictionCol=f"_raw{i}", probabilityCol=f"_prob{i}",
-            **settings[i]).fit(train)
+            predictionCol=f"_pred{first + i}", rawPredictionCol=f"_raw{first + i}",
+            probabilityCol=f"_prob{first + i}", **settings[i]).fit(train)
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
         return list(pool.map(fit, range(len(settings))))
 
@@ -214,14 +216,21 @@ def validation_history(train: DataFrame, val: DataFrame, cat_cols, cont_col, lab
 
     The models of all iterations are scored in one pass over ``val``. A logistic
     fit has no state to go on from, but is deterministic: its i-th iterate is the
-    fit of i iterations, on features made once. A fit that has converged earlier
-    stays where it is. Boosted trees are fitted once; iteration i sums the first i.
+    fit of i iterations, on features made once. The fit of all iterations comes first:
+    one that has converged earlier stays where it is, so the iterations from there
+    on need no fit of their own. Boosted trees are fitted once; iteration i sums the
+    first i.
     """
     with _feature_frames(train, val, cat_cols, cont_col, label) as (tr, va):
         if model == "logistic":
-            models = _fit_all(tr, label, [{"maxIter": i, "regParam": reg_param, "tol": tol}
-                                          for i in range(1, max_iter + 1)], parallelism)
-            found = _logistic_losses(va, label, models)
+            def fits(iterations, first):
+                return _fit_all(tr, label, [{"maxIter": i, "regParam": reg_param, "tol": tol}
+                                            for i in iterations], parallelism, first)
+            models = fits([max_iter], 0)
+            end = max(1, models[0].summary.totalIterations)
+            models += fits(range(1, end), 1)
+            losses = _logistic_losses(va, label, models)
+            found = losses[1:] + losses[:1] * (max_iter - end + 1)
         elif model == "gbt":
             fitted = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="weight",
                                    maxIter=max_iter, seed=seed).fit(tr)

@@ -108,3 +108,40 @@ def test_a_limited_input_is_the_same_in_every_pass(spark):
     frame = prep.clean_frame(rows, spec)
     assert sorted(map(tuple, frame.collect())) == sorted(map(tuple, frame.collect()))
     assert frame.count() == 50
+
+
+def test_iterations_after_convergence_need_no_fit(spark, monkeypatch):
+    rows = spark.range(3000).select((F.col("id") % 5).cast("double").alias("c_cat"),
+                                    (F.col("id") * 7919 % 1000 > 600).cast("int").alias("y"))
+    fitted, fit_all = [], learn._fit_all
+
+    def counted(train, label, settings, *rest):
+        fitted.extend(s["maxIter"] for s in settings)
+        return fit_all(train, label, settings, *rest)
+    monkeypatch.setattr(learn, "_fit_all", counted)
+    got = learn.validation_history(rows, rows, ["c_cat"], None, "y", max_iter=30, tol=1e-9).orderBy(
+        "iteration").collect()
+    assert [r.iteration for r in got] == list(range(1, 31))
+    assert len(fitted) < 30 and fitted[0] == 30 and len(set(fitted)) == len(fitted)
+    weights = learn.class_weights(rows, "y").select("y", "weight")
+    for i in (1, 2, len(fitted), 29, 30):
+        model = learn.train_weighted(rows, ["c_cat"], None, "y", max_iter=i, tol=1e-9)
+        loss, accuracy = loss_of(model, rows, weights, None)
+        assert got[i - 1].val_loss == pytest.approx(loss, rel=1e-9)
+        assert got[i - 1].val_accuracy == pytest.approx(accuracy)
+
+
+def test_the_scaler_is_fitted_without_index_joins(spark, monkeypatch):
+    rows = spark.range(100).select((F.col("id") % 3).cast("string").alias("c"),
+                                   F.col("id").cast("double").alias("x"),
+                                   F.col("id").cast("int").alias("t"), F.lit(1).alias("label"))
+    plans, fit = [], prep.scale.fit_scaler
+
+    def seen(train, *rest):
+        plans.append(train.select("x")._jdf.queryExecution().optimizedPlan().toString())
+        return fit(train, *rest)
+    monkeypatch.setattr(prep.scale, "fit_scaler", seen)
+    spec = prep.PrepSpec(label="label", time="t", string_categories=["c"], int_categories=[],
+                         continuous=["x"])
+    out = prep.prepare(rows, spec)
+    assert out.frame.count() == 100 and "Join" not in plans[0]
